@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimflow.sources.parallel import spread
 from claimflow.sources.tables import read_table
 
 # The default three-model list of the evaluation and
@@ -43,7 +44,7 @@ def _line_if(cond: Column, *parts) -> Column:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic claim document per order: ``claim_id, input_key, claim_text``."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    o = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     L = F.lit
