@@ -1,3 +1,135 @@
-"""Registered queries."""
+"""Registered knowledge-base queries: chunking, dimension check, exact k-NN,
+incremental ingestion, retrieval-mode prompts."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimflow.operators import kb, prompts
+from claimflow.plans.registry import query
+from claimflow.sources.parallel import spread
+from claimflow.sources.tables import read_table
+
+EMBED_DIM = 64  # dimension of the given embeddings table
+_WS = r"[\s\p{Z}\x0B]+"
+
+
+def _docs(spark, sf_dir):
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
+def _location():
+    return F.concat(F.lit("documents/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+@query("kb_chunks", f"""with w as (select doc_id, source,
+   list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') as words from documents),
+n as (select *, len(words) as n, case when len(words) = 0 then 0
+   else greatest(cast(ceil((len(words) - 300) / 240.0) as bigint), 0) + 1 end as n_chunks from w)
+select doc_id, cast(i as int) as chunk_no,
+ md5(array_to_string(list_slice(words, i * 240 + 1, i * 240 + 300), ' ')) as chunk_md5,
+ cast(len(list_slice(words, i * 240 + 1, i * 240 + 300)) as int) as n_words,
+ 'documents/' || source || '/' || cast(doc_id as varchar) || '.txt' as location
+from n, range(n_chunks) t(i)""")
+def kb_chunks(spark, sf_dir):
+    """V1/V9: 300-word chunks with 20 % overlap, with source location."""
+    d = _docs(spark, sf_dir).select("doc_id", "text", _location().alias("location"))
+    c = kb.chunk_documents(d, "doc_id", "text", keep=("location",))
+    return c.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"),
+                    F.md5("chunk_text").alias("chunk_md5"), F.col("n_words").cast("int").alias("n_words"),
+                    "location")
+
+
+@query("kb_embed")
+def kb_embed(spark, sf_dir):
+    """V2: offline embedding of every chunk (hashed term frequencies, L2 norm)."""
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    c = kb.chunk_documents(d, "doc_id", "text")
+    e = kb.embed_chunks(c, dim=1024)
+    return e.select("doc_id", "chunk_no", F.size("vector").alias("dim"),
+                    F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).alias("norm2"))
+
+
+@query("kb_dim_check", f"""select vec_id, cast(len(embedding) as int) as dim, len(embedding) = {EMBED_DIM} as accepted
+from embeddings""")
+def kb_dim_check(spark, sf_dir):
+    """V3: vectors of the index dimension are accepted, the rest quarantined."""
+    e = read_table(spark, sf_dir, "embeddings")
+    ok, bad = kb.dimension_check(e, "embedding", EMBED_DIM)
+    tag = lambda d, a: d.select("vec_id", F.size("embedding").alias("dim"), F.lit(a).alias("accepted"))
+    return tag(ok, True).unionByName(tag(bad, False))
+
+
+def _knn(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    q = kb.label_centroids(e, "label", "embedding", "qvec").withColumnRenamed("label", "qid")
+    return kb.knn_topk(e, q.select(F.col("qid").cast("long").alias("qid"), "qvec"), k=5)
+
+
+@query("knn_top5", """with x as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings),
+c as (select label, list(a order by i) as q from (select label, i, avg(cast(v as double)) as a from x group by label, i) group by label),
+d as (select c.label as qid, e.vec_id, list_distance(cast(e.embedding as double[]), c.q) as dist from c cross join embeddings e),
+r as (select *, row_number() over (partition by qid order by dist, vec_id) as rank from d)
+select cast(qid as bigint) as qid, cast(rank as int) as rank, vec_id from r where rank <= 5""")
+def knn_top5(spark, sf_dir):
+    """V5/K4: exact top-5 nearest embeddings for each label centroid."""
+    return _knn(spark, sf_dir).select("qid", F.col("rank").cast("int").alias("rank"), "vec_id")
+
+
+def _indexed(spark, sf_dir):
+    """Documents already in the index: the labelled ones."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id")
+    return _docs(spark, sf_dir).join(labels, "doc_id", "left_semi")
+
+
+_NEW_DOCS_SQL = """with inc as (select sha256(text) as content_hash, min(doc_id) as doc_id from documents group by 1),
+idx as (select distinct sha256(text) as content_hash from documents where doc_id in (select doc_id from labels))
+select content_hash, doc_id from inc where content_hash not in (select content_hash from idx)"""
+
+
+@query("kb_new_docs", _NEW_DOCS_SQL)
+def kb_new_docs(spark, sf_dir):
+    """New distinct documents to index (content hash not yet indexed)."""
+    return kb.new_documents(_docs(spark, sf_dir), _indexed(spark, sf_dir)).select("content_hash", "doc_id")
+
+
+@query("kb_ingest_stats", f"""with nd as ({_NEW_DOCS_SQL})
+select (select count(*) from documents) as documents_scanned, (select count(*) from nd) as new_documents_indexed,
+ (select count(*) from documents) - (select count(*) from nd) as documents_skipped, 'COMPLETE' as status""")
+def kb_ingest_stats(spark, sf_dir):
+    """Scanned / new / skipped counts of one ingestion run."""
+    docs = _docs(spark, sf_dir)
+    return kb.ingest_stats(docs, kb.new_documents(docs, _indexed(spark, sf_dir)))
+
+
+def _retrieval(spark, sf_dir, k=5):
+    """Benchmark passages as queries against embedded document chunks."""
+    d = _docs(spark, sf_dir).select("doc_id", "text", _location().alias("location"))
+    chunks = kb.chunk_documents(d, "doc_id", "text", keep=("location",))
+    chunks = chunks.withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_no"))
+    emb = kb.embed_chunks(chunks, dim=1024)
+    qs = kb.embed_chunks(read_table(spark, sf_dir, "benchmark").withColumnRenamed("text", "chunk_text"), dim=1024)
+    knn = kb.knn_topk(emb, qs.select(F.col("item_id").alias("qid"), F.col("vector").alias("qvec")),
+                      k=k, id_col="chunk_id", vec_col="vector")
+    return kb.retrieval_results(knn, chunks, "chunk_id", "chunk_text", "location")
+
+
+@query("kb_retrieval")
+def kb_retrieval(spark, sf_dir):
+    """V5: top-5 chunks (content, score, location) per benchmark passage."""
+    r = _retrieval(spark, sf_dir)
+    return r.select("qid", F.size("results").alias("n_results"),
+                    F.col("results")[0]["location"].alias("top_location"),
+                    F.col("results")[0]["score"].alias("top_score"))
+
+
+@query("prompt_enriched_kb")
+def prompt_enriched_kb(spark, sf_dir):
+    """M7: retrieval-mode prompt (top 3 of 5 chunks numbered) before the
+    extraction prompt of the passage."""
+    r = _retrieval(spark, sf_dir)
+    q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    j = r.join(q, "qid")
+    j = j.withColumn("base_prompt", prompts.DEFAULT_TEMPLATES.render("extract_info", document_text="text"))
+    e = prompts.enrich_prompt(j, "base_prompt", prompts.kb_context_block("results", 3))
+    return e.select("qid", "enriched_prompt", "enrichment_stats.*")
