@@ -32,15 +32,19 @@ def words(text: Column) -> Column:
 
 def chunk_texts(text: Column, max_tokens: int = MAX_TOKENS, overlap_pct: int = OVERLAP_PCT) -> Column:
     """V1: fixed-size chunks of ``max_tokens`` words, consecutive chunks
-    overlapping by ``overlap_pct`` percent (stride = size - overlap)."""
+    overlapping by ``overlap_pct`` percent (stride = size - overlap), as
+    ``array<struct<chunk_text, n_words>>``."""
     stride = max_tokens - (max_tokens * overlap_pct) // 100
 
     def per_doc(w):
         n = F.size(w)
         count = F.greatest(F.ceil((n - max_tokens) / stride).cast("int"), F.lit(0)) + 1
-        return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(0), count - 1),
-                        lambda i: F.array_join(F.slice(w, i * stride + 1, max_tokens), " ")))
+
+        def chunk(i):
+            return let(F.slice(w, i * stride + 1, max_tokens), lambda piece: F.struct(
+                F.array_join(piece, " ").alias("chunk_text"), F.size(piece).alias("n_words")))
+        return F.when(n == 0, F.array().cast("array<struct<chunk_text:string,n_words:int>>")).otherwise(
+            F.transform(F.sequence(F.lit(0), count - 1), chunk))
     return let(words(text), per_doc)
 
 
@@ -50,9 +54,8 @@ def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns, e.g. the source location as chunk metadata). Documents with no
     word yield no chunk. Narrow: no shuffle."""
     out = df.select(id_col, *keep, F.posexplode_outer(chunk_texts(F.col(text_col), max_tokens, overlap_pct))
-                    .alias("chunk_no", "chunk_text"))
-    out = out.where(F.col("chunk_text").isNotNull())
-    return out.withColumn("n_words", F.size(words(F.col("chunk_text"))))
+                    .alias("chunk_no", "c"))
+    return out.where(F.col("c").isNotNull()).select(id_col, *keep, "chunk_no", "c.chunk_text", "c.n_words")
 
 
 def embed_chunks(df: DataFrame, text_col: str = "chunk_text", dim: int = 1024, out_col: str = "vector") -> DataFrame:

@@ -53,17 +53,38 @@ def _n_matches(parts: Column) -> Column:
 
 
 def _replace_matches(parts: Column, replacement: str) -> Column:
-    return F.array_join(
+    joined = F.array_join(
         F.transform(parts, lambda v, i: F.when(i % 2 == 1, F.lit(replacement)).otherwise(v)), "")
+    # Most rules match nothing in most documents: skip the array work then.
+    return F.when(F.size(parts) == 1, parts[0]).otherwise(joined)
+
+
+# Up to this many parts a single left-to-right ``aggregate`` (appending to
+# the result array) is cheapest; longer arrays switch to blocked prefix sums,
+# whose cost stays O(n sqrt n) however many matches a document has.
+_LINEAR_SCAN_MAX_PARTS = 512
+_MATCH_TYPE = "array<struct<m:string,start:bigint>>"
 
 
 def _matches_with_starts(parts: Column) -> Column:
     """``array<struct<m string, start bigint>>`` of the matches and their
     0-based code-point offsets in the text the parts came from."""
+    init = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("i"),
+                    F.array().cast(_MATCH_TYPE).alias("out"))
+
+    def step(acc, x):
+        hit = F.concat(acc["out"], F.array(F.struct(x.alias("m"), acc["run"].alias("start"))))
+        return F.struct((acc["run"] + F.length(x)).alias("run"), (acc["i"] + 1).alias("i"),
+                        F.when(acc["i"] % 2 == 1, hit).otherwise(acc["out"]).alias("out"))
+
+    scan = F.aggregate(parts, init, step, lambda acc: acc["out"])
     starts = exclusive_prefix_sums(F.transform(parts, lambda v: F.length(v)))
     paired = F.zip_with(parts, starts, lambda v, st: F.struct(v.alias("m"), st.alias("start")))
-    odd = F.filter(paired, lambda z, i: i % 2 == 1)
-    return odd
+    blocked = F.filter(paired, lambda z, i: i % 2 == 1)
+    n = F.size(parts)
+    return (F.when(n == 1, F.array().cast(_MATCH_TYPE))
+             .when(n <= _LINEAR_SCAN_MAX_PARTS, scan)
+             .otherwise(blocked))
 
 
 def _by_type(rules: Sequence[PiiRule], counts: Sequence[Column]) -> Column:
