@@ -166,13 +166,61 @@ def comparison_report(results: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("Error: "), F.col("error"), F.lit("\n"))),
         F.lit("\n" + "-" * 50 + "\n\n"),
     )
-    per = results.groupBy("claim_name").agg(
-        F.array_sort(F.collect_list(F.struct("model_ord", block.alias("block")))).alias("blocks"))
+    per = one_per_model(results.select("claim_name", "model_ord", block.alias("block"))) \
+        .groupBy("claim_name").agg(F.array_sort(F.collect_list(F.struct("model_ord", "block"))).alias("blocks"))
     return per.select("claim_name", F.concat(
         F.lit("Model Comparison Report\n" + "=" * 50 + "\n\n"),
         F.array_join(F.transform("blocks", lambda b: b["block"]), "")).alias("report"))
 
 
+def one_per_model(results: DataFrame, key=("claim_name", "model_ord")) -> DataFrame:
+    """Keep one row per (claim, model) before a per-claim list is collected,
+    so each claim's list is bounded by the model list. The aggregation is
+    partial (map-side), so duplicates of a hot claim collapse before any
+    shuffle."""
+    payload = [c for c in results.columns if c not in key]
+    return results.groupBy(*key).agg(*[F.first(c).alias(c) for c in payload])
+
+
+def report_lines(results: DataFrame, models: DataFrame, n_models: int) -> DataFrame:
+    """The evaluation report as ordered line rows
+    ``(section, claim_name, ord, line)``: summary totals, models tested,
+    one table row per result, and the per-model timing table. Each section is
+    a projection or small aggregate; sections are combined with a union."""
+    def lines(df, section, claim, ord_col, line):
+        return df.select(F.lit(section).alias("section"), claim.cast("string").alias("claim_name"),
+                         ord_col.cast("int").alias("ord"), line.alias("line"))
+    tot = eval_totals(results, n_models)
+    def item(o, *parts):
+        return F.struct(F.lit(o).alias("o"), F.concat(*parts).alias("l"))
+    summary = tot.select(F.inline(F.array(
+        item(1, F.lit("- **Total Tests Run:** "), F.col("total_tests").cast("string")),
+        item(2, F.lit("- **Successful:** "), F.col("successful").cast("string")),
+        item(3, F.lit("- **Failed:** "), F.col("failed").cast("string")),
+        item(4, F.lit("- **Success Rate:** "), F.format_string("%.1f", F.col("success_rate_pct")), F.lit("%")),
+    )))
+    parts = [lines(summary, "summary", F.lit(None), F.col("o"), F.col("l"))]
+    parts.append(lines(models, "models", F.lit(None), F.col("model_ord"), F.concat(
+        F.col("model_ord").cast("string"), F.lit(". **"), short_model_name("model_id"), F.lit("** ("),
+        provider_name("model_id"), F.lit(")"))))
+    ok = F.col("success")
+    length = F.when(ok, F.length("summary"))
+    parts.append(lines(results, "claims", F.col("claim_name"), F.col("model_ord"), F.concat_ws(
+        " | ", F.concat(F.lit("| "), short_model_name("model_id")),
+        F.when(ok, "Success").otherwise("Failed"), F.col("time_seconds").cast("string"),
+        F.when(ok, F.concat(length.cast("string"), F.lit(" chars"))).otherwise("N/A"),
+        F.concat(quality_label(ok, length), F.lit(" |")))))
+    timing = model_timing(results, models)
+    fmt = lambda c: F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("N/A"))
+    parts.append(lines(timing, "timing", F.lit(None), F.col("model_ord"), F.concat_ws(
+        " | ", F.concat(F.lit("| "), F.col("model_short")), fmt("avg_time"), fmt("min_time"), fmt("max_time"),
+        F.concat(F.col("n_success").cast("string"), F.lit(" |")))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def parse_model_list(s, default: Sequence[str]) -> Column:
     """``"a, b"`` -> trimmed array; empty or null -> the default list."""
     c = _c(s)

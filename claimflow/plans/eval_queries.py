@@ -191,3 +191,9 @@ def parse_models(spark, sf_dir):
     f = views.feedback(spark, sf_dir)
     s = F.when(F.col("comment") == "", F.lit("")).otherwise(F.concat_ws(" , ", "model_id", "feedback_type"))
     return f.select("id", F.array_join(ev.parse_model_list(s, views.DEFAULT_MODELS), "|").alias("models"))
+
+
+@query("eval_report_lines")
+def eval_report_lines(spark, sf_dir):
+    """Evaluation report line rows (rows-only check)."""
+    return ev.report_lines(_results(spark, sf_dir), _models_df(spark), N_MODELS)

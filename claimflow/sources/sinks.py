@@ -47,7 +47,10 @@ def write_json_export(df: DataFrame, path: str) -> None:
 def nest_results(results: DataFrame) -> DataFrame:
     """S10 nested form ``claim -> model -> result`` as one JSON document per
     claim (the model map of one claim is bounded by the model list)."""
-    per = results.groupBy("claim_name").agg(F.map_from_entries(F.collect_list(F.struct(
+    from claimflow.operators.evaluation import one_per_model
+    dedup = one_per_model(results.select("claim_name", "model_id", "success", "time_seconds", "summary", "error"),
+                          ("claim_name", "model_id"))
+    per = dedup.groupBy("claim_name").agg(F.map_from_entries(F.collect_list(F.struct(
         "model_id", F.struct("success", "time_seconds", "summary", "error")))).alias("results"))
     return per.select("claim_name", F.to_json("results").alias("json"))
 
@@ -75,3 +78,17 @@ def read_feedback_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 def write_feedback(df: DataFrame, path: str) -> None:
     """Append feedback entries (JSON lines)."""
     df.write.mode("append").json(path)
+
+
+def latest_run_per_source(audit: DataFrame, source_col: str = "source", ts_col: str = "started_at") -> DataFrame:
+    """K6: the most recent ingestion run of every data source (``max_by``,
+    partially aggregated)."""
+    payload = [c for c in audit.columns if c != source_col]
+    best = audit.groupBy(source_col).agg(F.max_by(F.struct(*payload), F.col(ts_col)).alias("__r"))
+    return best.select(source_col, "__r.*")
+
+
+def ingestion_audit(stats: DataFrame, source: str, started_at) -> DataFrame:
+    """One audit row for an ingestion run (A13 stats + source + start time)."""
+    ts = started_at if not isinstance(started_at, str) else F.to_timestamp(F.lit(started_at))
+    return stats.select(F.lit(source).alias("source"), ts.alias("started_at"), "*")

@@ -198,3 +198,28 @@ def test_request_and_response_layouts(spark):
     assert all(r.t == "yo" for r in rows)
     c = spark.createDataFrame([("x", '{"completion": "c"}'), ("x", "{}")], "m string, b string")
     assert [r.t for r in c.select(inference.response_text("m", "b").alias("t")).collect()] == ["c", ""]
+
+
+def test_latest_ingestion_and_nesting(spark):
+    a = spark.createDataFrame([("kb", "2024-01-01 00:00:00", 3), ("kb", "2024-02-01 00:00:00", 5),
+                               ("other", "2024-01-05 00:00:00", 1)], "source string, started_at string, n int") \
+        .withColumn("started_at", F.to_timestamp("started_at"))
+    got = {r.source: r.n for r in sinks.latest_run_per_source(a).collect()}
+    assert got == {"kb": 5, "other": 1}
+    res = spark.createDataFrame([("c1", "m1", True, 1.0, "s", None), ("c1", "m1", True, 1.0, "s", None),
+                                 ("c1", "m2", False, 2.0, None, "x")],
+                                "claim_name string, model_id string, success boolean, time_seconds double, "
+                                "summary string, error string")
+    doc = json.loads(sinks.nest_results(res).collect()[0].json)
+    assert set(doc) == {"m1", "m2"} and doc["m2"]["error"] == "x"
+
+
+def test_report_lines(spark):
+    from claimflow.sources import views
+    r = views.model_results(spark, SF_SMALL)
+    models = spark.createDataFrame(list(enumerate(views.DEFAULT_MODELS, start=1)), "model_ord int, model_id string")
+    lines = ev.report_lines(r, models, 3)
+    summ = [x.line for x in lines.where("section = 'summary'").orderBy("ord").collect()]
+    assert summ[0].startswith("- **Total Tests Run:** ") and summ[3].endswith("%")
+    assert lines.where("section = 'timing'").count() == 3
+    assert lines.where("section = 'claims'").count() == r.count()
