@@ -92,29 +92,28 @@ def recent_comments(df: DataFrame, n: int = RECENT_COMMENTS) -> DataFrame:
 
 def full_report(df: DataFrame) -> DataFrame:
     """The whole report in long form, one row per (section, key):
-    ``overall``, ``detailed`` (per dimension), ``by_type``, ``by_model`` and
-    ``total``. Each block is an aggregate over one scan; blocks are combined
-    with ``unionByName`` (no joins). An empty input yields only the
-    ``total`` row with 0 and the message."""
-    def block(section, d, key, n, s=None, avg=None):
-        return d.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key") if key else
-                        F.lit(None).cast("string").alias("key"),
-                        F.col(n).cast("bigint").alias("n"),
-                        (F.col(s) if s else F.lit(None)).cast("bigint").alias("rating_sum"),
-                        (F.col(avg) if avg else F.lit(None)).cast("double").alias("average"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("total").alias("section"),
-        F.when(F.col("n") == 0, F.lit("No feedback data available")).alias("key"),
-        F.col("n").cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("rating_sum"),
-        F.lit(None).cast("double").alias("average"))
-    parts = [
-        total,
-        block("overall", report_overall(df), None, "total_ratings", "rating_sum", "average_rating"),
-        block("detailed", dimensions(df), "dimension", "count", "rating_sum", "average"),
-        block("by_type", by_type(df), "feedback_type", "n_feedback"),
-        block("by_model", by_model(df), "model_id", "count", "rating_sum", "average_rating"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ``total``, ``overall``, ``detailed`` (per dimension), ``by_type`` and
+    ``by_model``. One scan and one shuffle: ``GROUPING SETS`` over
+    ``(feedback_type)``, ``(model_id)`` and ``()``, then the global row is
+    unpivoted into its sections. An empty input yields the ``total`` row with
+    0 and the message."""
+    r = _truthy("rating")
+    aggs = [F.count(F.lit(1)).alias("n_all"), F.count(r).alias("n_r"), F.sum(r).cast("bigint").alias("s_r")]
+    for name, col in DIMENSIONS:
+        aggs += [F.count(_truthy(col)).alias(f"n_{name}"), F.sum(_truthy(col)).cast("bigint").alias(f"s_{name}")]
+    g = df.groupingSets([["feedback_type"], ["model_id"], []], "feedback_type", "model_id") \
+        .agg(*aggs, F.grouping_id().alias("gid"))
+    # gid bits: feedback_type is the high bit, model_id the low bit.
+    def entry(section, key, n, s=None, n_rated=None):
+        n_rated = n if n_rated is None else n_rated
+        return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("bigint").alias("n"),
+                        (F.coalesce(s, F.lit(0)) if s is not None else F.lit(None)).cast("bigint").alias("rating_sum"),
+                        (_mean(s, n_rated) if s is not None else F.lit(None)).cast("double").alias("average"))
+    total = F.array(
+        entry("total", F.when(F.col("n_all") == 0, F.lit("No feedback data available")), F.col("n_all")),
+        entry("overall", F.lit(None), F.col("n_r"), F.col("s_r")),
+        *[entry("detailed", F.lit(name), F.col(f"n_{name}"), F.col(f"s_{name}")) for name, _c in DIMENSIONS])
+    rows = (F.when(F.col("gid") == 3, total)
+             .when(F.col("gid") == 1, F.array(entry("by_type", F.col("feedback_type"), F.col("n_all"))))
+             .otherwise(F.array(entry("by_model", F.col("model_id"), F.col("n_all"), F.col("s_r"), F.col("n_r")))))
+    return g.select(F.inline(rows))

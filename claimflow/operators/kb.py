@@ -191,13 +191,19 @@ def new_documents(incoming: DataFrame, indexed: DataFrame, id_col: str = "doc_id
     return inc.join(done, "content_hash", "left_anti")
 
 
-def ingest_stats(incoming: DataFrame, new_docs: DataFrame) -> DataFrame:
-    """Documents scanned, new documents indexed, skipped."""
-    scanned = incoming.agg(F.count(F.lit(1)).alias("scanned"))
-    new = new_docs.agg(F.count(F.lit(1)).alias("new_indexed"))
-    s = scanned.select(F.lit("scanned").alias("k"), F.col("scanned").alias("v")).unionByName(
-        new.select(F.lit("new_indexed").alias("k"), F.col("new_indexed").alias("v")))
-    return s.groupBy().pivot("k", ["scanned", "new_indexed"]).agg(F.first("v")).select(
+def ingest_stats(incoming: DataFrame, indexed: DataFrame, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """Documents scanned, new documents indexed, skipped, in one pass:
+    incoming documents grouped by content hash (partial aggregation), joined
+    with the indexed hashes, then one global aggregate."""
+    inc = (incoming.select(content_hash(text_col).alias("content_hash"))
+           .groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")))
+    done = indexed.select(content_hash(text_col).alias("content_hash")).distinct() \
+        .withColumn("indexed", F.lit(True))
+    j = inc.join(done, "content_hash", "left")
+    agg = j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"),
+                F.count_if(F.col("indexed").isNull()).alias("new_indexed"))
+    return agg.select(
         F.col("scanned").cast("bigint").alias("documents_scanned"),
         F.col("new_indexed").cast("bigint").alias("new_documents_indexed"),
         (F.col("scanned") - F.col("new_indexed")).cast("bigint").alias("documents_skipped"),

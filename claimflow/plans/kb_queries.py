@@ -98,8 +98,7 @@ select (select count(*) from documents) as documents_scanned, (select count(*) f
  (select count(*) from documents) - (select count(*) from nd) as documents_skipped, 'COMPLETE' as status""")
 def kb_ingest_stats(spark, sf_dir):
     """Scanned / new / skipped counts of one ingestion run."""
-    docs = _docs(spark, sf_dir)
-    return kb.ingest_stats(docs, kb.new_documents(docs, _indexed(spark, sf_dir)))
+    return kb.ingest_stats(_docs(spark, sf_dir), _indexed(spark, sf_dir))
 
 
 def _retrieval(spark, sf_dir, k=5):
