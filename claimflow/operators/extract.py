@@ -18,10 +18,20 @@ def field_value(text: Column, label: str) -> Column:
     return F.regexp_extract(text, label + r": ([^\n]*)", 1)
 
 
-def extract_fields(df: DataFrame, text_col: str, out_col: str = "extracted_info") -> DataFrame:
-    """The five fields as a JSON object string (keys are the labels)."""
-    text = F.col(text_col)
-    return df.withColumn(out_col, F.to_json(F.struct(*[field_value(text, f).alias(f) for f in CLAIM_FIELDS])))
+def fields_struct(text: Column) -> Column:
+    """The five labelled fields as a struct (one regex pass per field)."""
+    return F.struct(*[field_value(text, f).alias(f) for f in CLAIM_FIELDS])
+
+
+def extract_fields(df: DataFrame, text_col: str, out_col: str = "extracted_info",
+                   fields_col: str | None = None) -> DataFrame:
+    """The five fields as a JSON object string (keys are the labels).
+    With ``fields_col`` the struct is also kept for later use (e.g. the
+    summary) so the fields are extracted only once."""
+    if fields_col:
+        out = df.withColumn(fields_col, fields_struct(F.col(text_col)))
+        return out.withColumn(out_col, F.to_json(F.col(fields_col)))
+    return df.withColumn(out_col, F.to_json(fields_struct(F.col(text_col))))
 
 
 def extract_fields_typed(df: DataFrame, text_col: str) -> DataFrame:
@@ -43,13 +53,19 @@ def _sql_field(text_col: str, label: str) -> str:
     return f"regexp_extract(`{text_col}`, '{label}: ([^\\\\n]*)', 1)"
 
 
-def claim_summary(df: DataFrame, text_col: str, out_col: str = "summary") -> DataFrame:
-    """M14 offline summary: one sentence assembled from the extracted fields."""
-    t = F.col(text_col)
-    return df.withColumn(out_col, F.concat(
-        F.lit("Claim by "), field_value(t, "Claimant Name"),
-        F.lit(" under policy "), field_value(t, "Policy Number"),
-        F.lit(" for "), field_value(t, "Claim Amount"),
-        F.lit(", incident on "), field_value(t, "Incident Date"),
-        F.lit(": "), field_value(t, "Incident Description"),
-    ))
+def summary_sentence(fields: Column) -> Column:
+    """M14 offline summary from a fields struct."""
+    return F.concat(
+        F.lit("Claim by "), fields["Claimant Name"],
+        F.lit(" under policy "), fields["Policy Number"],
+        F.lit(" for "), fields["Claim Amount"],
+        F.lit(", incident on "), fields["Incident Date"],
+        F.lit(": "), fields["Incident Description"],
+    )
+
+
+def claim_summary(df: DataFrame, text_col: str, out_col: str = "summary", fields_col: str | None = None) -> DataFrame:
+    """M14 offline summary: one sentence assembled from the extracted fields
+    (read from ``fields_col`` when the fields were already extracted)."""
+    fields = F.col(fields_col) if fields_col else fields_struct(F.col(text_col))
+    return df.withColumn(out_col, summary_sentence(fields))

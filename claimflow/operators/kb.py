@@ -106,12 +106,13 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """
     spark = corpus.sparkSession
     qsel = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"))
-    n_q = qsel.count()
-    n_blocks = max(1, -(-n_q // MAX_QUERIES_PER_PASS))
+    head = qsel.limit(MAX_QUERIES_PER_PASS + 1).collect()  # bounded size check
+    n_blocks = 1 if len(head) <= MAX_QUERIES_PER_PASS else -(-qsel.count() // MAX_QUERIES_PER_PASS)
     parts = []
     for b in range(n_blocks):
-        block = qsel if n_blocks == 1 else qsel.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        rows = block.collect()  # bounded: at most MAX_QUERIES_PER_PASS rows of one vector each
+        # Blocks are hash buckets of the query ids: about MAX_QUERIES_PER_PASS each.
+        rows = head if n_blocks == 1 else \
+            qsel.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).collect()
         if not rows:
             continue
         parts.append(_knn_pass(corpus, [r["qid"] for r in rows], np.array([r["qvec"] for r in rows], dtype=np.float64),

@@ -31,8 +31,8 @@ def analyze_claims(df: DataFrame, text_col: str = "claim_text", apply_filtering:
     prompt_src = text_col if reference_compat else "filtered_text"
     out = out.withColumn("base_prompt", templates.render("extract_info", document_text=prompt_src))
     out = prompts.enrich_prompt(out, "base_prompt", prompts.policy_context_block())
-    out = extract.extract_fields(out, "filtered_text")
-    out = extract.claim_summary(out, "filtered_text")
+    out = extract.extract_fields(out, "filtered_text", fields_col="fields")
+    out = extract.claim_summary(out, "filtered_text", fields_col="fields")
     out = policy.validate_completeness(out, "extracted_info", "policy_required_info")
     return out
 
