@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from claimflow.operators import inference
 from claimflow.streaming import pipelines
@@ -62,4 +61,24 @@ def test_kb_sync(spark, tmpdir_path):
     q.awaitTermination()
     rows = spark.read.parquet(chunks).orderBy("chunk_no").collect()
     assert [r.input_key for r in rows] == ["policies/auto.txt"] * 2
-    assert rows[1].n_words == 260 and F is not None
+    assert rows[1].n_words == 260
+
+
+class _FailOnBadClient(inference.OfflineClient):
+    def invoke(self, model_id, body):
+        if "CORRUPT" in body:
+            raise RuntimeError("model error")
+        return super().invoke(model_id, body)
+
+
+def test_error_isolation_goes_to_quarantine(spark, tmpdir_path):
+    inp = os.path.join(tmpdir_path, "in2")
+    _write(inp, "documents/ok.txt", "Claimant Name: A\nIncident Description: car")
+    _write(inp, "documents/bad.txt", "CORRUPT document")
+    out, quar, ck = (os.path.join(tmpdir_path, x) for x in ("out2", "quar2", "ck2"))
+    q = pipelines.process_on_arrival(spark, inp, out, quar, ck, "anthropic.claude-3-haiku-20240307-v1:0",
+                                     client_factory=_FailOnBadClient)
+    q.awaitTermination()
+    assert [r.input_file for r in spark.read.parquet(out).collect()] == ["documents/ok.txt"]
+    bad = spark.read.parquet(quar).collect()
+    assert [(r.input_key, r.error) for r in bad] == [("documents/bad.txt", "model error")]
