@@ -7,7 +7,7 @@ import string
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimflow.operators import extract, pii, policy, prompts
+from claimflow.operators import extract, policy, prompts
 from claimflow.plans import analyze
 from claimflow.plans.pii_queries import RULES, _q, _staged_sql
 from claimflow.plans.registry import query
