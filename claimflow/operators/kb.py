@@ -106,27 +106,45 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """
     spark = corpus.sparkSession
     qsel = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"))
-    head = qsel.limit(MAX_QUERIES_PER_PASS + 1).collect()  # bounded size check
-    n_blocks = 1 if len(head) <= MAX_QUERIES_PER_PASS else -(-qsel.count() // MAX_QUERIES_PER_PASS)
-    parts = []
-    for b in range(n_blocks):
-        # Blocks are hash buckets of the query ids: about MAX_QUERIES_PER_PASS each.
-        rows = head if n_blocks == 1 else \
-            qsel.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).collect()
-        if not rows:
-            continue
-        parts.append(_knn_pass(corpus, [r["qid"] for r in rows], np.array([r["qvec"] for r in rows], dtype=np.float64),
-                               k, id_col, vec_col, spark))
+    parts = [_knn_pass(corpus, [r["qid"] for r in rows], np.array([r["qvec"] for r in rows], dtype=np.float64),
+                       k, id_col, vec_col, spark)
+             for rows in _query_blocks(qsel)]
     if not parts:
         return spark.createDataFrame([], f"qid {qsel.schema['qid'].dataType.simpleString()}, rank int, {id_col} long, d2 double")
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("d2"), F.col(id_col))
+    # Every corpus partition contributes k rows per query. Merge in two
+    # levels so no single window group grows with the number of partitions:
+    # first per (query, id bucket), then per query over buckets x k rows.
+    n_buckets = max(1, int(corpus.rdd.getNumPartitions() ** 0.5))
+    order = [F.col("d2"), F.col(id_col)]
+    if n_buckets > 1:
+        cand = cand.withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(n_buckets)))
+        w1 = Window.partitionBy("qid", "__b").orderBy(*order)
+        cand = cand.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k).drop("__b", "__r")
+    w = Window.partitionBy("qid").orderBy(*order)
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select("qid", "rank", id_col, "d2"))
 
 
+def _query_blocks(qsel: DataFrame, seed: int = 42, depth: int = 0):
+    """Yield the query rows in blocks of at most ``MAX_QUERIES_PER_PASS``.
+    Every collect is capped by ``limit``; a hash bucket that turns out larger
+    is split again with another seed, so the bound is strict."""
+    head = qsel.limit(MAX_QUERIES_PER_PASS + 1).collect()
+    if len(head) <= MAX_QUERIES_PER_PASS:
+        if head:
+            yield head
+        return
+    if depth > 8:
+        raise ValueError("cannot split the query set into bounded blocks (duplicate query ids?)")
+    n = 2 * -(-qsel.count() // MAX_QUERIES_PER_PASS)
+    for b in range(n):
+        sub = qsel.where(F.pmod(F.xxhash64(F.col("qid"), F.lit(seed)), F.lit(n)) == b)
+        yield from _query_blocks(sub, seed + 1, depth + 1)
+
+
 def _knn_pass(corpus, qids, qmat, k, id_col, vec_col, spark):
     bq = spark.sparkContext.broadcast((qids, qmat))
     qid_type = "long" if isinstance(qids[0], (int, np.integer)) else "string"

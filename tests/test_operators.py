@@ -223,3 +223,19 @@ def test_report_lines(spark):
     assert summ[0].startswith("- **Total Tests Run:** ") and summ[3].endswith("%")
     assert lines.where("section = 'timing'").count() == 3
     assert lines.where("section = 'claims'").count() == r.count()
+
+
+def test_knn_two_level_merge_on_many_partitions(spark):
+    from claimflow.sources.tables import read_table
+    e = read_table(spark, SF_SMALL, "embeddings")
+    rows = e.collect()
+    X = np.array([r.embedding for r in rows], dtype=np.float64)
+    ids = np.array([r.vec_id for r in rows])
+    Q = X[10:14] * 0.5
+    qdf = spark.createDataFrame([(int(i), [float(v) for v in q]) for i, q in enumerate(Q)], "qid long, qvec array<double>")
+    got = kb.knn_topk(e.repartition(16), qdf, k=7).collect()  # 4 id buckets in the first merge level
+    for qi in range(len(Q)):
+        d = ((X - Q[qi]) ** 2).sum(1)
+        order = sorted(range(len(ids)), key=lambda j: (d[j], ids[j]))[:7]
+        mine = [r.vec_id for r in sorted([r for r in got if r.qid == qi], key=lambda r: r.rank)]
+        assert mine == [int(ids[j]) for j in order]
