@@ -76,6 +76,24 @@ def dimension_check(df: DataFrame, vec_col: str, dim: int) -> tuple[DataFrame, D
     return df.where(ok), df.where(~ok)
 
 
+def build_index(chunks: DataFrame, path: str, dim: int, vec_col: str = "vector") -> tuple[str, DataFrame]:
+    """V4: the embedded chunk table *is* the index. Absent -> created; present
+    with the same vector dimension -> kept; a different dimension -> rebuilt
+    (overwritten). Rows of the wrong dimension are returned, not indexed."""
+    from pyspark.errors import AnalysisException
+    spark = chunks.sparkSession
+    try:
+        head = spark.read.parquet(path).select(F.size(vec_col)).limit(1).collect()
+        if head and head[0][0] == dim:
+            return "exists", chunks.limit(0)
+        status = "rebuilt"
+    except AnalysisException:
+        status = "created"
+    ok, bad = dimension_check(chunks, vec_col, dim)
+    ok.write.mode("overwrite").parquet(path)
+    return status, bad
+
+
 def label_centroids(df: DataFrame, label_col: str = "label", vec_col: str = "embedding",
                     out_col: str = "qvec") -> DataFrame:
     """Mean vector per label (MLlib ``Summarizer``: partial aggregation, one

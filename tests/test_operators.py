@@ -239,3 +239,14 @@ def test_knn_two_level_merge_on_many_partitions(spark):
         order = sorted(range(len(ids)), key=lambda j: (d[j], ids[j]))[:7]
         mine = [r.vec_id for r in sorted([r for r in got if r.qid == qi], key=lambda r: r.rank)]
         assert mine == [int(ids[j]) for j in order]
+
+
+def test_build_index_lifecycle(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "index")
+    c = spark.createDataFrame([(1, "a b"), (2, "c d e")], "doc_id int, chunk_text string")
+    e8 = kb.embed_chunks(c, dim=8)
+    assert kb.build_index(e8, path, 8)[0] == "created"
+    assert kb.build_index(e8, path, 8)[0] == "exists"
+    status, bad = kb.build_index(kb.embed_chunks(c, dim=16), path, 16)
+    assert status == "rebuilt" and bad.count() == 0
+    assert spark.read.parquet(path).select(F.size("vector")).first()[0] == 16
