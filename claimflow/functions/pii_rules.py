@@ -40,6 +40,20 @@ BUILTIN_RULES = (
 )
 
 
+# A character every match of the rule must contain literally (punctuation,
+# so case folding cannot change it). Texts without it skip the rule's regex
+# pass; the result is the same because no match is possible.
+REQUIRED_CHAR = {"ssn": "-", "email": "@", "date_of_birth": "/"}
+
+
+def required_char(rule: PiiRule) -> str | None:
+    """The guard character of a built-in rule (None for changed/custom rules)."""
+    builtin = {r[0]: r[1] for r in BUILTIN_RULES}
+    if builtin.get(rule.name) == rule.pattern:
+        return REQUIRED_CHAR.get(rule.name)
+    return None
+
+
 class PiiRegistry:
     """Ordered rule registry. ``add_custom`` appends a rule, or overwrites a
     rule of the same name in place (keeping its position)."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimflow.functions.arrays import exclusive_prefix_sums, interleave
-from claimflow.functions.pii_rules import DEFAULT_REGISTRY, PiiRegistry, PiiRule
+from claimflow.functions.pii_rules import DEFAULT_REGISTRY, PiiRegistry, PiiRule, required_char
 
 _SEP = "\ue000"  # private-use code point marking match boundaries
 CONTEXT_CHARS = 30
@@ -45,7 +45,11 @@ def match_parts(text: Column, rule: PiiRule) -> Column:
     gaps = F.split(text, p, -1)
     hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
     slow = interleave(gaps, hits)
-    return F.when(F.instr(text, _SEP) == 0, fast).otherwise(slow)
+    parts = F.when(F.instr(text, _SEP) == 0, fast).otherwise(slow)
+    guard = required_char(rule)
+    if guard is None:
+        return parts
+    return F.when(F.instr(text, guard) == 0, F.array(text)).otherwise(parts)
 
 
 def _n_matches(parts: Column) -> Column:
@@ -112,7 +116,9 @@ def mask_text(text, types=None, registry: PiiRegistry = DEFAULT_REGISTRY) -> Col
     ``regexp_replace`` per rule, no arrays, stays inside whole-stage codegen."""
     out = _col(text)
     for rule in registry.select(types):
-        out = F.regexp_replace(out, rule.java_pattern, _java_literal(rule.replacement))
+        replaced = F.regexp_replace(out, rule.java_pattern, _java_literal(rule.replacement))
+        guard = required_char(rule)
+        out = replaced if guard is None else F.when(F.instr(out, guard) == 0, out).otherwise(replaced)
     return out
 
 
