@@ -23,6 +23,26 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (hundreds of executors, tens of TB of text).
+# Apply with ``get_spark(extra_conf=CLUSTER_CONF)`` or the launcher.
+CLUSTER_CONF = {
+    # Regex masking costs CPU per byte: smaller scan splits give more, shorter
+    # tasks (less straggling, cheaper retries when an executor is lost).
+    "spark.sql.files.maxPartitionBytes": str(64 << 20),
+    # Let AQE size shuffles: start wide, coalesce to ~128 MB partitions.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    # Split skewed join partitions (e.g. one hot claim/source key).
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    # Arrow batches for mapInPandas stages (inference, k-NN kernel).
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # Re-run lost shuffle outputs instead of failing the stage.
+    "spark.stage.maxConsecutiveAttempts": "8",
+    "spark.task.maxFailures": "8",
+}
+
+
 def get_spark(
     master: str | None = None,
     app_name: str = "claimflow",
