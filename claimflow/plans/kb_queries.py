@@ -132,3 +132,28 @@ def prompt_enriched_kb(spark, sf_dir):
     j = j.withColumn("base_prompt", prompts.DEFAULT_TEMPLATES.render("extract_info", document_text="text"))
     e = prompts.enrich_prompt(j, "base_prompt", prompts.kb_context_block("results", 3))
     return e.select("qid", "enriched_prompt", "enrichment_stats.*")
+
+
+_KNN_SQL_BODY = """x as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings),
+c as (select label, list(a order by i) as q from (select label, i, avg(cast(v as double)) as a from x group by label, i) group by label),
+d as (select c.label as qid, e.vec_id, e.label as vlabel, list_distance(cast(e.embedding as double[]), c.q) as dist
+      from c cross join embeddings e),
+r as (select *, row_number() over (partition by qid order by dist, vec_id) as rank from d)"""
+
+
+@query("prompt_context_kb", f"""with {_KNN_SQL_BODY}
+select cast(qid as bigint) as qid, chr(10) || 'POLICY CONTEXT FROM KNOWLEDGE BASE:' || chr(10) ||
+  string_agg(chr(10) || cast(rank as varchar) || '. vector ' || cast(vec_id as varchar) || ' (label ' ||
+             cast(vlabel as varchar) || ')' || chr(10), '' order by rank) as context
+from r where rank <= 3 group by qid""")
+def prompt_context_kb(spark, sf_dir):
+    """M7: retrieval-mode context block (top 3 of the 5 retrieved items,
+    numbered) for each label-centroid query over the embeddings."""
+    e = read_table(spark, sf_dir, "embeddings")
+    knn = _knn(spark, sf_dir)
+    items = knn.join(e.select("vec_id", "label"), "vec_id").withColumn(
+        "content", F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" (label "),
+                            F.col("label").cast("string"), F.lit(")")))
+    # at most k = 5 rows per query: the collected list is bounded
+    res = items.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("results"))
+    return res.select("qid", prompts.kb_context_block("results", 3).alias("context"))
