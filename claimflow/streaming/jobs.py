@@ -1,4 +1,4 @@
-"""Structured Streaming pipelines.
+"""Structured Streaming jobs.
 
 * T1/T2/T3 ``process_on_arrival``: text documents landing in a folder are
   read whole, processed with the same batch operators, and written per

@@ -194,7 +194,7 @@ def test_request_and_response_layouts(spark):
     reqs = {r.m: json.loads(r.b) for r in rows}
     assert reqs["amazon.nova-lite-v1:0"]["inferenceConfig"]["max_new_tokens"] == 1000
     assert reqs["openai.gpt-oss-120b-1:0"]["max_completion_tokens"] == 1000
-    assert reqs["anthropic.x"]["anthropic_version"] == "bedrock-2023-05-31"
+    assert reqs["anthropic.x"]["anthropic_version"] == inference.ANTHROPIC_VERSION
     assert all(r.t == "yo" for r in rows)
     c = spark.createDataFrame([("x", '{"completion": "c"}'), ("x", "{}")], "m string, b string")
     assert [r.t for r in c.select(inference.response_text("m", "b").alias("t")).collect()] == ["c", ""]

@@ -1,11 +1,11 @@
-"""Streaming pipelines give the batch result."""
+"""Streaming jobs give the batch result."""
 
 import json
 import os
 
 
 from claimflow.operators import inference
-from claimflow.streaming import pipelines
+from claimflow.streaming import jobs
 
 
 def _write(root, rel, body):
@@ -21,13 +21,13 @@ def test_process_on_arrival_equals_batch(spark, tmpdir_path):
     _write(inp, "documents/c2.txt", "Claimant Name: B\nIncident Description: water")
     out, quar, ck = (os.path.join(tmpdir_path, x) for x in ("out", "quarantine", "ck"))
     model = "anthropic.claude-3-sonnet-20240229-v1:0"
-    q = pipelines.process_on_arrival(spark, inp, out, quar, ck, model)
+    q = jobs.process_on_arrival(spark, inp, out, quar, ck, model)
     q.awaitTermination()
     # a re-upload under another folder with the same basename overwrites the summary
     _write(inp, "archive/c1.txt", "Claimant Name: A2\nIncident Description: car crash again")
-    q = pipelines.process_on_arrival(spark, inp, out, quar, ck, model)
+    q = jobs.process_on_arrival(spark, inp, out, quar, ck, model)
     q.awaitTermination()
-    latest = {r.output_key: r for r in pipelines.read_latest_summaries(spark, out).collect()}
+    latest = {r.output_key: r for r in jobs.read_latest_summaries(spark, out).collect()}
     assert set(latest) == {"summaries/c1.txt.json", "summaries/c2.txt.json"}
     assert latest["summaries/c1.txt.json"].input_file == "archive/c1.txt"
     # batch result for the same document
@@ -45,7 +45,7 @@ def test_running_feedback(spark, tmpdir_path):
         if t:
             body["feedback_type"] = t
         _write(root, f"feedback/{i}.json", json.dumps(body, indent=2))
-    q = pipelines.running_feedback(spark, root, "fb_stats_test")
+    q = jobs.running_feedback(spark, root, "fb_stats_test")
     q.awaitTermination()
     got = {r.feedback_type: r for r in spark.sql("select * from fb_stats_test").collect()}
     assert got["positive"].n_feedback == 2 and got["positive"].n_ratings == 1
@@ -57,7 +57,7 @@ def test_kb_sync(spark, tmpdir_path):
     _write(root, "policies/auto.txt", " ".join(f"w{i}" for i in range(500)))
     _write(root, "other/x.txt", "not a policy")
     chunks = os.path.join(tmpdir_path, "chunks")
-    q = pipelines.kb_sync(spark, root, chunks, os.path.join(tmpdir_path, "kbck"))
+    q = jobs.kb_sync(spark, root, chunks, os.path.join(tmpdir_path, "kbck"))
     q.awaitTermination()
     rows = spark.read.parquet(chunks).orderBy("chunk_no").collect()
     assert [r.input_key for r in rows] == ["policies/auto.txt"] * 2
@@ -76,7 +76,7 @@ def test_error_isolation_goes_to_quarantine(spark, tmpdir_path):
     _write(inp, "documents/ok.txt", "Claimant Name: A\nIncident Description: car")
     _write(inp, "documents/bad.txt", "CORRUPT document")
     out, quar, ck = (os.path.join(tmpdir_path, x) for x in ("out2", "quar2", "ck2"))
-    q = pipelines.process_on_arrival(spark, inp, out, quar, ck, "anthropic.claude-3-haiku-20240307-v1:0",
+    q = jobs.process_on_arrival(spark, inp, out, quar, ck, "anthropic.claude-3-haiku-20240307-v1:0",
                                      client_factory=_FailOnBadClient)
     q.awaitTermination()
     assert [r.input_file for r in spark.read.parquet(out).collect()] == ["documents/ok.txt"]
