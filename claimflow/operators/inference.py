@@ -67,7 +67,7 @@ def response_body(model_id, text) -> Column:
 
 
 class OfflineClient:
-    """Deterministic stand-in for a hosted model: echoes the first line of
+    """Deterministic stand-in for a hosted model: echoes the last line of
     the prompt's document section, so jobs run without a network."""
 
     def invoke(self, model_id: str, body: str) -> str:
