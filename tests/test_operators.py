@@ -250,3 +250,17 @@ def test_build_index_lifecycle(spark, tmpdir_path):
     status, bad = kb.build_index(kb.embed_chunks(c, dim=16), path, 16)
     assert status == "rebuilt" and bad.count() == 0
     assert spark.read.parquet(path).select(F.size("vector")).first()[0] == 16
+
+
+def test_spread_only_widens_small_inputs(spark):
+    from claimflow.sources.parallel import spread
+    small = spark.range(10).coalesce(1)
+    assert spread(small, 4).rdd.getNumPartitions() == 4
+    wide = spark.range(100).repartition(6)
+    assert spread(wide, 4) is wide  # enough splits: no extra shuffle
+
+
+def test_checkpoint_dir_comes_from_session(spark):
+    from claimflow.session import ensure_checkpoint_dir
+    current = spark.sparkContext.getCheckpointDir()
+    assert current and ensure_checkpoint_dir(spark) == current
