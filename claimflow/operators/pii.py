@@ -191,13 +191,16 @@ def _stage_detections(parts: Column, rule: PiiRule) -> Column:
 
 
 # ------------------------------------------------------------------- audit
-def context_snippet(text: Column, start: Column, end: Column, chars: int = CONTEXT_CHARS) -> Column:
-    """Text within ``chars`` of a span; ``...`` marks each truncated side."""
+def context_snippet(text: Column, start: Column, end: Column, chars: int = CONTEXT_CHARS,
+                    text_length: Column | None = None) -> Column:
+    """Text within ``chars`` of a span; ``...`` marks each truncated side.
+    Pass ``text_length`` when it is already known (it costs a full scan)."""
+    n = F.length(text) if text_length is None else text_length
     cs = F.greatest(start - chars, F.lit(0))
-    ce = F.least(end + chars, F.length(text))
+    ce = F.least(end + chars, n)
     body = F.substring(text, cs + 1, ce - cs)
     return F.concat(F.when(cs > 0, F.lit("...")).otherwise(F.lit("")), body,
-                    F.when(ce < F.length(text), F.lit("...")).otherwise(F.lit("")))
+                    F.when(ce < n, F.lit("...")).otherwise(F.lit("")))
 
 
 def detect_document(df: DataFrame, text_col: str = "text", types=None,
@@ -237,14 +240,19 @@ def detect_document(df: DataFrame, text_col: str = "text", types=None,
 
 
 def _audit_detections(text: Column, parts: Column, rule: PiiRule) -> Column:
-    return F.transform(_matches_with_starts(parts), lambda z: F.struct(
-        F.lit(rule.name).alias("type"),
-        F.lit(rule.description).alias("description"),
-        z["m"].alias("found"),
-        z["start"].alias("start"),
-        (z["start"] + F.length(z["m"])).alias("end"),
-        context_snippet(text, z["start"], z["start"] + F.length(z["m"])).alias("context"),
-    ))
+    # The text length is bound once per document (see kb.let), not per detection.
+    def build(matches_and_len):
+        n = matches_and_len["n"]
+        return F.transform(matches_and_len["ms"], lambda z: F.struct(
+            F.lit(rule.name).alias("type"),
+            F.lit(rule.description).alias("description"),
+            z["m"].alias("found"),
+            z["start"].alias("start"),
+            (z["start"] + F.length(z["m"])).alias("end"),
+            context_snippet(text, z["start"], z["start"] + F.length(z["m"]), text_length=n).alias("context"),
+        ))
+    ms = _matches_with_starts(parts)
+    return F.transform(F.array(F.struct(ms.alias("ms"), F.length(text).alias("n"))), build)[0]
 
 
 # ------------------------------------------------------------ corpus level
