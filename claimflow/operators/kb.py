@@ -247,6 +247,21 @@ def ingest_stats(incoming: DataFrame, indexed: DataFrame, id_col: str = "doc_id"
         F.lit("COMPLETE").alias("status"))
 
 
+def ingest_stats_by_source(incoming: DataFrame, indexed: DataFrame, source_col: str = "source",
+                           text_col: str = "text") -> DataFrame:
+    """A13 per data source: documents scanned and distinct new contents
+    indexed (content not in ``indexed``). Grouping by (source, hash) is
+    partially aggregated, so duplicated contents collapse before the shuffle."""
+    inc = (incoming.select(source_col, content_hash(text_col).alias("content_hash"))
+           .groupBy(source_col, "content_hash").agg(F.count(F.lit(1)).alias("n")))
+    done = indexed.select(content_hash(text_col).alias("content_hash")).distinct() \
+        .withColumn("indexed", F.lit(True))
+    j = inc.join(done, "content_hash", "left")
+    return j.groupBy(source_col).agg(
+        F.sum("n").cast("bigint").alias("documents_scanned"),
+        F.count_if(F.col("indexed").isNull()).cast("bigint").alias("new_documents_indexed"))
+
+
 def context_with_fallback(df: DataFrame, kb_results_col: str, fallback_cols: dict) -> DataFrame:
     """V7: retrieval context when results exist, keyword fallback otherwise;
     ``source`` tells which one was used."""
