@@ -174,9 +174,16 @@ def doc_model_grid(spark, sf_dir):
     return c.select("claim_id", F.inline(views.model_list()), "input_key")
 
 
-@query("comparison_report")
+@query("comparison_report", views.with_views(
+    """select claim_name, 'Model Comparison Report' || chr(10) || repeat('=', 50) || chr(10) || chr(10) ||
+ string_agg('Model: ' || model_id || chr(10) || 'Status: ' || case when success then 'Success' else 'Failed' end
+   || chr(10) || 'Processing Time: ' || cast(time_seconds as varchar) || 's' || chr(10) ||
+   case when success then 'Summary Length: ' || cast(length(summary) as varchar) || ' chars' || chr(10) ||
+        'Summary: ' || substr(summary, 1, 200) || '...' || chr(10)
+   else 'Error: ' || error || chr(10) end || chr(10) || repeat('-', 50) || chr(10) || chr(10), '' order by model_ord)
+ as report from model_results group by claim_name""", "model_results"))
 def comparison_report(spark, sf_dir):
-    """Comparison report text per claim (rows-only check)."""
+    """Comparison report text per claim, model blocks in model order."""
     return ev.comparison_report(_results(spark, sf_dir))
 
 
