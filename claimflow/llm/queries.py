@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimflow.llm.common import read
+from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
+from claimflow.llm.quality_rules import quality_verdicts
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,9 +23,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLE = {
+    "op1_benchmark_decontamination": DECONTAMINATION_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
 }
