@@ -8,6 +8,7 @@ from claimflow.llm.common import read
 from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from claimflow.llm.quality_rules import quality_verdicts
+from claimflow.llm.simhash import simhash_digest
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +23,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE = {
