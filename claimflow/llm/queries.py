@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from claimflow.llm.common import read
 from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
+from claimflow.llm.piece_codec import piece_digest
 from claimflow.llm.quality_rules import quality_verdicts
 from claimflow.llm.simhash import simhash_digest
+from claimflow.llm.token_shards import token_shard_digest
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shard_digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(read(spark, sf_dir, "documents"))
 
@@ -29,7 +40,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_token_id_output": op3_token_id_output,
     "op4_quality_rules": op4_quality_rules,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
