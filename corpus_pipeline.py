@@ -7,19 +7,52 @@ documents, so a lost executor never costs more than the running stage.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimflow.llm.common import materialise, read
+from claimflow.llm.decontamination import decontaminate
 from claimflow.llm.line_dedup import line_dedup
+from claimflow.llm.piece_codec import piece_encode
+from claimflow.llm.quality_rules import quality_filter
+from claimflow.llm.simhash import simhash_dedup
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality_filter(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents or more share go, but for the last holder's."""
-    return line_dedup(docs, out_col="__line_dedup").drop("__line_dedup")
+    """Lines that three documents or more share go, but for the last holder's; n_chars follows."""
+    kept = line_dedup(docs, out_col="__line_dedup").drop("__line_dedup")
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each SimHash component stays."""
+    return simhash_dedup(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their sentencepiece ids (end id included) and their number."""
+    return piece_encode(docs, PIECES).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [
+    ("quality rules", quality_stage),
     ("line dedup", line_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("sentencepiece encoding", tokenize_stage),
 ]
 
 # Fingerprints and token ids are beyond SQL.
