@@ -10,6 +10,7 @@ from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from claimflow.llm.piece_codec import piece_digest
 from claimflow.llm.quality_rules import quality_verdicts
+from claimflow.llm.secret_scan import secret_digest
 from claimflow.llm.simhash import simhash_digest
 from claimflow.llm.token_shards import token_shard_digest
 
@@ -26,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_token_id_output": op3_token_id_output,
     "op4_quality_rules": op4_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
