@@ -34,7 +34,7 @@ TOKEN = ("random", r"[A-Za-z0-9+/_-]{16,}")
 KINDS = tuple(kind for kind, *_ in BASE) + TOKEN[:1]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Mean log-likelihood ratio of a transition, in thousandths of a nat, that makes a token random.
-MIN_RATIO = 350
+MIN_RATIO = 200
 #: Transitions that a model's single-character probabilities count for.
 BACKOFF = 10
 #: Digests in the labelled sample.
