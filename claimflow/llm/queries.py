@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimflow.llm.common import read
 from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
+from claimflow.llm.html_text import extract_pages
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from claimflow.llm.piece_codec import piece_digest
 from claimflow.llm.quality_rules import quality_verdicts
@@ -27,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_token_id_output": op3_token_id_output,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_extraction": op5_html_extraction,
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
