@@ -42,6 +42,7 @@ class PieceCodec:
         #: chunk -> its ids, and the same as decimal text.
         self.ids: dict[str, tuple[int, ...]] = {}
         self.decimal: dict[str, str] = {}
+        self.lengths: dict[str, int] = {}
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not self.model.is_byte(i) and not self.model.is_control(i)]
         probe = " a  b\tc\r\n ééﬁ\x85 　z "
@@ -77,16 +78,32 @@ class PieceCodec:
             out.append(" " * (empty - 1))
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Segment chunks into the table."""
+    def segment(self, new: list[str]) -> list[list[int]]:
+        """The library's ids of chunks."""
         # A line feed stands alone on both sides, so it can be cut off again;
         # behind it a chunk is segmented without a marker.
         found = self.model.encode([c if c[:1] == "\n" else c + "\n" for c in new], num_threads=1)
-        for c, ids in zip(new, found):
-            ids = tuple(ids[1:] if c[:1] == "\n" else ids[:-1])
-            self.ids[c] = ids
+        return [ids[1:] if c[:1] == "\n" else ids[:-1] for c, ids in zip(new, found)]
+
+    def learn(self, new: list[str]) -> None:
+        """Segment chunks into the table."""
+        for c, ids in zip(new, self.segment(new)):
+            self.ids[c] = tuple(ids)
             self.decimal[c] = " ".join(map(str, ids))
 
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text, without an end id."""
+        if not self.by_chunk:
+            return list(map(len, self.model.encode(texts, num_threads=1)))
+        split = [self.chunks(t) for t in texts]
+        distinct = set(chain.from_iterable(split))
+        new = distinct - self.lengths.keys()
+        if len(self.lengths) + len(new) > self.max_chunks:
+            self.lengths, new = {}, distinct
+        listed = list(new)
+        self.lengths.update(zip(listed, map(len, self.segment(listed))))
+        return [sum(map(self.lengths.__getitem__, parts)) for parts in split]
+
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """The ids of each text with the end id, and the same as decimal text."""
         if not self.by_chunk:

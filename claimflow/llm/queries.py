@@ -13,6 +13,7 @@ from claimflow.llm.piece_codec import piece_digest
 from claimflow.llm.quality_rules import quality_verdicts
 from claimflow.llm.secret_scan import secret_digest
 from claimflow.llm.simhash import simhash_digest
+from claimflow.llm.token_counts import corpus_token_totals
 from claimflow.llm.token_shards import token_shard_digest
 
 
@@ -44,6 +45,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(read(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_token_totals(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), {
+        "byte_bpe_50k": ("bytes", public_tokenizers.path("byte_bpe_50k.json")),
+        "piece_bpe_32k": ("pieces", public_tokenizers.path("piece_bpe_32k.model")),
+    })
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(read(spark, sf_dir, "documents"))
 
@@ -56,6 +64,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

@@ -119,9 +119,12 @@ class ByteBpe:
                     raise TypeError
                 yield b"".join(map(self.table.__getitem__, parts))
             except TypeError:  # white space runs: cut only behind other characters
-                whole = _CUT.split(text)
-                for e in [self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]:
-                    yield self._pack(list(chain.from_iterable(x.ids for x in e)))
+                whole = self.tokenizer.encode_batch_fast(_CUT.split(text), add_special_tokens=False)
+                yield self._pack(list(chain.from_iterable(e.ids for e in whole)))
+
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return [len(ids) // self.dtype.itemsize for ids in self.encode(texts)]
 
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
