@@ -13,6 +13,7 @@ from claimflow.llm.piece_codec import piece_digest
 from claimflow.llm.quality_rules import quality_verdicts
 from claimflow.llm.secret_scan import secret_digest
 from claimflow.llm.simhash import simhash_digest
+from claimflow.llm.suffix_dedup import suffix_digest
 from claimflow.llm.token_counts import corpus_token_totals
 from claimflow.llm.token_shards import token_shard_digest
 
@@ -21,6 +22,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(read(spark, sf_dir, "documents"))
+
+
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shard_digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,6 +63,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_id_output": op3_token_id_output,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
