@@ -18,18 +18,18 @@ def _c(c) -> Column:
 
 
 def short_model_name(model_id) -> Column:
-    """``id.split('.')[-1].split('-')[0].title()`` (e.g. ``Claude``)."""
+    """The first dash-separated word behind the last dot, capitalised (e.g. ``Claude``)."""
     tail = F.element_at(F.split(_c(model_id), r"\."), -1)
     return F.initcap(F.element_at(F.split(tail, "-"), 1))
 
 
 def provider_name(model_id) -> Column:
-    """``id.split('.')[0].title()`` (e.g. ``Anthropic``)."""
+    """What stands before the first dot, capitalised (e.g. ``Anthropic``)."""
     return F.initcap(F.element_at(F.split(_c(model_id), r"\."), 1))
 
 
 def model_tail(model_id) -> Column:
-    """``id.split('.')[-1]`` as printed by the quick comparison table."""
+    """What stands behind the last dot, as the quick comparison table prints it."""
     return F.element_at(F.split(_c(model_id), r"\."), -1)
 
 
@@ -59,16 +59,19 @@ def comparison_rows(results: DataFrame) -> DataFrame:
     )
 
 
-def eval_totals(results: DataFrame, n_models: int) -> DataFrame:
+def eval_totals(results: DataFrame, models: DataFrame) -> DataFrame:
     """tests = claims x models, successes, failures, success rate.
 
-    A claim that failed as a whole has rows with ``success = false`` (or no
-    successes), so all its tests count as failed. An empty run yields a
-    null rate instead of dividing by zero."""
-    per_claim = results.groupBy("claim_name").agg(
-        F.count_if(F.col("success")).alias("ok"))
+    A (claim, model) pair counts once, by its last result, and only models of
+    ``models`` (``model_ord, model_id``) count. A claim that failed as a whole
+    (a row without a model) is a claim without successes. An empty run yields
+    a null rate instead of dividing by zero."""
+    listed = models.select("model_id", F.lit(True).alias("listed"))
+    pairs = one_per_model(results.select("claim_name", "model_id", "success"), ("claim_name", "model_id"))
+    per_claim = pairs.join(F.broadcast(listed), "model_id", "left").groupBy("claim_name").agg(
+        F.count_if(F.col("success") & F.coalesce("listed", F.lit(False))).alias("ok"))
     agg = per_claim.agg(F.count(F.lit(1)).alias("claims"), F.sum("ok").alias("ok"))
-    tests = F.col("claims") * F.lit(n_models)
+    tests = F.col("claims") * models.agg(F.count(F.lit(1))).scalar()
     ok = F.coalesce(F.col("ok"), F.lit(0)).cast("bigint")
     return agg.select(
         F.col("claims").cast("bigint").alias("claims"),
@@ -103,13 +106,17 @@ def model_timing(results: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
-def result_grid(results: DataFrame, n_models: int) -> DataFrame:
-    """A10: one row per claim, status/time/length/quality per model ordinal
-    (a pivot written as conditional aggregates: one shuffle on the claim)."""
+def result_grid(results: DataFrame, models: Sequence[str]) -> DataFrame:
+    """A10: one row per claim, status/time/length/quality for each configured
+    model (a pivot written as conditional aggregates: one shuffle on the
+    claim). A result of a model that is not configured is an error, so no
+    column is lost without notice."""
     ok = F.col("success")
     length = F.when(ok, F.length("summary")).cast("bigint")
+    unknown = F.raise_error(F.concat(F.lit("result of a model that is not configured: "), F.col("model_ord").cast("string")))
+    ordinal = F.when(F.col("model_ord").between(1, len(models)), F.col("model_ord")).otherwise(unknown.cast("int"))
     aggs = []
-    for k in range(1, n_models + 1):
+    for k in range(1, len(models) + 1):
         is_k = F.col("model_ord") == k
         aggs += [
             F.max(F.when(is_k, F.when(ok, "Success").otherwise("Failed"))).alias(f"status_{k}"),
@@ -117,7 +124,7 @@ def result_grid(results: DataFrame, n_models: int) -> DataFrame:
             F.max(F.when(is_k, length)).alias(f"length_{k}"),
             F.max(F.when(is_k, quality_label(ok, length))).alias(f"quality_{k}"),
         ]
-    return results.groupBy("claim_name").agg(*aggs)
+    return results.withColumn("model_ord", ordinal).groupBy("claim_name").agg(*aggs)
 
 
 def first_success(results: DataFrame, preview_chars: int = 300) -> DataFrame:
@@ -156,6 +163,7 @@ def quick_compare(results: DataFrame) -> DataFrame:
 def comparison_report(results: DataFrame) -> DataFrame:
     """The comparison report text per claim, model blocks in model order.
     The blocks of one claim are bounded by the model list."""
+    # The wording of the report.
     ok = F.col("success")
     block = F.concat(
         F.lit("Model: "), F.col("model_id"), F.lit("\n"),
@@ -173,48 +181,97 @@ def comparison_report(results: DataFrame) -> DataFrame:
         F.array_join(F.transform("blocks", lambda b: b["block"]), "")).alias("report"))
 
 
-def one_per_model(results: DataFrame, key=("claim_name", "model_ord")) -> DataFrame:
-    """Keep one row per (claim, model) before a per-claim list is collected,
-    so each claim's list is bounded by the model list. The aggregation is
-    partial (map-side), so duplicates of a hot claim collapse before any
-    shuffle."""
+def one_per_model(results: DataFrame, key=("claim_name", "model_ord"), order: str | None = None) -> DataFrame:
+    """The last row of each (claim, model): the greatest ``order``, and of
+    equals (or without an order column) the greatest row. The aggregation is
+    partial (map-side), so duplicates of a hot claim collapse before the
+    shuffle, and a claim's rows are bounded by the model list."""
     payload = [c for c in results.columns if c not in key]
-    return results.groupBy(*key).agg(*[F.first(c).alias(c) for c in payload])
-
-
-def report_lines(results: DataFrame, models: DataFrame, n_models: int) -> DataFrame:
-    """The evaluation report as ordered line rows
-    ``(section, claim_name, ord, line)``: summary totals, models tested,
-    one table row per result, and the per-model timing table. Each section is
-    a projection or small aggregate; sections are combined with a union."""
-    def lines(df, section, claim, ord_col, line):
-        return df.select(F.lit(section).alias("section"), claim.cast("string").alias("claim_name"),
-                         ord_col.cast("int").alias("ord"), line.alias("line"))
-    tot = eval_totals(results, n_models)
-    def item(o, *parts):
-        return F.struct(F.lit(o).alias("o"), F.concat(*parts).alias("l"))
-    summary = tot.select(F.inline(F.array(
-        item(1, F.lit("- **Total Tests Run:** "), F.col("total_tests").cast("string")),
-        item(2, F.lit("- **Successful:** "), F.col("successful").cast("string")),
-        item(3, F.lit("- **Failed:** "), F.col("failed").cast("string")),
-        item(4, F.lit("- **Success Rate:** "), F.format_string("%.1f", F.col("success_rate_pct")), F.lit("%")),
-    )))
-    parts = [lines(summary, "summary", F.lit(None), F.col("o"), F.col("l"))]
-    parts.append(lines(models, "models", F.lit(None), F.col("model_ord"), F.concat(
-        F.col("model_ord").cast("string"), F.lit(". **"), short_model_name("model_id"), F.lit("** ("),
-        provider_name("model_id"), F.lit(")"))))
+    last = F.struct(*([order] if order else []), *[c for c in payload if c != order])
+    best = results.groupBy(*key).agg(F.max(last).alias("__last"))
+    return best.select(*key, *[F.col("__last")[c].alias(c) for c in payload])
+
+
+def compare_pairs(results: DataFrame) -> DataFrame:
+    """Every pair of successful results of one claim, the earlier model
+    first. One shuffle: a claim's results become a list in model order (its
+    length is the number of models), which is exploded to pairs."""
+    item = F.struct("model_ord", "model_id", "summary")
+    per = results.where("success").groupBy("claim_name").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    # Of several results of a model the last in order stays.
+    per = per.select("claim_name", F.filter("all", lambda r, i: F.coalesce(
+        F.get(F.col("all"), i + 1)["model_ord"] != r["model_ord"], F.lit(True))).alias("all"))
+    pairs = F.flatten(F.transform("all", lambda a, i: F.transform(
+        F.slice("all", i + 2, F.size("all")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return per.select("claim_name", F.explode(pairs).alias("p")).select(
+        "claim_name", F.col("p.a.model_ord").alias("ord1"), F.col("p.a.model_id").alias("model1"),
+        F.col("p.a.summary").alias("summary1"), F.col("p.b.model_ord").alias("ord2"),
+        F.col("p.b.model_id").alias("model2"), F.col("p.b.summary").alias("summary2"))
+
+
+# The wording of the evaluation report.
+REPORT_TITLE = "# Insurance Claim Processing - Model Evaluation Report"
+CLAIM_TABLE = ("| Model | Status | Time (s) | Summary Length | Quality |", "|-------|--------|----------|----------------|----------|")
+TIMING_TABLE = ("| Model | Avg Time (s) | Min Time (s) | Max Time (s) | Tests |", "|-------|--------------|--------------|--------------|-------|")
+SECTIONS = ("header", "summary", "models", "claims", "timing")
+
+
+def report_lines(results: DataFrame, models: DataFrame) -> DataFrame:
+    """The evaluation report as rows (section, claim_name, ord, line).
+
+    Reading the rows by section number, claim and ord gives the report:
+    header counts, summary totals, the models with their ids, for each claim
+    its heading, a table row per result and the example summary (or the
+    claim's error), and the timing table. Sections are projections and small
+    aggregates; nothing is sorted or gathered here."""
+    def lines(df, section, claim, order, line):
+        return df.select(F.lit(SECTIONS.index(section)).alias("section_ord"), F.lit(section).alias("section"),
+                         claim.cast("string").alias("claim_name"), order.cast("int").alias("ord"), line.alias("line"))
+
+    def listed(df, section, *texts):
+        items = F.array(*[F.struct(F.lit(k).alias("o"), t.alias("l")) for k, t in enumerate(texts, start=1)])
+        return lines(df.select(F.inline(items)), section, F.lit(None), F.col("o"), F.col("l"))
+
+    def text(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    total = eval_totals(results, models)
+    n_models = models.agg(F.count(F.lit(1))).scalar()
+    parts = [
+        listed(total, "header", text(REPORT_TITLE), text("**Models Evaluated:** ", n_models),
+               text("**Claims Tested:** ", F.col("claims"))),
+        listed(total, "summary", text("## Executive Summary"), text("- **Total Tests Run:** ", F.col("total_tests")),
+               text("- **Successful:** ", F.col("successful")), text("- **Failed:** ", F.col("failed")),
+               text("- **Success Rate:** ", F.coalesce(F.format_string("%.1f", F.col("success_rate_pct")), F.lit("0.0")), "%")),
+        lines(models.select("model_ord", F.posexplode(F.array(
+            text(F.col("model_ord"), ". **", short_model_name("model_id"), "** (", provider_name("model_id"), ")"),
+            text("   - Model ID: `", F.col("model_id"), "`"))).alias("at", "l")),
+            "models", F.lit(None), F.col("model_ord") * 2 + F.col("at"), F.col("l")),
+    ]
     ok = F.col("success")
     length = F.when(ok, F.length("summary"))
-    parts.append(lines(results, "claims", F.col("claim_name"), F.col("model_ord"), F.concat_ws(
-        " | ", F.concat(F.lit("| "), short_model_name("model_id")),
-        F.when(ok, "Success").otherwise("Failed"), F.col("time_seconds").cast("string"),
-        F.when(ok, F.concat(length.cast("string"), F.lit(" chars"))).otherwise("N/A"),
-        F.concat(quality_label(ok, length), F.lit(" |")))))
-    timing = model_timing(results, models)
+    rows = results.where(F.col("model_ord").isNotNull())
+    claims = results.groupBy("claim_name").agg(F.max(F.when(F.col("model_ord").isNull(), F.col("error"))).alias("error"))
+    heading = text("### ", F.initcap(F.regexp_replace("claim_name", "_", " ")))
+    parts.append(lines(claims.select("claim_name", F.posexplode(F.when(F.col("error").isNull(), F.array(
+        heading, F.lit(CLAIM_TABLE[0]), F.lit(CLAIM_TABLE[1]))).otherwise(F.array(
+            heading, text("**Error:** ", F.col("error"))))).alias("at", "l")),
+        "claims", F.col("claim_name"), F.col("at") + 1, F.col("l")))
+    parts.append(lines(rows, "claims", F.col("claim_name"), F.col("model_ord") + 10, text(
+        "| ", F.concat_ws(" | ", short_model_name("model_id"), F.when(ok, "Success").otherwise("Failed"),
+                          F.coalesce(F.col("time_seconds").cast("string"), F.lit("N/A")),
+                          F.when(ok, F.concat(length.cast("string"), F.lit(" chars"))).otherwise("N/A"),
+                          quality_label(ok, length)), " |")))
+    example = first_success(rows)
+    parts.append(lines(example.select("claim_name", F.posexplode(F.array(
+        text("**Example Summary (", F.col("model_short"), "):**"), text("> ", F.col("example_summary")))).alias("at", "l")),
+        "claims", F.col("claim_name"), F.lit(1_000_000) + F.col("at"), F.col("l")))
     fmt = lambda c: F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("N/A"))
-    parts.append(lines(timing, "timing", F.lit(None), F.col("model_ord"), F.concat_ws(
-        " | ", F.concat(F.lit("| "), F.col("model_short")), fmt("avg_time"), fmt("min_time"), fmt("max_time"),
-        F.concat(F.col("n_success").cast("string"), F.lit(" |")))))
+    timing = model_timing(rows, models)
+    parts.append(listed(total, "timing", text("## Performance Comparison"), text(TIMING_TABLE[0]), text(TIMING_TABLE[1])))
+    parts.append(lines(timing, "timing", F.lit(None), F.col("model_ord") + 10, text(
+        "| ", F.concat_ws(" | ", "model_short", fmt("avg_time"), fmt("min_time"), fmt("max_time"),
+                          F.col("n_success").cast("string")), " |")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

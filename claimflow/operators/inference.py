@@ -8,6 +8,8 @@ caller supplies; a failure is caught per row and reported in
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable
 
@@ -44,13 +46,21 @@ def request_body(model_id, prompt, temperature: float = 0.0, max_tokens: int = M
 
 
 def response_text(model_id, body) -> Column:
-    """Generated text from a JSON response body; falls back to the
-    ``completion`` field, then to the empty string."""
+    """Generated text from a JSON response body.
+
+    Where the layout's message is there, its text counts, empty if absent; a
+    message of the default layout without text is null, which ``run_model``
+    reports as a failure. Bodies of another layout give their ``completion``,
+    else the empty string."""
     m, b = _c(model_id), _c(body)
-    by_layout = (F.when(m.startswith("amazon.nova"), F.get_json_object(b, "$.output.message.content[0].text"))
-                  .when(m.startswith("openai.gpt-oss"), F.get_json_object(b, "$.choices[0].message.content"))
-                  .otherwise(F.get_json_object(b, "$.content[0].text")))
-    return F.coalesce(by_layout, F.get_json_object(b, "$.completion"), F.lit(""))
+    get = lambda path: F.get_json_object(b, path)
+    nova, openai, default = "$.output.message.content[0]", "$.choices[0]", "$.content[0]"
+    other = F.coalesce(get("$.completion"), F.lit(""))
+    return (F.when(m.startswith("amazon.nova"),
+                   F.when(get(nova).isNotNull(), F.coalesce(get(nova + ".text"), F.lit(""))).otherwise(other))
+             .when(m.startswith("openai.gpt-oss"),
+                   F.when(get(openai).isNotNull(), F.coalesce(get(openai + ".message.content"), F.lit(""))).otherwise(other))
+             .otherwise(F.when(get(default).isNotNull(), get(default + ".text")).otherwise(other)))
 
 
 def response_body(model_id, text) -> Column:
@@ -67,24 +77,53 @@ def response_body(model_id, text) -> Column:
 
 
 class OfflineClient:
-    """Deterministic stand-in for a hosted model: echoes the last line of
-    the prompt's document section, so jobs run without a network."""
+    """Deterministic stand-in for a hosted model, so jobs run without a network.
+
+    It reads the whole prompt: an extraction prompt is answered with the
+    labelled lines of its document as a JSON object, a summary prompt with a
+    sentence over the fields in it, any other prompt with its own text. The
+    answer comes in the layout of the model's provider.
+    """
 
     def invoke(self, model_id: str, body: str) -> str:
-        import json
-        req = json.loads(body)
-        msgs = req.get("messages") or []
-        content = msgs[0]["content"] if msgs else ""
-        if isinstance(content, list):
-            content = content[0].get("text", "")
-        text = f"[{model_id}] " + content.strip().splitlines()[-1][:200] if content.strip() else ""
-        return json.dumps({"content": [{"type": "text", "text": text}], "completion": text})
+        content = json.loads(body)["messages"][0]["content"]
+        text = self.answer(content if isinstance(content, str) else content[0]["text"])
+        if model_id.startswith("amazon.nova"):
+            reply = {"output": {"message": {"content": [{"text": text}]}}}
+        elif model_id.startswith("openai.gpt-oss"):
+            reply = {"choices": [{"message": {"content": text}}]}
+        else:
+            reply = {"content": [{"type": "text", "text": text}]}
+        return json.dumps(reply)
+
+    @staticmethod
+    def answer(prompt: str) -> str:
+        from claimflow.operators.extract import CLAIM_FIELDS
+        from claimflow.operators.prompts import DEFAULT_TEMPLATES
+        for name, slot in (("extract_info", "{document_text}"), ("generate_summary", "{extracted_info}")):
+            before, after = DEFAULT_TEMPLATES.get(name).split(slot)
+            # Context may stand before the prompt.
+            if before in prompt and prompt.endswith(after):
+                value = prompt[prompt.index(before) + len(before):len(prompt) - len(after)]
+                break
+        else:
+            return prompt
+        if name == "extract_info":
+            found = {f: re.search(f"{f}: ([^\n]*)", value) for f in CLAIM_FIELDS}
+            return json.dumps({f: m[1] if m else "" for f, m in found.items()}, ensure_ascii=False, separators=(",", ":"))
+        try:
+            who, policy, date, amount, what = (json.loads(value)[f] for f in CLAIM_FIELDS)
+        except (ValueError, KeyError, TypeError):
+            return value
+        return f"Claim by {who} under policy {policy} for {amount}, incident on {date}: {what}"
 
 
 def run_model(df: DataFrame, model_col: str, prompt_col: str, client_factory: Callable[[], object] = OfflineClient,
               temperature: float = 0.0, retries: int = 2, out_prefix: str = "") -> DataFrame:
     """Call a model for every row (Arrow batches, one client per
     partition, bounded retries). Adds ``text, success, error, time_seconds``.
+    A reply that is no JSON object, or holds no text where its layout has one,
+    is a failure with an error, like an exception of the client.
 
     The work is spread by Spark's partitions; ``repartition`` the input to set
     the call concurrency."""
@@ -114,10 +153,14 @@ def run_model(df: DataFrame, model_col: str, prompt_col: str, client_factory: Ca
             yield pdf.assign(__resp=resp, __ok=ok, __err=err, __secs=secs)
 
     res = reqd.mapInPandas(call, out_schema)
-    return (res.withColumn(out_prefix + "text", F.when(F.col("__ok"), response_text(model_col, "__resp")))
-               .withColumnRenamed("__ok", out_prefix + "success")
-               .withColumnRenamed("__err", out_prefix + "error")
-               .withColumnRenamed("__secs", out_prefix + "time_seconds")
+    parsed = F.json_object_keys("__resp").isNotNull()
+    text = F.when(F.col("__ok") & parsed, response_text(model_col, "__resp"))
+    res = res.withColumn("__text", text)
+    error = (F.when(~F.col("__ok"), F.col("__err")).when(~parsed, F.lit("response is not a JSON object"))
+              .when(F.col("__text").isNull(), F.lit("response has no text")))
+    return (res.withColumn("__err", error).withColumn("__ok", F.col("__text").isNotNull())
+               .withColumnsRenamed({"__text": out_prefix + "text", "__ok": out_prefix + "success",
+                                    "__err": out_prefix + "error", "__secs": out_prefix + "time_seconds"})
                .drop("__req", "__resp"))
 
 

@@ -43,9 +43,9 @@ POLICY_SCHEMA = T.StructType([
 ])
 POLICY_FIELDS = [f.name for f in POLICY_SCHEMA.fields[1:]]
 
-# Policies up to this many rows become a literal map lookup (a projection:
-# no join, no shuffle, no broadcast exchange); larger tables are joined.
-MAX_LITERAL_POLICIES = 1_000
+# Fixed value: how results name the knowledge base as their source.
+KB_SOURCE = "bedrock_kb"
+
 
 def classify_claim(text) -> Column:
     """Claim type from lower-cased substring keyword tests."""
@@ -76,48 +76,34 @@ def policy_lookup(df: DataFrame, type_col: str = "claim_type", policies: DataFra
     """Attach policy fields; a type without a row gets the fallback row
     while ``type_col`` keeps its value.
 
-    A policy table is a tiny dimension. When it has at most
-    ``MAX_LITERAL_POLICIES`` rows (always true for the built-in 3 rows; a
-    bounded ``limit``+``collect`` check for a user table) the lookup is a
-    literal ``map`` indexed by the claim type: a pure projection that stays
-    in whole-stage codegen and never plans a join over the (deeply derived)
-    claim-type key. Larger tables fall back to two left joins.
+    The built-in policies are three fixed rows, so they are a literal map
+    indexed by the claim type: a pure projection that stays in whole-stage
+    codegen. A user's table is joined, whatever its size: one row per type
+    (of several, the largest by its fields in order), then a left join on the
+    type and one on the fallback for the types it lacks. Spark broadcasts it
+    where it is small.
     """
-    if policies is None:
-        rows = [tuple(r) for r in POLICY_KNOWLEDGE]
-    else:
-        pol = policies.select("claim_type", *POLICY_FIELDS)
-        head = pol.limit(MAX_LITERAL_POLICIES + 1).collect()
-        if len(head) > MAX_LITERAL_POLICIES:
-            return _policy_join(df, type_col, pol, fallback, prefix)
-        rows = [tuple(r) for r in head]
-    lookup = F.create_map(*[x for r in rows for x in (F.lit(r[0]), _policy_struct(r))])
-    fb = [r for r in rows if r[0] == fallback]
+    if policies is not None:
+        return _policy_join(df, type_col, policies, fallback, prefix)
+    lookup = F.create_map(*[x for r in POLICY_KNOWLEDGE for x in (F.lit(r[0]), _policy_struct(r))])
     hit = F.try_element_at(lookup, F.col(type_col))
-    if fb:
-        hit = F.coalesce(hit, _policy_struct(fb[0]))
+    hit = F.coalesce(hit, *[_policy_struct(r) for r in POLICY_KNOWLEDGE if r[0] == fallback])
     tmp = "__policy"
     out = df.withColumn(tmp, hit)
-    for c in POLICY_FIELDS:
-        out = out.withColumn(prefix + c, F.col(tmp)[c])
-    return out.drop(tmp)
-
-
-def _policy_join(df, type_col, pol, fallback, prefix):
-    """Join path for large policy tables: left join on the type, then a
-    left join of the unmatched rows to the single fallback row (broadcast:
-    ``limit(1)`` bounds it)."""
-    main = pol.select(F.col("claim_type").alias("__pk"),
-                      *[F.col(c).alias("__m_" + c) for c in POLICY_FIELDS])
-    fb = pol.where(F.col("claim_type") == fallback).limit(1).select(
-        F.col("claim_type").alias("__fk"), *[F.col(c).alias("__f_" + c) for c in POLICY_FIELDS])
-    out = (df.join(main, F.col(type_col) == F.col("__pk"), "left")
-             .withColumn("__fk_probe", F.when(F.col("__pk").isNull(), F.lit(fallback)))
-             .join(F.broadcast(fb), F.col("__fk_probe") == F.col("__fk"), "left"))
-    for c in POLICY_FIELDS:
-        out = out.withColumn(prefix + c, F.coalesce(F.col("__m_" + c), F.col("__f_" + c)))
-    return out.drop("__pk", "__fk", "__fk_probe", *["__m_" + c for c in POLICY_FIELDS],
-                    *["__f_" + c for c in POLICY_FIELDS])
+    return out.withColumns({prefix + c: F.col(tmp)[c] for c in POLICY_FIELDS}).drop(tmp)
+
+
+def _policy_join(df: DataFrame, type_col: str, policies: DataFrame, fallback: str, prefix: str) -> DataFrame:
+    one = policies.groupBy("claim_type").agg(F.max(F.struct(*POLICY_FIELDS)).alias("__policy"))
+    main = one.select(F.col("claim_type").alias("__type"), "__policy")
+    other = one.where(F.col("claim_type") == fallback).select(
+        F.col("claim_type").alias("__fallback"), F.col("__policy").alias("__other"))
+    # Only the rows without a policy meet the fallback.
+    out = df.join(main, F.col(type_col) == F.col("__type"), "left")
+    out = out.join(other, F.when(F.col("__type").isNull(), F.lit(fallback)) == F.col("__fallback"), "left")
+    policy = F.coalesce("__policy", "__other")
+    return out.withColumns({prefix + c: policy[c] for c in POLICY_FIELDS}).drop(
+        "__type", "__policy", "__fallback", "__other")
 
 
 def _keywords(field: Column) -> Column:
@@ -158,7 +144,7 @@ def kb_validation(df: DataFrame, results_col: str = "kb_results", out_col: str =
         F.array().cast("array<string>").alias("present_fields"),
         F.array().cast("array<string>").alias("missing_fields"),
         F.lit(1.0).alias("completeness_score"),
-        F.lit("knowledge_base").alias("source"),
+        F.lit(KB_SOURCE).alias("source"),
         F.col(results_col).alias("kb_results"),
     ))
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from claimflow.operators import extract, policy, prompts
+from claimflow.operators import evaluation, extract, policy, prompts
 from claimflow.plans import analyze
 from claimflow.plans.pii_queries import RULES, _q, _staged_sql
 from claimflow.plans.registry import query
@@ -267,25 +266,6 @@ def claim_summary(spark, sf_dir):
     return extract.claim_summary(_claims(spark, sf_dir), "claim_text").select("claim_id", "summary")
 
 
-def compare_pairs(results, models_n: int):
-    """Every pair (a, b) of successful results of one claim with
-    ``a.model_ord < b.model_ord``, without a self-join: ``lead(k)`` over the
-    claim's results ordered by model for k = 1..M-1 (M = number of models, a
-    driver-side bound), one shuffle by claim for all offsets."""
-    ok = results.where("success").dropDuplicates(["claim_name", "model_ord"])
-    w = Window.partitionBy("claim_name").orderBy("model_ord")
-    cols = []
-    for k in range(1, max(models_n, 2)):
-        cols.append(F.struct(F.lead("model_ord", k).over(w).alias("ord2"),
-                             F.lead("model_id", k).over(w).alias("model2"),
-                             F.lead("summary", k).over(w).alias("summary2")))
-    paired = ok.select("claim_name", F.col("model_ord").alias("ord1"), F.col("model_id").alias("model1"),
-                       F.col("summary").alias("summary1"), F.array(*cols).alias("__nx"))
-    return (paired.select("claim_name", "ord1", "model1", "summary1", F.explode("__nx").alias("b"))
-                  .where(F.col("b.ord2").isNotNull())
-                  .select("claim_name", "ord1", "model1", "summary1", "b.ord2", "b.model2", "b.summary2"))
-
-
 @query("prompt_compare_pairs", views.with_views(
     "select a.claim_name, a.model_ord as ord1, b.model_ord as ord2, "
     + _render_sql(TEMPLATES["compare_summary"], model1="a.model_id", summary1="a.summary",
@@ -294,7 +274,7 @@ def compare_pairs(results, models_n: int):
       "and a.model_ord < b.model_ord where a.success and b.success", "model_results"))
 def prompt_compare_pairs(spark, sf_dir):
     """M4: compare_summary prompt for every pair of successful model results."""
-    pairs = compare_pairs(views.model_results(spark, sf_dir), len(views.DEFAULT_MODELS))
+    pairs = evaluation.compare_pairs(views.model_results(spark, sf_dir))
     return pairs.select("claim_name", "ord1", "ord2", prompts.DEFAULT_TEMPLATES.render(
         "compare_summary", model1="model1", summary1="summary1", model2="model2", summary2="summary2"
     ).alias("prompt"))

@@ -42,7 +42,7 @@ select cast(count(*) as bigint) as claims, cast(count(*) * {N_MODELS} as bigint)
     "model_results"))
 def eval_totals(spark, sf_dir):
     """Tests, successes, failures, success rate."""
-    return ev.eval_totals(_results(spark, sf_dir), N_MODELS)
+    return ev.eval_totals(_results(spark, sf_dir), _models_df(spark))
 
 
 @query("eval_model_timing", views.with_views(
@@ -86,7 +86,7 @@ def _grid_sql():
 @query("eval_grid", _grid_sql())
 def eval_grid(spark, sf_dir):
     """A10: per-claim result grid (status, time, length, quality per model)."""
-    return ev.result_grid(_results(spark, sf_dir), N_MODELS)
+    return ev.result_grid(_results(spark, sf_dir), views.DEFAULT_MODELS)
 
 
 @query("eval_example", views.with_views(
@@ -136,13 +136,13 @@ def preview_200(spark, sf_dir):
 
 
 @query("model_names", views.with_views(
-    f"select distinct model_id, {_short_sql('model_id')} as model_short, {_provider_sql('model_id')} as provider "
-    "from model_results", "model_results"))
+    f"select model_id, {_short_sql('model_id')} as model_short, {_provider_sql('model_id')} as provider, "
+    "count(*) as n_feedback from feedback group by model_id", "feedback"))
 def model_names(spark, sf_dir):
-    """Short model name and provider of every evaluated model."""
-    return (_results(spark, sf_dir).select("model_id").distinct()
+    """Short name and provider of every model that has feedback, with its entries."""
+    return (views.feedback(spark, sf_dir).groupBy("model_id").agg(F.count(F.lit(1)).alias("n_feedback"))
             .select("model_id", ev.short_model_name("model_id").alias("model_short"),
-                    ev.provider_name("model_id").alias("provider")))
+                    ev.provider_name("model_id").alias("provider"), "n_feedback"))
 
 
 @query("quick_compare", views.with_views(
@@ -200,7 +200,47 @@ def parse_models(spark, sf_dir):
     return f.select("id", F.array_join(ev.parse_model_list(s, views.DEFAULT_MODELS), "|").alias("models"))
 
 
-@query("eval_report_lines")
+def _report_lines_sql():
+    title = "array_to_string(list_transform(string_split(claim_name, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+    nul = "cast(null as varchar)"
+
+    def fixed(section, *texts):
+        k = ev.SECTIONS.index(section)
+        return [f"select {k} as section_ord, '{section}' as section, {nul} as claim_name, {o} as ord, {t} as line from tot"
+                for o, t in enumerate(texts, start=1)]
+    two = "printf('%.2f', {})".format
+    parts = [
+        *fixed("header", f"'{ev.REPORT_TITLE}'", f"'**Models Evaluated:** ' || {N_MODELS}", "'**Claims Tested:** ' || claims"),
+        *fixed("summary", "'## Executive Summary'", "'- **Total Tests Run:** ' || tests", "'- **Successful:** ' || ok",
+               "'- **Failed:** ' || (tests - ok)", "'- **Success Rate:** ' || printf('%.1f', ok * 100.0 / tests) || '%'"),
+        f"select 2, 'models', {nul}, model_ord * 2, model_ord || '. **' || {_short_sql('model_id')} || '** (' || "
+        f"{_provider_sql('model_id')} || ')' from models",
+        f"select 2, 'models', {nul}, model_ord * 2 + 1, '   - Model ID: `' || model_id || '`' from models",
+        f"select 3, 'claims', claim_name, 1, '### ' || {title} from c",
+        *[f"select 3, 'claims', claim_name, {o}, '{t}' from c" for o, t in enumerate(ev.CLAIM_TABLE, start=2)],
+        f"""select 3, 'claims', claim_name, model_ord + 10, '| ' || {_short_sql('model_id')} || ' | ' ||
+ case when success then 'Success' else 'Failed' end || ' | ' || cast(time_seconds as varchar) || ' | ' ||
+ case when success then length(summary) || ' chars' else 'N/A' end || ' | ' ||
+ case when not success then 'N/A' when length(summary) > 200 then 'Good' else 'Brief' end || ' |' from model_results""",
+        f"select 3, 'claims', claim_name, 1000000, '**Example Summary (' || {_short_sql('model_id')} || '):**' from ex",
+        "select 3, 'claims', claim_name, 1000001, '> ' || case when length(summary) > 300 then substr(summary, 1, 300) || '...' "
+        "else summary end from ex",
+        *fixed("timing", "'## Performance Comparison'", *[f"'{t}'" for t in ev.TIMING_TABLE]),
+        f"select 4, 'timing', {nul}, model_ord + 10, '| ' || {_short_sql('model_id')} || ' | ' || "
+        f"{two('sum_centis / n / 100.0')} || ' | ' || {two('lo')} || ' | ' || {two('hi')} || ' | ' || n || ' |' from st",
+    ]
+    return views.with_views(
+        f"""with c as (select distinct claim_name from model_results),
+tot as (select (select count(*) from c) as claims, (select count(*) from c) * {N_MODELS} as tests,
+  (select count(*) from model_results where success) as ok),
+ex as (select claim_name, arg_min(model_id, model_ord) as model_id, arg_min(summary, model_ord) as summary
+  from model_results where success group by claim_name),
+st as (select model_ord, model_id, count(*) as n, cast(sum(cast(round(time_seconds * 100) as bigint)) as double) as sum_centis,
+  min(time_seconds) as lo, max(time_seconds) as hi from model_results where success group by model_ord, model_id)
+""" + " union all ".join(parts), "models", "model_results")
+
+
+@query("eval_report_lines", _report_lines_sql())
 def eval_report_lines(spark, sf_dir):
-    """Evaluation report line rows (rows-only check)."""
-    return ev.report_lines(_results(spark, sf_dir), _models_df(spark), N_MODELS)
+    """Every line of the evaluation report with its place in it."""
+    return ev.report_lines(_results(spark, sf_dir), _models_df(spark))

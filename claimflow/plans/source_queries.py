@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimflow.operators import feedback as fb
 from claimflow.operators import inference
+from claimflow.plans.claim_queries import _extract_sql, _summary_sql
 from claimflow.plans.registry import query
 from claimflow.sources import documents, sinks, views
 from claimflow.sources.parallel import spread
@@ -25,6 +26,12 @@ MODEL_CATALOG = (
 )
 
 
+def catalog(spark):
+    """The model catalog as a table."""
+    return spark.createDataFrame(list(MODEL_CATALOG), "family string, model_id string, name string, "
+                                                      "description string, cost string")
+
+
 def _q(s):
     return "'" + s.replace("'", "''") + "'"
 
@@ -121,14 +128,28 @@ def pending_documents(spark, sf_dir):
 @query("model_catalog", views.with_views(
     f"""with cat as ({_values(MODEL_CATALOG, ['family', 'model_id', 'name', 'description', 'cost'])}),
 fbm as (select model_id, count(*) as n_feedback from feedback group by model_id)
-select f.model_id, c.family, c.name, c.cost, f.n_feedback from fbm f left join cat c using (model_id)""", "feedback"))
+select model_id, c.family, c.name, c.description, c.cost, coalesce(f.n_feedback, 0) as n_feedback
+from cat c full outer join fbm f using (model_id)""", "feedback"))
 def model_catalog(spark, sf_dir):
-    """Feedback volume per model with the catalog's family, name and
-    cost tier (the 4-row catalog is broadcast)."""
-    cat = spark.createDataFrame(list(MODEL_CATALOG), "family string, model_id string, name string, "
-                                                     "description string, cost string")
+    """Every catalog model with its family and feedback volume, and every
+    model with feedback that is not in the catalog (no family)."""
     per = fb.by_model(views.feedback(spark, sf_dir)).select("model_id", F.col("count").alias("n_feedback"))
-    return per.join(F.broadcast(cat), "model_id", "left").select("model_id", "family", "name", "cost", "n_feedback")
+    return catalog(spark).join(per, "model_id", "full").select(
+        "model_id", "family", "name", "description", "cost", F.coalesce("n_feedback", F.lit(0)).alias("n_feedback"))
+
+
+@query("model_families", views.with_views(
+    f"""with cat as ({_values(MODEL_CATALOG, ['family', 'model_id', 'name', 'description', 'cost'])}),
+fbm as (select model_id, count(*) as n_feedback from feedback group by model_id)
+select family, count(*) as n_models, string_agg(c.name, ', ' order by c.name) as names,
+ cast(coalesce(sum(n_feedback), 0) as bigint) as n_feedback from cat c left join fbm using (model_id) group by family""",
+    "feedback"))
+def model_families(spark, sf_dir):
+    """The catalog grouped by family, with the family's feedback volume."""
+    per = fb.by_model(views.feedback(spark, sf_dir)).select("model_id", F.col("count").alias("n_feedback"))
+    return catalog(spark).join(per, "model_id", "left").groupBy("family").agg(
+        F.count(F.lit(1)).alias("n_models"), F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"),
+        F.coalesce(F.sum("n_feedback"), F.lit(0)).cast("bigint").alias("n_feedback"))
 
 
 # ---------------------------------------------------------------- model I/O
@@ -173,11 +194,22 @@ def model_response(spark, sf_dir):
                           inference.response_text("model_id", "body").alias("response_text"))
 
 
-@query("process_claims")
+@query("process_claims", views.with_views(
+    f"select claim_id, true as extract_success, true as summary_success, {_extract_sql('claim_text')} as extracted_info, "
+    f"{_summary_sql('claim_text')} as summary from claims", "claims"))
 def process_claims(spark, sf_dir):
     """Extract-then-summarise chain through the pluggable batch
-    inference (offline client), default model, every claim (rows-only)."""
+    inference (offline client), default model, every claim."""
     c = views.claims(spark, sf_dir).withColumn("model_id", F.lit(views.DEFAULT_MODELS[0]))
     out = inference.process_documents(c, "claim_text", "model_id")
-    return out.select("claim_id", "extract_success", "summary_success",
-                      F.length("extracted_info").alias("extracted_len"), F.length("summary").alias("summary_len"))
+    return out.select("claim_id", "extract_success", "summary_success", "extracted_info", "summary")
+
+
+@query("model_chain", views.with_views(
+    f"""with m as ({_models_sql()})
+select claim_id, m.model_id, {_summary_sql('claim_text')} as summary from claims cross join m""", "claims"))
+def model_chain(spark, sf_dir):
+    """The chain under every provider's request and response layout."""
+    c = views.claims(spark, sf_dir).select("claim_id", "claim_text", F.explode(F.array(
+        *[F.lit(m) for m in LAYOUT_MODELS])).alias("model_id"))
+    return inference.process_documents(c, "claim_text", "model_id").select("claim_id", "model_id", "summary")
