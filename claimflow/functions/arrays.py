@@ -2,9 +2,8 @@
 
 Note on cost: an expression referenced *inside* a lambda is re-evaluated
 for every element, while the arguments of a higher-order function are
-evaluated once per row. The helpers below therefore pass every computed
-array as an argument (``zip_with``, ``aggregate``) and only touch lambda
-variables inside lambdas.
+evaluated once per row. ``let`` binds a computed value to a lambda variable,
+so a value used in several places is computed once.
 """
 
 from __future__ import annotations
@@ -17,39 +16,36 @@ def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def exclusive_prefix_sums(arr: Column) -> Column:
     """``out[i] = arr[0] + ... + arr[i-1]`` for an integer array.
 
     Spark has no array scan, and summing the slice before every element is
-    O(n^2). Here the array is cut into blocks of B = ceil(sqrt(n)) elements;
-    one ``aggregate`` walks the blocks carrying the running total, and each
-    block's exclusive prefix is computed locally (B^2 work per block), for
-    O(n * sqrt(n)) overall.
+    O(n^2). Here the array is cut into blocks of n^(1/3) elements: block sums
+    are carried by one ``aggregate`` and each block's own prefixes are short,
+    for O(n^(4/3)) overall at every size.
     """
-    n = F.size(arr)
-    b = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    nb = F.ceil(n / b).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: F.slice(arr, j * b + 1, b))
+    def blocked(a: Column) -> Column:
+        return let(F.greatest(F.lit(1), F.ceil(F.cbrt(F.size(a))).cast("int")), lambda b: let(F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(a) / b).cast("int") - 1), lambda j: F.slice(a, j * b + 1, b)), summed))
 
-    def in_block(blk, base):
-        return F.transform(blk, lambda x, i: base + array_sum(F.slice(blk, 1, i)))
+    def summed(blocks: Column) -> Column:
+        init = F.struct(F.lit(0).cast("bigint").alias("run"), F.array().cast("array<bigint>").alias("out"))
+        bases = F.aggregate(
+            F.transform(blocks, array_sum), init,
+            lambda acc, x: F.struct((acc["run"] + x).alias("run"), F.array_append(acc["out"], acc["run"]).alias("out")),
+            lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, bases, lambda blk, base: F.transform(
+            blk, lambda x, i: base + array_sum(F.slice(blk, 1, i)))))
 
-    init = F.struct(F.lit(0).cast("bigint").alias("run"), F.array().cast("array<bigint>").alias("out"))
-    walked = F.aggregate(
-        blocks, init,
-        lambda acc, blk: F.struct((acc["run"] + array_sum(blk)).alias("run"),
-                                  F.concat(acc["out"], in_block(blk, acc["run"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(walked)
+    return F.when(F.size(arr) == 0, F.array().cast("array<bigint>")).otherwise(let(arr, blocked))
 
 
 def interleave(a: Column, b: Column) -> Column:
     """``[a0, b0, a1, b1, ...]``; when ``a`` is one longer, its last element ends
     the result. Elements must be non-null."""
     return F.filter(F.flatten(F.zip_with(a, b, lambda x, y: F.array(x, y))), lambda v: v.isNotNull())
-
-
-def with_index(arr: Column) -> Column:
-    """``array<struct<i int, v>>`` pairing each element with its 0-based index."""
-    return F.transform(arr, lambda v, i: F.struct(i.alias("i"), v.alias("v")))

@@ -6,10 +6,15 @@ registry order, case-insensitively, with Unicode-aware ``\\b \\d \\s``.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections import OrderedDict
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class PiiRule:
@@ -40,17 +45,26 @@ BUILTIN_RULES = (
 )
 
 
-# A character every match of the rule must contain literally (punctuation,
-# so case folding cannot change it). Texts without it skip the rule's regex
-# pass; the result is the same because no match is possible.
+# What every match of a rule contains. Texts without it skip the rule's regex
+# pass; the result is the same because no match is possible. Only characters
+# that no other character folds to may stand for letters (so not i, k, s), and
+# digits are those of every script, as in the rules.
 REQUIRED_CHAR = {"ssn": "-", "email": "@", "date_of_birth": "/"}
-
-
-def required_char(rule: PiiRule) -> str | None:
-    """The guard character of a built-in rule (None for changed/custom rules)."""
-    builtin = {r[0]: r[1] for r in BUILTIN_RULES}
-    if builtin.get(rule.name) == rule.pattern:
-        return REQUIRED_CHAR.get(rule.name)
+REQUIRED_LETTERS = {"drivers_license": ("dl", "cen"), "bank_account": ("acc",)}
+REQUIRED_PATTERN = {"credit_card": r"\p{Nd}{4}", "phone": r"\p{Nd}{4}"}
+
+
+def may_match(rule: PiiRule, text: Column) -> Column | None:
+    """A cheap necessary condition for a match of a built-in rule in ``text``
+    (None for changed and custom rules)."""
+    if {r[0]: r[1] for r in BUILTIN_RULES}.get(rule.name) != rule.pattern:
+        return None
+    if rule.name in REQUIRED_CHAR:
+        return F.contains(text, F.lit(REQUIRED_CHAR[rule.name]))
+    if rule.name in REQUIRED_LETTERS:
+        return functools.reduce(operator.or_, (F.contains(F.lower(text), F.lit(x)) for x in REQUIRED_LETTERS[rule.name]))
+    if rule.name in REQUIRED_PATTERN:
+        return F.rlike(text, F.lit(REQUIRED_PATTERN[rule.name]))
     return None
 
 
@@ -89,10 +103,6 @@ class PiiRegistry:
         self._rules[name] = PiiRule(name, pattern, replacement, description)
         return self
 
-    def to_rows(self) -> list[tuple]:
-        return [(i, r.name, r.pattern, r.replacement, r.description)
-                for i, r in enumerate(self._rules.values(), start=1)]
-
 
 _PY_ONLY = ("(?P<", "(?P=", "(?#")
 

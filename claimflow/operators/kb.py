@@ -4,28 +4,30 @@ and incremental ingestion.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from claimflow.functions.arrays import let
+from claimflow.operators.policy import KB_SOURCE
+
 # Token = maximal run of characters that are not whitespace (ASCII
 # whitespace, vertical tab, and the Unicode separator categories).
 WHITESPACE = r"[\s\p{Z}\x0B]+"
+# The same for Python: its \\s and the separators that it leaves out.
+_PY_WHITESPACE = "[\\s\u2028\u2029]+"
 MAX_TOKENS = 300
 OVERLAP_PCT = 20
 
 
-def let(value: Column, fn) -> Column:
-    """Bind ``value`` once and use it several times inside ``fn``.
-
-    An expression referenced inside a lambda is re-evaluated per element; a
-    higher-order function's argument is evaluated once. Wrapping the value in
-    a one-element array and transforming it gives a single evaluation."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITESPACE), lambda w: w != "")
 
@@ -58,16 +60,41 @@ def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.where(F.col("c").isNotNull()).select(id_col, *keep, "chunk_no", "c.chunk_text", "c.n_words")
 
 
-def embed_chunks(df: DataFrame, text_col: str = "chunk_text", dim: int = 1024, out_col: str = "vector") -> DataFrame:
-    """V2 offline embedding: hashed term frequencies of the chunk's words,
-    L2-normalised, as ``array<double>`` of length ``dim`` (MLlib, JVM-side).
-    A hosted embedding model can replace this through ``inference.run_model``."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-    tok = df.withColumn("__words", words(F.lower(F.col(text_col))))
-    tf = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=dim).transform(tok)
-    nv = Normalizer(inputCol="__tf", outputCol="__nv", p=2.0).transform(tf)
-    return nv.withColumn(out_col, vector_to_array("__nv")).drop("__words", "__tf", "__nv")
+def hashed_terms(texts: list[str], dim: int) -> np.ndarray:
+    """The offline embedding of ``texts``: term counts in ``dim`` buckets (the
+    first 32 bits of each lower-cased word's md5), scaled to length 1."""
+    bucket: dict[str, int] = {}
+    out = np.zeros((len(texts), dim))
+    for row, text in zip(out, texts):
+        for w in re.split(_PY_WHITESPACE, text.lower()):
+            if w:
+                if w not in bucket:
+                    bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+                row[bucket[w]] += 1
+        row /= np.sqrt((row * row).sum()) or 1.0
+    return out
+
+
+def embed_chunks(df: DataFrame, text_col: str = "chunk_text", dim: int = 1024, out_col: str = "vector",
+                 embed: Callable[[list[str], int], np.ndarray] = hashed_terms) -> DataFrame:
+    """V2/U4: ``embed(texts, dim)`` of each Arrow batch as ``array<double>``.
+
+    ``embed`` is any callable from a list of texts to one vector each, e.g. a
+    client of a hosted embedding model; the default works offline. A null
+    text has a null vector."""
+    body = df.drop(out_col)
+    schema = T.StructType([*body.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                vectors = iter(embed([t for t in texts if t is not None], dim))
+                values = [None if t is None else np.asarray(next(vectors), dtype=np.float64) for t in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.list_(pa.float64()))], schema.names)
+
+    return body.mapInArrow(run, schema)
 
 
 def dimension_check(df: DataFrame, vec_col: str, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -76,22 +103,43 @@ def dimension_check(df: DataFrame, vec_col: str, dim: int) -> tuple[DataFrame, D
     return df.where(ok), df.where(~ok)
 
 
-def build_index(chunks: DataFrame, path: str, dim: int, vec_col: str = "vector") -> tuple[str, DataFrame]:
+def build_index(chunks: DataFrame, path: str, dim: int, vec_col: str = "vector",
+                key_cols: tuple[str, ...] = ("doc_id", "chunk_no")) -> tuple[str, DataFrame]:
     """V4: the embedded chunk table *is* the index. Absent -> created; present
-    with the same vector dimension -> kept; a different dimension -> rebuilt
-    (overwritten). Rows of the wrong dimension are returned, not indexed."""
+    with the same vector dimension -> chunks with new keys are appended; any
+    vector of another dimension -> rebuilt (overwritten) from ``chunks``. Rows
+    of the wrong dimension are returned, not indexed."""
     from pyspark.errors import AnalysisException
     spark = chunks.sparkSession
+    ok, bad = dimension_check(chunks, vec_col, dim)
+    ok = ok.dropDuplicates(list(key_cols))
     try:
-        head = spark.read.parquet(path).select(F.size(vec_col)).limit(1).collect()
-        if head and head[0][0] == dim:
-            return "exists", chunks.limit(0)
-        status = "rebuilt"
+        index = spark.read.parquet(path)
     except AnalysisException:
-        status = "created"
-    ok, bad = dimension_check(chunks, vec_col, dim)
+        ok.write.parquet(path)
+        return "created", bad
+    if index.where(~F.coalesce(F.size(vec_col) == dim, F.lit(False))).isEmpty():
+        ok.join(index.select(*key_cols), list(key_cols), "left_anti").select(*index.columns).write.mode("append").parquet(path)
+        return "appended", bad
     ok.write.mode("overwrite").parquet(path)
-    return status, bad
+    return "rebuilt", bad
+
+
+def sync_index(documents: DataFrame, path: str, dim: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+               keep: tuple[str, ...] = (), embed: Callable[[list[str], int], np.ndarray] = hashed_terms) -> tuple[str, DataFrame]:
+    """V8: chunk, embed, check and append the documents that the index lacks,
+    by content: one document of each new text."""
+    from pyspark.errors import AnalysisException
+    hashed = documents.withColumn("content_hash", content_hash(text_col))
+    first = hashed.groupBy("content_hash").agg(F.min(id_col).alias(id_col))
+    try:
+        first = first.join(documents.sparkSession.read.parquet(path).select("content_hash").distinct(),
+                           "content_hash", "left_anti")
+    except AnalysisException:  # no index yet
+        pass
+    new = hashed.join(first, [id_col, "content_hash"], "left_semi")
+    chunks = chunk_documents(new, id_col, text_col, keep=("content_hash", *keep))
+    return build_index(embed_chunks(chunks, dim=dim, embed=embed), path, dim, key_cols=(id_col, "chunk_no"))
 
 
 def label_centroids(df: DataFrame, label_col: str = "label", vec_col: str = "embedding",
@@ -105,97 +153,99 @@ def label_centroids(df: DataFrame, label_col: str = "label", vec_col: str = "emb
     return agg.select(label_col, vector_to_array("__m").alias(out_col))
 
 
-# Queries are shipped to every task; beyond this many (x dim doubles) they are
-# processed in blocks of this size, one pass over the corpus per block.
-MAX_QUERIES_PER_PASS = 2048
+#: Products of rows, queries and dimensions that are held at once.
+KNN_CELLS = 2_000_000
 
 
-def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
-             vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec") -> DataFrame:
+def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str | tuple[str, ...] = "vec_id",
+             vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec",
+             query_blocks: int = 1) -> DataFrame:
     """V5/K4: exact k nearest corpus rows per query by squared L2 distance;
-    ties go to the smaller id. Returns ``qid, rank, id, d2``.
-
-    The query side is collected only after its size is checked against
-    ``MAX_QUERIES_PER_PASS`` (larger query sets are split into bounded
-    blocks). Each corpus partition computes distances with numpy on Arrow
-    batches and keeps only its own best ``k`` per query; a window over
-    ``qid`` (a ``WindowGroupLimit`` before the shuffle) merges them. No
-    query x corpus pair is ever materialised as a row.
+    ties go to the smaller id. Returns ``qid, rank``, the id columns, ``d2``.
+
+    Distances are sums of squared differences, so they are exact for vectors
+    far from the origin too. The corpus is dealt to the shuffle's partitions
+    by its id and every partition gets the queries, sorted in front of its
+    rows; it streams the rows against them and keeps its best k per query. A
+    window (limited per query before its shuffle) merges them. No pair of
+    query and row becomes a row, nothing passes through the driver, and no job
+    runs before the result is asked for.
+
+    Each task holds the queries of a block; with ``query_blocks`` above 1 the
+    queries are dealt to that many blocks, each with a copy of the corpus.
+    Rows of one query id with different vectors are queries of their own; rows
+    without a vector are left out.
     """
+    ids = (id_col,) if isinstance(id_col, str) else tuple(id_col)
     spark = corpus.sparkSession
-    qsel = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"))
-    parts = [_knn_pass(corpus, [r["qid"] for r in rows], np.array([r["qvec"] for r in rows], dtype=np.float64),
-                       k, id_col, vec_col, spark)
-             for rows in _query_blocks(qsel)]
-    if not parts:
-        return spark.createDataFrame([], f"qid {qsel.schema['qid'].dataType.simpleString()}, rank int, {id_col} long, d2 double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    # Every corpus partition contributes k rows per query. Merge in two
-    # levels so no single window group grows with the number of partitions:
-    # first per (query, id bucket), then per query over buckets x k rows.
-    n_buckets = max(1, int(corpus.rdd.getNumPartitions() ** 0.5))
-    order = [F.col("d2"), F.col(id_col)]
-    if n_buckets > 1:
-        cand = cand.withColumn("__b", F.pmod(F.xxhash64(id_col), F.lit(n_buckets)))
-        w1 = Window.partitionBy("qid", "__b").orderBy(*order)
-        cand = cand.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k).drop("__b", "__r")
-    w = Window.partitionBy("qid").orderBy(*order)
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                .select("qid", "rank", id_col, "d2"))
-
-
-def _query_blocks(qsel: DataFrame, seed: int = 42, depth: int = 0):
-    """Yield the query rows in blocks of at most ``MAX_QUERIES_PER_PASS``.
-    Every collect is capped by ``limit``; a hash bucket that turns out larger
-    is split again with another seed, so the bound is strict."""
-    head = qsel.limit(MAX_QUERIES_PER_PASS + 1).collect()
-    if len(head) <= MAX_QUERIES_PER_PASS:
-        if head:
-            yield head
-        return
-    if depth > 8:
-        raise ValueError("cannot split the query set into bounded blocks (duplicate query ids?)")
-    n = 2 * -(-qsel.count() // MAX_QUERIES_PER_PASS)
-    for b in range(n):
-        sub = qsel.where(F.pmod(F.xxhash64(F.col("qid"), F.lit(seed)), F.lit(n)) == b)
-        yield from _query_blocks(sub, seed + 1, depth + 1)
-
-
-def _knn_pass(corpus, qids, qmat, k, id_col, vec_col, spark):
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    qid_type = "long" if isinstance(qids[0], (int, np.integer)) else "string"
-    schema = f"qid {qid_type}, {id_col} long, d2 double"
-
-    def topk_partition(batches):
-        ids_q, Q = bq.value
-        q2 = (Q * Q).sum(axis=1)
-        best_ids = np.empty((len(ids_q), 0), dtype=np.int64)
-        best_d = np.empty((len(ids_q), 0), dtype=np.float64)
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vector = lambda c: F.col(c).cast("array<double>")
+    numbers = F.sequence(F.lit(0), F.lit(groups - 1))
+    asked = (queries.select(F.col(qid_col).alias("qid"), vector(qvec_col).alias("vec")).where("vec is not null").distinct()
+             .withColumn("block", F.pmod(F.xxhash64("qid", "vec"), F.lit(query_blocks)))
+             .withColumn("part", F.explode(numbers)))
+    rows = (corpus.select(*[F.col(c).alias(f"id{n}") for n, c in enumerate(ids)], vector(vec_col).alias("vec"))
+            .where("vec is not null")
+            .withColumn("part", F.pmod(F.xxhash64(*[f"id{n}" for n in range(len(ids))]), F.lit(groups)).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))))
+    both = asked.withColumn("row", F.lit(False)).unionByName(rows.withColumn("row", F.lit(True)), allowMissingColumns=True)
+    types = [both.schema["qid"], *[both.schema[f"id{n}"] for n in range(len(ids))]]
+    schema = T.StructType([*types, T.StructField("uid", T.LongType()), T.StructField("d2", T.DoubleType())])
+    names = [f"id{n}" for n in range(len(ids))]
+
+    def topk(batches):
+        """Groups (block, part) come one after the other, each with its queries first."""
+        group, asked, best, matrix = None, [], None, None
+
+        def result():
+            if best is not None and len(asked):
+                for (qid, uid, _), (d2, at) in zip(asked, best):
+                    yield pd.DataFrame({"qid": [qid] * len(d2), **dict(zip(names, map(list, zip(*at)) if len(at) else [[]] * len(names))),
+                                        "uid": [uid] * len(d2), "d2": d2})
+
         for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            # |x - q|^2 via the expansion; exact ties keep the smaller id below.
-            D = (X * X).sum(axis=1)[None, :] + q2[:, None] - 2.0 * (Q @ X.T)
-            np.maximum(D, 0.0, out=D)
-            cand_d = np.concatenate([best_d, D], axis=1)
-            cand_i = np.concatenate([best_ids, np.broadcast_to(ids, D.shape)], axis=1)
-            keep = min(k, cand_d.shape[1])
-            order = np.lexsort((cand_i, cand_d), axis=1)[:, :keep]
-            best_d = np.take_along_axis(cand_d, order, axis=1)
-            best_ids = np.take_along_axis(cand_i, order, axis=1)
-        if best_d.shape[1] == 0:
-            return
-        yield pd.DataFrame({
-            "qid": np.repeat(np.asarray(ids_q), best_d.shape[1]),
-            id_col: best_ids.ravel(),
-            "d2": best_d.ravel(),
-        })
-
-    return corpus.select(id_col, vec_col).mapInPandas(topk_partition, schema)
+            keys = list(zip(pdf["block"], pdf["part"]))
+            starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            for a, b in zip(starts, starts[1:]):
+                if a == b:
+                    continue
+                if keys[a] != group:
+                    yield from result()
+                    group, asked, best, matrix = keys[a], [], None, None
+                part = pdf.iloc[a:b]
+                new = part[~part["row"].astype(bool)]
+                asked += [(q, u, np.asarray(v)) for q, u, v in zip(new["qid"], new["uid"], new["vec"])]
+                part = part[part["row"].astype(bool)]
+                if not len(part) or not asked:
+                    continue
+                if best is None:
+                    matrix = np.stack([v for *_, v in asked])
+                    best = [([], [])] * len(asked)
+                x = np.stack(part["vec"].to_numpy())
+                at = list(zip(*(part[c] for c in names)))
+                step = max(1, KNN_CELLS // max(1, matrix.size))
+                for lo in range(0, len(x), step):
+                    tile = x[lo:lo + step]
+                    d2 = ((tile[None, :, :] - matrix[:, None, :]) ** 2).sum(axis=2)
+                    for q, (near, who) in enumerate(best):
+                        mine = d2[q]
+                        if len(near) == k:
+                            cand = np.flatnonzero(mine <= near[-1])
+                        elif len(mine) > k:
+                            cand = np.flatnonzero(mine <= np.partition(mine, k - 1)[k - 1])
+                        else:
+                            cand = np.arange(len(mine))
+                        if len(cand):
+                            merged = sorted([*zip(near, who), *((float(mine[c]), at[lo + c]) for c in cand)])[:k]
+                            best[q] = ([d for d, _ in merged], [w for _, w in merged])
+        yield from result()
+
+    found = (both.withColumn("uid", F.xxhash64("vec"))
+             .repartition(groups * query_blocks, "block", "part").sortWithinPartitions("block", "part", "row")
+             .mapInPandas(topk, schema))
+    w = Window.partitionBy("qid", "uid").orderBy("d2", *names)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", "rank", *[F.col(n).alias(c) for n, c in zip(names, ids)], "d2"))
 
 
 def with_score(df: DataFrame, d2_col: str = "d2") -> DataFrame:
@@ -203,70 +253,76 @@ def with_score(df: DataFrame, d2_col: str = "d2") -> DataFrame:
     return df.withColumn("score", 1.0 / (1.0 + F.col(d2_col)))
 
 
-def retrieval_results(knn: DataFrame, chunks: DataFrame, id_col: str, content_col: str,
-                      location_col: str) -> DataFrame:
-    """V5 result shape per query: ``array<struct<content, score, location>>``
-    in rank order (at most k per query, so the list is bounded)."""
-    j = with_score(knn).join(chunks.select(id_col, content_col, location_col), id_col)
+def retrieval_results(knn: DataFrame, contents: DataFrame, id_cols: tuple[str, ...], content_col: str,
+                      location_col: str, metadata: dict[str, str] | None = None) -> DataFrame:
+    """V5 result shape per query: ``array<struct<rank, content, score, location,
+    metadata>>`` in rank order (at most k per query, so the list is bounded).
+    ``metadata`` maps the keys of the metadata map to columns of ``contents``."""
+    entries = [x for name, c in (metadata or {}).items() for x in (F.lit(name), F.col(c).cast("string"))]
+    tags = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+    j = with_score(knn).join(contents, list(id_cols))
     return j.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", F.col(content_col).alias("content"), "score", F.col(location_col).alias("location"))))
-        .alias("results"))
+        "rank", F.col(content_col).alias("content"), "score", F.col(location_col).alias("location"),
+        F.to_json(tags).alias("metadata")))).alias("results"))
 
 
 def content_hash(text) -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
-def new_documents(incoming: DataFrame, indexed: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """Documents whose content is not indexed yet, one per distinct
-    content (smallest id). Duplicates collapse in a partial aggregation
-    before the shuffle, so a hot duplicate cannot skew the anti join."""
-    inc = (incoming.select(id_col, content_hash(text_col).alias("content_hash"))
-           .groupBy("content_hash").agg(F.min(id_col).alias(id_col)))
-    done = indexed.select(content_hash(text_col).alias("content_hash")).distinct()
-    return inc.join(done, "content_hash", "left_anti")
-
-
-def ingest_stats(incoming: DataFrame, indexed: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """Documents scanned, new documents indexed, skipped, in one pass:
-    incoming documents grouped by content hash (partial aggregation), joined
-    with the indexed hashes, then one global aggregate."""
-    inc = (incoming.select(content_hash(text_col).alias("content_hash"))
-           .groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")))
-    done = indexed.select(content_hash(text_col).alias("content_hash")).distinct() \
-        .withColumn("indexed", F.lit(True))
-    j = inc.join(done, "content_hash", "left")
-    agg = j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"),
-                F.count_if(F.col("indexed").isNull()).alias("new_indexed"))
+def hashed_documents(documents: DataFrame, indexed_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``keep``, content_hash, in_index) of every document: the text is
+    hashed in the scan and only narrow rows are joined with the indexed ids."""
+    narrow = documents.select(id_col, *keep, content_hash(text_col).alias("content_hash"))
+    done = indexed_ids.select(id_col).distinct().withColumn("in_index", F.lit(True))
+    return narrow.join(done, id_col, "left").withColumn("in_index", F.coalesce("in_index", F.lit(False)))
+
+
+def new_documents(hashed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Contents of which no document is in the index, with their
+    smallest id. One aggregation over :func:`hashed_documents`, partial before
+    its shuffle, so a hot duplicate costs no more than another."""
+    per = hashed.groupBy("content_hash").agg(F.min(id_col).alias(id_col), F.max("in_index").alias("in_index"))
+    return per.where(~F.col("in_index")).select("content_hash", id_col)
+
+
+def ingest_stats(hashed: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Documents scanned, new documents indexed, skipped and failed, with
+    the reasons of failures (``failures``: a ``reason`` per failed document).
+    The status is ``FAILED`` where nothing but failures was seen."""
+    per = hashed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.max("in_index").alias("in_index"))
+    agg = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ok"), F.count_if(~F.col("in_index")).alias("new"))
+    failed, reasons = F.lit(0), F.array().cast("array<string>")
+    if failures is not None:
+        failed = failures.agg(F.count(F.lit(1))).scalar()
+        # One entry per kind of failure, not per document.
+        reasons = failures.agg(F.sort_array(F.collect_set("reason"))).scalar()
     return agg.select(
-        F.col("scanned").cast("bigint").alias("documents_scanned"),
-        F.col("new_indexed").cast("bigint").alias("new_documents_indexed"),
-        (F.col("scanned") - F.col("new_indexed")).cast("bigint").alias("documents_skipped"),
-        F.lit("COMPLETE").alias("status"))
-
-
-def ingest_stats_by_source(incoming: DataFrame, indexed: DataFrame, source_col: str = "source",
-                           text_col: str = "text") -> DataFrame:
-    """A13 per data source: documents scanned and distinct new contents
-    indexed (content not in ``indexed``). Grouping by (source, hash) is
-    partially aggregated, so duplicated contents collapse before the shuffle."""
-    inc = (incoming.select(source_col, content_hash(text_col).alias("content_hash"))
-           .groupBy(source_col, "content_hash").agg(F.count(F.lit(1)).alias("n")))
-    done = indexed.select(content_hash(text_col).alias("content_hash")).distinct() \
-        .withColumn("indexed", F.lit(True))
-    j = inc.join(done, "content_hash", "left")
-    return j.groupBy(source_col).agg(
+        (F.col("ok") + failed).cast("bigint").alias("documents_scanned"),
+        F.col("new").cast("bigint").alias("new_documents_indexed"),
+        (F.col("ok") - F.col("new")).cast("bigint").alias("documents_skipped"),
+        failed.cast("bigint").alias("documents_failed"),
+        reasons.alias("failure_reasons"),
+        F.when((failed > 0) & (F.col("ok") == 0), F.lit("FAILED")).otherwise(F.lit("COMPLETE")).alias("status"))
+
+
+def ingest_stats_by_source(hashed: DataFrame, source_col: str = "source") -> DataFrame:
+    """A13 per data source: documents scanned and contents of the source of
+    which no source has a document in the index."""
+    per = hashed.groupBy(source_col, "content_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.max("in_index").alias("in_index"))
+    seen = per.where("in_index").select("content_hash").distinct().withColumn("seen", F.lit(True))
+    return per.join(seen, "content_hash", "left").groupBy(source_col).agg(
         F.sum("n").cast("bigint").alias("documents_scanned"),
-        F.count_if(F.col("indexed").isNull()).cast("bigint").alias("new_documents_indexed"))
+        F.count_if(F.col("seen").isNull()).cast("bigint").alias("new_documents_indexed"))
 
 
 def context_with_fallback(df: DataFrame, kb_results_col: str, fallback_cols: dict) -> DataFrame:
     """V7: retrieval context when results exist, keyword fallback otherwise;
     ``source`` tells which one was used."""
     has_kb = F.coalesce(F.size(kb_results_col) > 0, F.lit(False))
-    out = df.withColumn("source", F.when(has_kb, F.lit("knowledge_base")).otherwise(F.lit("fallback")))
+    out = df.withColumn("source", F.when(has_kb, F.lit(KB_SOURCE)).otherwise(F.lit("fallback")))
     for name, c in fallback_cols.items():
         out = out.withColumn(name, F.when(has_kb, F.lit(None)).otherwise(c))
     return out

@@ -21,8 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimflow.functions.arrays import exclusive_prefix_sums, interleave
-from claimflow.functions.pii_rules import DEFAULT_REGISTRY, PiiRegistry, PiiRule, required_char
+from claimflow.functions.arrays import exclusive_prefix_sums, interleave, let
+from claimflow.functions.pii_rules import DEFAULT_REGISTRY, PiiRegistry, PiiRule, may_match
 
 _SEP = "\ue000"  # private-use code point marking match boundaries
 CONTEXT_CHARS = 30
@@ -46,10 +46,8 @@ def match_parts(text: Column, rule: PiiRule) -> Column:
     hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
     slow = interleave(gaps, hits)
     parts = F.when(F.instr(text, _SEP) == 0, fast).otherwise(slow)
-    guard = required_char(rule)
-    if guard is None:
-        return parts
-    return F.when(F.instr(text, guard) == 0, F.array(text)).otherwise(parts)
+    guard = may_match(rule, text)
+    return parts if guard is None else F.when(guard, parts).otherwise(F.array(text))
 
 
 def _n_matches(parts: Column) -> Column:
@@ -63,32 +61,19 @@ def _replace_matches(parts: Column, replacement: str) -> Column:
     return F.when(F.size(parts) == 1, parts[0]).otherwise(joined)
 
 
-# Up to this many parts a single left-to-right ``aggregate`` (appending to
-# the result array) is cheapest; longer arrays switch to blocked prefix sums,
-# whose cost stays O(n sqrt n) however many matches a document has.
-_LINEAR_SCAN_MAX_PARTS = 512
 _MATCH_TYPE = "array<struct<m:string,start:bigint>>"
 
 
 def _matches_with_starts(parts: Column) -> Column:
     """``array<struct<m string, start bigint>>`` of the matches and their
     0-based code-point offsets in the text the parts came from."""
-    init = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("i"),
-                    F.array().cast(_MATCH_TYPE).alias("out"))
+    def paired(p: Column) -> Column:
+        starts = exclusive_prefix_sums(F.transform(p, lambda v: F.length(v)))
+        both = F.zip_with(p, starts, lambda v, st: F.struct(v.alias("m"), st.alias("start")))
+        return F.filter(both, lambda z, i: i % 2 == 1)
 
-    def step(acc, x):
-        hit = F.concat(acc["out"], F.array(F.struct(x.alias("m"), acc["run"].alias("start"))))
-        return F.struct((acc["run"] + F.length(x)).alias("run"), (acc["i"] + 1).alias("i"),
-                        F.when(acc["i"] % 2 == 1, hit).otherwise(acc["out"]).alias("out"))
-
-    scan = F.aggregate(parts, init, step, lambda acc: acc["out"])
-    starts = exclusive_prefix_sums(F.transform(parts, lambda v: F.length(v)))
-    paired = F.zip_with(parts, starts, lambda v, st: F.struct(v.alias("m"), st.alias("start")))
-    blocked = F.filter(paired, lambda z, i: i % 2 == 1)
-    n = F.size(parts)
-    return (F.when(n == 1, F.array().cast(_MATCH_TYPE))
-             .when(n <= _LINEAR_SCAN_MAX_PARTS, scan)
-             .otherwise(blocked))
+    # Most rules match nothing in most documents: skip the array work then.
+    return F.when(F.size(parts) == 1, F.array().cast(_MATCH_TYPE)).otherwise(let(parts, paired))
 
 
 def _by_type(rules: Sequence[PiiRule], counts: Sequence[Column]) -> Column:
@@ -113,15 +98,23 @@ def _by_type(rules: Sequence[PiiRule], counts: Sequence[Column]) -> Column:
 # --------------------------------------------------------------- sequential
 def mask_text(text, types=None, registry: PiiRegistry = DEFAULT_REGISTRY) -> Column:
     """Masked text only (the quick ``filter_sensitive_data`` path): one
-    ``regexp_replace`` per rule, no arrays, stays inside whole-stage codegen."""
+    ``regexp_replace`` per rule and no arrays. Each stage's text is bound
+    once, and a rule's pass is skipped where its guard shows it cannot match."""
     out = _col(text)
     for rule in registry.select(types):
-        replaced = F.regexp_replace(out, rule.java_pattern, _java_literal(rule.replacement))
-        guard = required_char(rule)
-        out = replaced if guard is None else F.when(F.instr(out, guard) == 0, out).otherwise(replaced)
+        out = let(out, _stage(rule))
     return out
 
 
+def _stage(rule: PiiRule):
+    """The text with the rule's matches replaced, as a function of the text."""
+    def replace(t: Column) -> Column:
+        replaced = F.regexp_replace(t, rule.java_pattern, _java_literal(rule.replacement))
+        guard = may_match(rule, t)
+        return replaced if guard is None else F.when(guard, replaced).otherwise(t)
+    return replace
+
+
 def _java_literal(s: str) -> str:
     # Java replacement strings treat '$' and '\' specially.
     return s.replace("\\", "\\\\").replace("$", "\\$")
