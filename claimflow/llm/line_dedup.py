@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimflow.llm.common import ASCII_SPACE, ascii_lower
+from claimflow.llm.common import ASCII_SPACE, ascii_lower, materialise
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -51,6 +51,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     )
+    # Written, so that its size is known: it is broadcast where it is small, and
+    # else both sides of the join are shuffled for it and a hot hash is split.
+    frequent = materialise(frequent, "line-dedup-frequent")
     dropped = (
         keys.join(frequent, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("id").alias("__id"), F.col("version").alias("__version"))
