@@ -7,7 +7,7 @@ the parquet scan to the sink.
 
 import sys as _sys
 
-from claimflow.session import get_spark, ensure_checkpoint_dir
+from claimflow.session import get_spark
 
 # Ship claimflow's functions and classes to Python workers by value, so
 # mapInPandas stages run even where the package is not installed on the
@@ -18,4 +18,4 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle: package must be installed
     pass
 
-__all__ = ["get_spark", "ensure_checkpoint_dir"]
+__all__ = ["get_spark"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DIMENSIONS = (("accuracy", "accuracy_rating"), ("speed", "speed_rating"), ("quality", "quality_rating"))
 RECENT_COMMENTS = 10
@@ -24,6 +25,11 @@ def _mean(sum_col: Column, n_col: Column) -> Column:
     return F.coalesce(sum_col.cast("double") / F.when(n_col > 0, n_col).cast("double"), F.lit(0.0))
 
 
+def _shown(mean: Column) -> Column:
+    """A mean as reports show it: two decimals, exact halves to the even digit."""
+    return F.bround(mean, 2)
+
+
 def stamp_feedback(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
     """Id ``yyyyMMdd_HHmmss_ffffff`` from the submit time, ISO timestamp
     string, empty comment when none was given."""
@@ -40,8 +46,9 @@ def feedback_stats(df: DataFrame) -> DataFrame:
     r = _truthy("rating")
     agg = df.agg(F.count(F.lit(1)).alias("total"), F.count(r).alias("n_ratings"),
                  F.sum(r).cast("bigint").alias("rating_sum"))
+    mean = _mean(F.col("rating_sum"), F.col("n_ratings"))
     return agg.select("total", "n_ratings", F.coalesce("rating_sum", F.lit(0)).cast("bigint").alias("rating_sum"),
-                      _mean(F.col("rating_sum"), F.col("n_ratings")).alias("average_rating"))
+                      mean.alias("average_rating"), _shown(mean).alias("average_shown"))
 
 
 def by_type(df: DataFrame) -> DataFrame:
@@ -53,8 +60,8 @@ def report_overall(df: DataFrame) -> DataFrame:
     """A3: overall mean rating and number of ratings."""
     r = _truthy("rating")
     agg = df.agg(F.count(r).alias("total_ratings"), F.sum(r).cast("bigint").alias("rating_sum"))
-    return agg.select(_mean(F.col("rating_sum"), F.col("total_ratings")).alias("average_rating"),
-                      "total_ratings", F.coalesce("rating_sum", F.lit(0)).cast("bigint").alias("rating_sum"))
+    mean = _mean(F.col("rating_sum"), F.col("total_ratings"))
+    return agg.select(mean.alias("average_rating"), _shown(mean).alias("average_shown"), "total_ratings", F.coalesce("rating_sum", F.lit(0)).cast("bigint").alias("rating_sum"))
 
 
 def dimensions(df: DataFrame) -> DataFrame:
@@ -69,7 +76,8 @@ def dimensions(df: DataFrame) -> DataFrame:
     return long.select("dimension", F.col("dim_ord").cast("int").alias("dim_ord"),
                        F.col("n").cast("bigint").alias("count"),
                        F.coalesce("s", F.lit(0)).cast("bigint").alias("rating_sum"),
-                       _mean(F.col("s"), F.col("n")).alias("average"))
+                       _mean(F.col("s"), F.col("n")).alias("average"),
+                       _shown(_mean(F.col("s"), F.col("n"))).alias("average_shown"))
 
 
 def by_model(df: DataFrame) -> DataFrame:
@@ -79,7 +87,8 @@ def by_model(df: DataFrame) -> DataFrame:
                                      F.sum(r).cast("bigint").alias("rating_sum"))
     return agg.select("model_id", "count", "n_ratings",
                       F.coalesce("rating_sum", F.lit(0)).cast("bigint").alias("rating_sum"),
-                      _mean(F.col("rating_sum"), F.col("n_ratings")).alias("average_rating"))
+                      _mean(F.col("rating_sum"), F.col("n_ratings")).alias("average_rating"),
+                      _shown(_mean(F.col("rating_sum"), F.col("n_ratings"))).alias("average_shown"))
 
 
 def recent_comments(df: DataFrame, n: int = RECENT_COMMENTS) -> DataFrame:
@@ -92,11 +101,13 @@ def recent_comments(df: DataFrame, n: int = RECENT_COMMENTS) -> DataFrame:
 
 def full_report(df: DataFrame) -> DataFrame:
     """The whole report in long form, one row per (section, key):
-    ``total``, ``overall``, ``detailed`` (per dimension), ``by_type`` and
-    ``by_model``. One scan and one shuffle: ``GROUPING SETS`` over
-    ``(feedback_type)``, ``(model_id)`` and ``()``, then the global row is
-    unpivoted into its sections. An empty input yields the ``total`` row with
-    0 and the message."""
+    ``total``, ``overall``, ``detailed`` (per dimension), ``by_type``,
+    ``by_model`` and ``recent_comments`` (key: the entry's id, n: its rank,
+    comment: its text). The counts take one scan and one shuffle: ``GROUPING
+    SETS`` over ``(feedback_type)``, ``(model_id)`` and ``()``, then the global
+    row is unpivoted into its sections. Means also come with two decimals
+    (``shown``). An empty input yields the ``total`` row with 0 and the
+    message."""
     r = _truthy("rating")
     aggs = [F.count(F.lit(1)).alias("n_all"), F.count(r).alias("n_r"), F.sum(r).cast("bigint").alias("s_r")]
     for name, col in DIMENSIONS:
@@ -108,7 +119,9 @@ def full_report(df: DataFrame) -> DataFrame:
         n_rated = n if n_rated is None else n_rated
         return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("bigint").alias("n"),
                         (F.coalesce(s, F.lit(0)) if s is not None else F.lit(None)).cast("bigint").alias("rating_sum"),
-                        (_mean(s, n_rated) if s is not None else F.lit(None)).cast("double").alias("average"))
+                        (_mean(s, n_rated) if s is not None else F.lit(None)).cast("double").alias("average"),
+                        (_shown(_mean(s, n_rated)) if s is not None else F.lit(None)).cast("double").alias("shown"),
+                        F.lit(None).cast("string").alias("comment"))
     total = F.array(
         entry("total", F.when(F.col("n_all") == 0, F.lit("No feedback data available")), F.col("n_all")),
         entry("overall", F.lit(None), F.col("n_r"), F.col("s_r")),
@@ -116,4 +129,20 @@ def full_report(df: DataFrame) -> DataFrame:
     rows = (F.when(F.col("gid") == 3, total)
              .when(F.col("gid") == 1, F.array(entry("by_type", F.col("feedback_type"), F.col("n_all"))))
              .otherwise(F.array(entry("by_model", F.col("model_id"), F.col("n_all"), F.col("s_r"), F.col("n_r")))))
-    return g.select(F.inline(rows))
+    ranked = recent_comments(df).withColumn(
+        "n", F.row_number().over(Window.orderBy(F.col("timestamp").desc(), F.col("id"))))  # ten rows
+    comments = ranked.select(
+        F.lit("recent_comments").alias("section"), F.col("id").cast("string").alias("key"), F.col("n").cast("bigint").alias("n"),
+        F.lit(None).cast("bigint").alias("rating_sum"), F.lit(None).cast("double").alias("average"),
+        F.lit(None).cast("double").alias("shown"), "comment")
+    return g.select(F.inline(rows)).unionByName(comments)
+
+
+def report_record(df: DataFrame) -> DataFrame:
+    """A6 as one nested record: the sections of :func:`full_report` by name,
+    each a list of its entries in key order (comments: newest first)."""
+    rows = full_report(df).select("section", F.struct(
+        F.when(F.col("section") == "recent_comments", F.col("n")).alias("rank"), "key", "n",
+        F.col("shown").alias("average"), "comment").alias("entry"))
+    per = rows.groupBy("section").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    return per.select("section", F.to_json("entries").alias("entries"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import string
 from collections import OrderedDict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimflow.operators.policy import title_words
@@ -46,7 +46,7 @@ Provide a brief comparison."""),
 
 
 class PromptTemplates:
-    """M5: template registry (add / list / render / as a DataFrame)."""
+    """M5: template registry (add / list / render, one template or one per row)."""
 
     def __init__(self, templates=BUILTIN_TEMPLATES):
         self._t: "OrderedDict[str, str]" = OrderedDict(templates)
@@ -67,8 +67,18 @@ class PromptTemplates:
     def render(self, name: str, **values) -> Column:
         return render_template(self.get(name), **values)
 
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self._t.items()), "name string, template string")
+    def render_each(self, name: Column, **values) -> Column:
+        """The template that each row names. A name that is not registered, or
+        whose template has a placeholder without a value, fails the row's job
+        like an unknown template does on the driver."""
+        out = None
+        for known, template in self._t.items():
+            missing = [p for p in placeholders(template) if p not in values]
+            text = (F.raise_error(F.lit(f"Template {known} lacks a value for {', '.join(missing)}")).cast("string")
+                    if missing else render_template(template, **values))
+            out = F.when(name == known, text) if out is None else out.when(name == known, text)
+        unknown = F.raise_error(F.concat(F.lit("Template "), F.coalesce(name, F.lit("null")), F.lit(" not found")))
+        return unknown.cast("string") if out is None else out.otherwise(unknown.cast("string"))
 
 
 DEFAULT_TEMPLATES = PromptTemplates()

@@ -278,3 +278,17 @@ def prompt_compare_pairs(spark, sf_dir):
     return pairs.select("claim_name", "ord1", "ord2", prompts.DEFAULT_TEMPLATES.render(
         "compare_summary", model1="model1", summary1="summary1", model2="model2", summary2="summary2"
     ).alias("prompt"))
+
+
+@query("prompt_by_template", views.with_views(
+    f"""with c as (select claim_id, claim_text, case when {_classify_sql('claim_text')} = 'general' then 'generate_summary'
+  else 'extract_info' end as template from claims)
+select claim_id, template, case template when 'extract_info' then {_render_sql(TEMPLATES['extract_info'], document_text='claim_text')}
+  else {_render_sql(TEMPLATES['generate_summary'], extracted_info='claim_text')} end as prompt from c""", "claims"))
+def prompt_by_template(spark, sf_dir):
+    """M5: every claim carries the name of its template: general claims are
+    summarised directly, the others extracted first."""
+    c = _claims(spark, sf_dir).withColumn("template", F.when(
+        policy.classify_claim("claim_text") == "general", "generate_summary").otherwise("extract_info"))
+    prompt = prompts.DEFAULT_TEMPLATES.render_each(F.col("template"), document_text="claim_text", extracted_info="claim_text")
+    return c.select("claim_id", "template", prompt.alias("prompt"))

@@ -244,3 +244,14 @@ st as (select model_ord, model_id, count(*) as n, cast(sum(cast(round(time_secon
 def eval_report_lines(spark, sf_dir):
     """Every line of the evaluation report with its place in it."""
     return ev.report_lines(_results(spark, sf_dir), _models_df(spark))
+
+
+@query("eval_nested", views.with_views(
+    """select claim_name, '{' || string_agg('"' || model_id || '":' || case when success then
+  '{"success":true,"time_seconds":' || cast(time_seconds as varchar) || ',"summary":"' || summary || '","summary_length":' || length(summary) || '}'
+ else '{"success":false,"time_seconds":' || cast(time_seconds as varchar) || ',"error":"' || error || '"}' end, ',' order by model_id)
+ || '}' as json from model_results group by claim_name""", "model_results"))
+def eval_nested(spark, sf_dir):
+    """The nested results (claim, model, result) as one JSON document per claim."""
+    from claimflow.sources import sinks
+    return sinks.nest_results(_results(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from claimflow.operators import feedback as fb
@@ -43,9 +45,10 @@ def _values(rows, cols):
 
 # ------------------------------------------------------------------ landing
 @query("land_documents", f"""with u as (select doc_id, text,
-  source || '/' || lang || ' report ' || cast(doc_id as varchar) || '.txt' as filename,
+  source || '/' || lang || ' résumé ' || cast(doc_id as varchar) || '.txt' as filename,
   make_timestamp(cast(({_EPOCH_2024} + doc_id) * 1000000 as bigint)) as uploaded_at from documents),
-s as (select *, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(filename, '[/\\\\]', ' ', 'g'),
+s as (select *, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(
+  regexp_replace(strip_accents(filename), '[^\\x00-\\x7F]', '', 'g'), '/', ' ', 'g'),
   '\\s+', ' ', 'g')), ' ', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g') as safe from u)
 select doc_id,
  case when filename is null or filename = '' then 'No file selected' when octet_length(encode(text)) > {documents.MAX_UPLOAD_BYTES}
@@ -54,7 +57,7 @@ select doc_id,
 def land_documents(spark, sf_dir):
     """Every document as an upload: name guard, 16 MB limit, safe key."""
     d = read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat_ws("", "source", F.lit("/"), "lang", F.lit(" report "),
+        "doc_id", F.concat_ws("", "source", F.lit("/"), "lang", F.lit(" résumé "),
                               F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.octet_length("text").alias("size"),
         F.timestamp_seconds(F.lit(_EPOCH_2024) + F.col("doc_id")).alias("uploaded_at"))
@@ -63,11 +66,14 @@ def land_documents(spark, sf_dir):
 
 
 # ----------------------------------------------------------- summary store
-def _summary_events(spark, sf_dir):
+def _summary_events(spark, sf_dir, order_key=None):
     """Summary records of one processing run: every claim once, and claims
     of finished orders re-uploaded later under ``archive/`` (same basename,
-    so their summary key is written twice)."""
+    so their summary key is written twice). ``order_key`` narrows the scan to
+    one order's records."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    if order_key is not None:
+        o = o.where(F.col("o_orderkey") == order_key)
     base = F.concat(F.lit("claim_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit(".txt"))
     first = o.select(F.concat(F.lit("documents/"), base).alias("input_file"),
                      (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("processed_at"))
@@ -105,11 +111,27 @@ LOOKUP_KEY = "summaries/claim_00000001.txt.json"
 @query("summary_lookup", f"""with {_SUMMARY_EVENTS_SQL}
 select output_key, input_file from latest where output_key = '{LOOKUP_KEY}'""")
 def summary_lookup(spark, sf_dir):
-    """Point lookup of one summary by key (a pushed-down equality filter)."""
-    s = sinks.latest_per_key(_summary_events(spark, sf_dir), "output_key", ("processed_at", "input_file"))
+    """Point lookup of one summary by key. The key names its order, so
+    the look-up is an equality filter that reaches the scan."""
+    order_key = int(re.search(r"claim_(\d+)", LOOKUP_KEY)[1])
+    s = sinks.latest_per_key(_summary_events(spark, sf_dir, order_key), "output_key", ("processed_at", "input_file"))
     return s.where(F.col("output_key") == LOOKUP_KEY).select("output_key", "input_file")
 
 
+@query("object_listing", """with o as (select 'documents/' || source || '/' || cast(doc_id as varchar) || '.txt' as key,
+   octet_length(encode(coalesce(text, ''))) as size from documents union all
+ select 'pages/' || cast(page_id as varchar) || '.html', octet_length(encode(coalesce(html, ''))) from pages)
+select split_part(key, '/', 1) as area, count(*) as objects, cast(sum(size) as bigint) as bytes from o group by 1""")
+def object_listing(spark, sf_dir):
+    """Objects and bytes per landing area, documents and pages listed as objects."""
+    d, p = (read_table(spark, sf_dir, t) for t in ("documents", "pages"))
+    size = lambda c: F.octet_length(F.coalesce(F.col(c), F.lit(""))).cast("long").alias("size")
+    listing = d.select(F.concat(F.lit("documents/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"),
+                       size("text")).unionByName(
+        p.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("key"), size("html")))
+    return documents.objects_per_area(listing)
+
+
 @query("pending_documents", views.with_views(
     """select c.claim_id, c.input_key from claims c
 where not exists (select 1 from model_results r where r.model_ord = 1 and r.success

@@ -7,12 +7,27 @@ so listing a landing area never opens the files' content.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
 
 
+def _accents() -> tuple[str, str]:
+    """Every letter of the basic plane that is an ASCII letter with marks, and that letter."""
+    pairs = []
+    for code in range(0x80, 0x10000):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if ord(c) < 128)
+        if len(plain) == 1 and plain.isalnum():
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(p for _, p in pairs)
+
+
+ACCENTED, PLAIN = _accents()
+
+
 def _relative_key(path: Column, root: str) -> Column:
     root = root.rstrip("/")
     # _metadata.file_path is a URI (file:/..., s3a://...); keep what follows the root.
@@ -27,21 +42,28 @@ def _escape(s: str) -> str:
 def read_documents(spark: SparkSession, root: str, glob: str = "*.txt", recursive: bool = True,
                    prefix: str | None = None) -> DataFrame:
     """Whole-text scan of ``root``: ``input_key, name, text, size,
-    modified``. ``prefix`` keeps only keys under it (e.g. ``policies/``);
-    unreadable files are skipped (``ignoreCorruptFiles``)."""
+    modified``. ``prefix`` (a folder below ``root``, e.g. ``policies/``) is
+    what is listed and read then; keys stay relative to ``root``. A missing
+    prefix has no documents. Unreadable files are skipped
+    (``ignoreCorruptFiles``); :func:`unreadable_documents` names them."""
+    where = f"{root.rstrip('/')}/{prefix.strip('/')}" if prefix else root
     r = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob)
-         .option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).load(root))
+         .option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).load(where))
     key = _relative_key(F.col("_metadata.file_path"), root)
-    out = r.select(
+    return r.select(
         key.alias("input_key"),
         F.regexp_replace(F.element_at(F.split(key, "/"), -1), r"\.txt$", "").alias("name"),
         F.col("value").alias("text"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
-    if prefix:
-        out = out.where(F.col("input_key").startswith(prefix))
-    return out
+
+
+def unreadable_documents(spark: SparkSession, root: str, read: DataFrame, glob: str = "*.txt") -> DataFrame:
+    """Quarantine rows (``key, reason``): objects that the listing has and ``read`` has not."""
+    listed = list_objects(spark, root, glob).select("key")
+    return listed.join(read.select(F.col("input_key").alias("key")), "key", "left_anti").withColumn(
+        "reason", F.lit("unreadable file"))
 
 
 def list_objects(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -60,12 +82,13 @@ def objects_per_area(listing: DataFrame) -> DataFrame:
 
 
 def safe_filename(name) -> Column:
-    """Filename made safe for a key: path separators and whitespace runs
-    become ``_``, characters outside ``[A-Za-z0-9_.-]`` are dropped, leading
-    and trailing ``.``/``_`` stripped. Non-ASCII letters are dropped (not
-    transliterated)."""
+    """Filename made safe for a key: letters with accents lose them, other
+    characters beyond ASCII go; ``/`` and white space runs become ``_``;
+    characters outside ``[A-Za-z0-9_.-]`` are dropped, leading and trailing
+    ``.``/``_`` stripped."""
     n = F.col(name) if isinstance(name, str) else name
-    n = F.regexp_replace(n, r"[/\\]", " ")
+    n = F.regexp_replace(F.translate(n, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    n = F.regexp_replace(n, "/", " ")
     n = F.regexp_replace(F.trim(F.regexp_replace(n, r"\s+", " ")), " ", "_")
     n = F.regexp_replace(n, r"[^A-Za-z0-9_.-]", "")
     return F.regexp_replace(n, r"^[._]+|[._]+$", "")

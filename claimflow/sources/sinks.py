@@ -6,7 +6,7 @@ an export format only (many small files do not scale).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +33,32 @@ def latest_per_key(df: DataFrame, key_col: str = "output_key", order_cols=("proc
     return best.select(key_col, "__r.*")
 
 
+#: Folders that summaries are dealt to by their key.
+KEY_BUCKETS = 256
+
+
+def key_bucket(key) -> Column:
+    """The bucket of an output key; a look-up filters by it and reads one folder."""
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
 def write_summaries(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Summary table partitioned by processing date."""
-    (df.withColumn("processed_date", F.to_date("processed_at"))
-       .write.mode(mode).partitionBy("processed_date").parquet(path))
+    """Summary table partitioned by key bucket (S5); a point look-up
+    reads one of them."""
+    out = df.withColumn("key_bucket", key_bucket("output_key"))
+    out.repartition("key_bucket").write.mode(mode).partitionBy("key_bucket").parquet(path)
+
+
+def read_summary(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The latest summary under one key; only its bucket is read."""
+    rows = spark.read.parquet(path).where((F.col("key_bucket") == key_bucket(F.lit(key))) & (F.col("output_key") == key))
+    return latest_per_key(rows.drop("key_bucket"))
+
+
+def write_evaluation(results: DataFrame, path: str, run_id: str) -> None:
+    """The results of one evaluation run under ``run_id=...``; earlier
+    runs stay, and writing a run again replaces it."""
+    results.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
 def write_json_export(df: DataFrame, path: str) -> None:
@@ -46,33 +68,41 @@ def write_json_export(df: DataFrame, path: str) -> None:
 
 def nest_results(results: DataFrame) -> DataFrame:
     """S10 nested form ``claim -> model -> result`` as one JSON document per
-    claim (the model map of one claim is bounded by the model list)."""
+    claim (the model map of one claim is bounded by the model list). Results
+    carry every field; ``summary_length`` is added where there is a summary."""
     from claimflow.operators.evaluation import one_per_model
-    dedup = one_per_model(results.select("claim_name", "model_id", "success", "time_seconds", "summary", "error"),
-                          ("claim_name", "model_id"))
-    per = dedup.groupBy("claim_name").agg(F.map_from_entries(F.collect_list(F.struct(
-        "model_id", F.struct("success", "time_seconds", "summary", "error")))).alias("results"))
+    fields = [c for c in ("success", "time_seconds", "extracted_info", "summary", "error") if c in results.columns]
+    last = one_per_model(results.select("claim_name", "model_id", *fields), ("claim_name", "model_id"))
+    result = F.struct(*fields, F.length("summary").alias("summary_length"))
+    # Entries in model order, so equal runs give equal documents.
+    per = last.groupBy("claim_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
+        "model_id", result.alias("result"))))).alias("results"))
     return per.select("claim_name", F.to_json("results").alias("json"))
 
 
+def parse_feedback(raw: DataFrame) -> DataFrame:
+    """Feedback objects (text column ``value``) as entries with ``ok``.
+
+    A value that is no JSON object of the entry's types is not ``ok``. A key
+    missing from an object reads as ``unknown`` for ``feedback_type`` and
+    ``model_id``, while an explicit JSON null stays null (Q11). Batch and
+    stream read feedback through this function."""
+    schema = T.StructType(FEEDBACK_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+    keys = F.json_object_keys("value")
+    rows = raw.withColumn("j", F.from_json("value", schema, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).withColumn("keys", keys)
+    ok = F.col("j").isNotNull() & F.col("j._corrupt_record").isNull() & F.col("keys").isNotNull()
+    named = [F.when(F.array_contains("keys", f.name), F.col("j")[f.name]).otherwise(F.lit("unknown")).alias(f.name)
+             if f.name in ("feedback_type", "model_id") else F.col("j")[f.name].alias(f.name) for f in FEEDBACK_SCHEMA.fields]
+    return rows.select(*named, *[c for c in raw.columns if c != "value"], F.col("value").alias("raw"), ok.alias("ok"))
+
+
 def read_feedback_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Every feedback object under ``path`` (pretty-printed, one per
-    file). Malformed files are kept apart, the rest survive. A key missing
-    from an object reads as ``unknown`` for ``feedback_type``/``model_id``,
-    while an explicit JSON null stays null (Q11)."""
-    schema = T.StructType(FEEDBACK_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+    file), and the malformed ones (``file, raw``) apart."""
     raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
-    parsed = raw.select(F.col("value").alias("raw"),
-                        F.from_json("value", schema, {"mode": "PERMISSIVE",
-                                                      "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"),
-                        F.col("_metadata.file_path").alias("file"))
-    keys = F.json_object_keys("raw")
-    ok = parsed.where(F.col("j").isNotNull() & F.col("j._corrupt_record").isNull() & keys.isNotNull())
-    bad = parsed.where(~(F.col("j").isNotNull() & F.col("j._corrupt_record").isNull() & keys.isNotNull()))
-    good = ok.select("j.*", keys.alias("__keys")).drop("_corrupt_record")
-    for c in ("feedback_type", "model_id"):
-        good = good.withColumn(c, F.when(F.array_contains("__keys", c), F.col(c)).otherwise(F.lit("unknown")))
-    return good.drop("__keys"), bad.select("file", "raw")
+    parsed = parse_feedback(raw.select("value", F.col("_metadata.file_path").alias("file")))
+    return parsed.where("ok").drop("file", "raw", "ok"), parsed.where("not ok").select("file", "raw")
 
 
 def write_feedback(df: DataFrame, path: str) -> None:

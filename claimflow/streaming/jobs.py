@@ -8,7 +8,7 @@
   (``sinks.latest_per_key``), so a re-uploaded document overwrites its
   summary. Rows that fail go to a quarantine folder.
 * T4 ``running_feedback``: running feedback statistics (complete mode).
-* T5 ``kb_sync``: policy documents under a prefix are chunked as they land.
+* T5 ``kb_sync``: policy documents under a prefix go into the index as they land.
 
 All are stateless except T4, which keeps one row per group.
 """
@@ -20,16 +20,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimflow.operators import inference, kb
+from claimflow.operators import feedback, inference, kb
 from claimflow.sources import sinks
 
 
 def document_stream(spark: SparkSession, root: str, glob: str = "*.txt",
-                    max_files_per_trigger: int = 1000) -> DataFrame:
-    """T1 source: one row per landed text file (``input_key, text, size``)."""
+                    max_files_per_trigger: int = 1000, key_root: str | None = None) -> DataFrame:
+    """T1 source: one row per landed text file (``input_key, text, size``);
+    keys are relative to ``key_root`` (``root`` by default)."""
     r = (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob)
          .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_trigger).load(root))
-    root = root.rstrip("/")
+    root = (key_root or root).rstrip("/")
     key = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?" + _re_escape(root) + "/", "")
     return r.select(key.alias("input_key"), F.col("value").alias("text"),
                     F.col("_metadata.file_size").alias("size"),
@@ -79,22 +80,59 @@ def read_latest_summaries(spark: SparkSession, output_path: str) -> DataFrame:
     return sinks.latest_per_key(s.drop("batch_id"), "output_key", ("processed_at", "input_file"))
 
 
-def running_feedback(spark: SparkSession, feedback_root: str, query_name: str = "feedback_stats"):
-    """T4: counts and truthy-rating means by feedback type, recomputed over
-    everything submitted so far (complete mode, one state row per type)."""
-    s = (spark.readStream.schema(sinks.FEEDBACK_SCHEMA).option("multiLine", True)
-         .option("recursiveFileLookup", True).json(feedback_root))
-    s = s.withColumn("feedback_type", F.coalesce("feedback_type", F.lit("unknown")))
-    r = F.when(F.col("rating") != 0, F.col("rating"))
-    agg = s.groupBy("feedback_type").agg(F.count(F.lit(1)).alias("n_feedback"), F.count(r).alias("n_ratings"),
-                                        F.sum(r).alias("rating_sum"))
-    return (agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
-            .trigger(availableNow=True).start())
+#: What the running feedback keeps for each (type, model): counts and sums of truthy ratings.
+_RATINGS = ("rating", *(c for _, c in feedback.DIMENSIONS))
+
+
+def running_feedback(spark: SparkSession, feedback_root: str, output_path: str, checkpoint: str,
+                     available_now: bool = True):
+    """T4: running feedback statistics over everything submitted so far.
+
+    Objects are parsed as in batch (``sinks.parse_feedback``): malformed ones
+    are skipped, an explicit null type stays null. The state has a row for
+    each feedback type and model (complete mode); every epoch writes it whole
+    to ``epoch=...``, so a replayed epoch rewrites the same files. Read it with
+    :func:`read_running_feedback`.
+    """
+    raw = (spark.readStream.format("text").option("wholetext", True)
+           .option("recursiveFileLookup", True).load(feedback_root))
+    entries = sinks.parse_feedback(raw.select("value")).where("ok")
+    truthy = lambda c: F.when(F.col(c) != 0, F.col(c))
+    cube = entries.groupBy("feedback_type", "model_id").agg(
+        F.count(F.lit(1)).alias("entries"),
+        *[F.count(truthy(c)).alias(f"n_{c}") for c in _RATINGS],
+        *[F.coalesce(F.sum(truthy(c)), F.lit(0)).cast("bigint").alias(f"sum_{c}") for c in _RATINGS])
 
+    def handle(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/epoch={epoch}")
+
+    w = cube.writeStream.outputMode("complete").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
-def kb_sync(spark: SparkSession, kb_root: str, chunks_path: str, checkpoint: str, prefix: str = "policies/"):
-    """T5: chunk policy documents as they land under ``prefix`` (append)."""
-    d = document_stream(spark, kb_root).where(F.col("input_key").startswith(prefix))
-    chunks = kb.chunk_documents(d, "input_key", "text")
-    return (chunks.writeStream.format("parquet").option("path", chunks_path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+def read_running_feedback(spark: SparkSession, output_path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The newest statistics per ``by`` (``feedback_type``, ``model_id``, both
+    or neither): entries, and for each rating its count, sum and mean (0 where
+    nobody rated)."""
+    rows = spark.read.parquet(output_path)
+    rows = rows.where(F.col("epoch") == rows.agg(F.max("epoch")).scalar())
+    agg = rows.groupBy(*by).agg(
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
+        *[F.coalesce(F.sum(f"{k}_{c}"), F.lit(0)).alias(f"{k}_{c}") for c in _RATINGS for k in ("n", "sum")])
+    return agg.withColumns({f"average_{c}": F.when(F.col(f"n_{c}") > 0, F.col(f"sum_{c}") / F.col(f"n_{c}")).otherwise(0.0)
+                            for c in _RATINGS})
+
+
+def kb_sync(spark: SparkSession, kb_root: str, index_path: str, checkpoint: str, prefix: str = "policies/",
+            dim: int = 1024, embed: Callable = kb.hashed_terms):
+    """T5/V8: policy documents that land under ``prefix`` are chunked, embedded,
+    checked and appended to the index; texts that it has are skipped."""
+    docs = document_stream(spark, f"{kb_root.rstrip('/')}/{prefix.strip('/')}", key_root=kb_root)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        if not batch.isEmpty():
+            kb.sync_index(batch, index_path, dim, "input_key", "text", embed=embed)
+
+    return (docs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

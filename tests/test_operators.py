@@ -31,11 +31,13 @@ def test_classification_and_policy(spark):
     assert out[3].policy_typical_deductible == "$500-$1000"  # general -> auto policy
 
 
-def test_policy_lookup_join_path(spark, monkeypatch):
-    monkeypatch.setattr(policy, "MAX_LITERAL_POLICIES", 1)
+def test_policy_lookup_join_path(spark):
     pol = policy.policy_table(spark)
+    pol = pol.union(pol)  # a repeated type gives one row
     df = spark.createDataFrame([("medical",), ("other",)], "claim_type string")
-    out = {r.claim_type: r for r in policy.policy_lookup(df, "claim_type", policies=pol).collect()}
+    rows = policy.policy_lookup(df, "claim_type", policies=pol).collect()
+    assert len(rows) == 2
+    out = {r.claim_type: r for r in rows}
     assert out["medical"].policy_typical_deductible == "$0-$500"
     assert out["other"].policy_typical_deductible == "$500-$1000"
 
@@ -78,7 +80,7 @@ def test_chunking_edges(spark):
     assert c[1].chunk_text.split()[0] == "w240" and c[1].n_words == 300
 
 
-def test_knn_matches_brute_force(spark, monkeypatch):
+def test_knn_matches_brute_force(spark):
     from claimflow.sources.tables import read_table
     e = read_table(spark, SF_SMALL, "embeddings")
     rows = e.collect()
@@ -86,8 +88,7 @@ def test_knn_matches_brute_force(spark, monkeypatch):
     ids = np.array([r.vec_id for r in rows])
     Q = X[:7] + 0.01
     qdf = spark.createDataFrame([(int(i), [float(v) for v in q]) for i, q in enumerate(Q)], "qid long, qvec array<double>")
-    monkeypatch.setattr(kb, "MAX_QUERIES_PER_PASS", 3)  # exercise the blocked path
-    got = kb.knn_topk(e, qdf, k=5).collect()
+    got = kb.knn_topk(e, qdf, k=5, query_blocks=3).collect()
     for qi in range(len(Q)):
         d = ((X - Q[qi]) ** 2).sum(1)
         order = sorted(range(len(ids)), key=lambda j: (d[j], ids[j]))[:5]
@@ -96,18 +97,22 @@ def test_knn_matches_brute_force(spark, monkeypatch):
 
 
 def test_new_documents_and_stats(spark):
-    inc = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "doc_id int, text string")
-    idx = spark.createDataFrame([(9, "c")], "doc_id int, text string")
-    new = kb.new_documents(inc, idx).collect()
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c"), (9, "c")], "doc_id int, text string")
+    hashed = kb.hashed_documents(docs, spark.createDataFrame([(9,), (9,)], "doc_id int"))
+    new = kb.new_documents(hashed).collect()
     assert sorted(r.doc_id for r in new) == [1, 2]
-    s = kb.ingest_stats(inc, idx).collect()[0]
-    assert (s.documents_scanned, s.new_documents_indexed, s.documents_skipped) == (4, 2, 2)
+    s = kb.ingest_stats(hashed.where("doc_id <> 9").union(hashed.where("doc_id = 9"))).collect()[0]
+    assert (s.documents_scanned, s.new_documents_indexed, s.documents_skipped) == (5, 2, 3)
+    assert (s.documents_failed, s.failure_reasons, s.status) == (0, [], "COMPLETE")
+    bad = spark.createDataFrame([("unreadable file",), ("unreadable file",)], "reason string")
+    s = kb.ingest_stats(hashed.limit(0), bad).collect()[0]
+    assert (s.documents_scanned, s.documents_failed, s.failure_reasons, s.status) == (2, 2, ["unreadable file"], "FAILED")
 
 
 def test_context_with_fallback(spark):
     df = spark.createDataFrame([(1, [("c", 0.5)]), (2, [])], "id int, r array<struct<content:string,score:double>>")
     out = {x.id: x for x in kb.context_with_fallback(df, "r", {"claim_type": F.lit("general")}).collect()}
-    assert out[1].source == "knowledge_base" and out[1].claim_type is None
+    assert out[1].source == "bedrock_kb" and out[1].claim_type is None
     assert out[2].source == "fallback" and out[2].claim_type == "general"
 
 
@@ -121,9 +126,27 @@ def test_evaluation_helpers(spark):
 
 
 def test_eval_totals_empty_is_null_rate(spark):
-    empty = spark.createDataFrame([], "claim_name string, success boolean")
-    r = ev.eval_totals(empty, 3).collect()[0]
+    empty = spark.createDataFrame([], "claim_name string, model_id string, success boolean")
+    models = spark.createDataFrame([(1, "m1"), (2, "m2"), (3, "m3")], "model_ord int, model_id string")
+    r = ev.eval_totals(empty, models).collect()[0]
     assert r.total_tests == 0 and r.success_rate_pct is None
+    # repeated results of a pair count once, a claim-level failure is a claim
+    rows = [("a", "m1", True), ("a", "m1", True), ("a", "m2", False), ("b", None, False)]
+    r = ev.eval_totals(spark.createDataFrame(rows, empty.schema), models).collect()[0]
+    assert (r.claims, r.total_tests, r.successful, r.failed) == (2, 6, 1, 5)
+
+
+def test_any_number_of_models(spark):
+    rows = [("a", k, f"m{k}", True, float(k), f"s{k}", None) for k in (1, 2, 3, 4)] + [("a", 2, "m2", True, 9.0, "again", None)]
+    r = spark.createDataFrame(rows, "claim_name string, model_ord int, model_id string, success boolean, "
+                                    "time_seconds double, summary string, error string")
+    pairs = {(p.ord1, p.ord2) for p in ev.compare_pairs(r).collect()}
+    assert len(ev.compare_pairs(r).collect()) == 6 and pairs == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+    assert {c for c in ev.result_grid(r, ["m1", "m2", "m3", "m4"]).columns} >= {f"status_{k}" for k in (1, 2, 3, 4)}
+    with pytest.raises(Exception, match="not configured"):
+        ev.result_grid(r, ["m1", "m2", "m3"]).collect()
+    last = {x.model_ord: x.time_seconds for x in ev.one_per_model(r, order="time_seconds").collect()}
+    assert last[2] == 9.0 and len(last) == 4
 
 
 def test_feedback_truthy_means(spark):
@@ -170,6 +193,10 @@ def test_document_scans_and_landing(spark, tmpdir_path):
     landed = documents.land_documents(up, "name", "size", "ts").collect()
     assert landed[0].input_key == "documents/20240506_070809_My_Claim_1.txt"
     assert landed[1].reason == "No file selected" and landed[2].reason == "File too large"
+    names = ["résumé.txt", "a\\b.txt", "Ünïcode 漢.txt", "a/b c.txt", "...", "ﬁx.txt"]
+    safe = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").orderBy("k")
+    assert [r.s for r in safe.select(documents.safe_filename("n").alias("s")).collect()] == [
+        "resume.txt", "ab.txt", "Unicode_.txt", "a_b_c.txt", "", "x.txt"]
 
 
 class FlakyClient:
@@ -187,6 +214,65 @@ def test_batch_inference_isolates_failures(spark):
     assert not out["please fail"].success and out["please fail"].error == "throttled"
 
 
+class BrokenClient:
+    def invoke(self, model_id, body):
+        prompt = json.loads(body)["messages"][0]["content"]
+        return {"text": "not json", "empty": '{"content": [{"type": "text"}]}', "old": '{"completion": "c"}'}[prompt]
+
+
+def test_unparsable_replies_fail(spark):
+    df = spark.createDataFrame([("anthropic.x", p) for p in ("text", "empty", "old")], "m string, p string")
+    out = {r.p: r for r in inference.run_model(df, "m", "p", BrokenClient).collect()}
+    assert not out["text"].success and out["text"].error == "response is not a JSON object" and out["text"].text is None
+    assert not out["empty"].success and out["empty"].error == "response has no text"
+    assert out["old"].success and out["old"].text == "c" and out["old"].error is None
+
+
+def test_chain_reads_the_whole_document(spark):
+    long = "x" * 5000
+    text = f"Policy Number: P-1\nClaimant Name: A \"B\"\nIncident Description: {long}"
+    df = spark.createDataFrame([(m, text) for m in ("amazon.nova-x", "openai.gpt-oss-x", "anthropic.x")], "m string, t string")
+    for r in inference.process_documents(df, "t", "m").collect():
+        fields = json.loads(r.extracted_info)
+        assert fields["Claimant Name"] == 'A "B"' and fields["Incident Description"] == long and fields["Claim Amount"] == ""
+        assert r.summary.startswith('Claim by A "B" under policy P-1 for ') and r.summary.endswith(long)
+
+
+def test_template_per_row(spark):
+    t = prompts.PromptTemplates([("a", "A {x}"), ("b", "B {y}")])
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, v string")
+    assert [r.p for r in df.select(t.render_each(F.col("name"), x="v", y="v").alias("p")).collect()] == ["A 1", "B 2"]
+    with pytest.raises(Exception, match="not found"):
+        df.select(t.render_each(F.lit("c"), x="v", y="v").alias("p")).collect()
+    with pytest.raises(Exception, match="lacks a value for y"):
+        df.select(t.render_each(F.col("name"), x="v").alias("p")).collect()
+
+
+def test_summary_store_lookup_and_evaluation_runs(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "summaries")
+    rows = [(f"summaries/{k}.json", f"documents/{k}", "2024-01-01 00:00:00") for k in range(50)]
+    rows.append(("summaries/7.json", "archive/7", "2024-02-01 00:00:00"))
+    df = spark.createDataFrame(rows, "output_key string, input_file string, t string").select(
+        "output_key", "input_file", F.to_timestamp("t").alias("processed_at"))
+    sinks.write_summaries(df, path)
+    got = sinks.read_summary(spark, path, "summaries/7.json")
+    assert [r.input_file for r in got.collect()] == ["archive/7"]
+    assert "PartitionFilters: [isnotnull(key_bucket" in got._jdf.queryExecution().executedPlan().toString()
+    runs = os.path.join(tmpdir_path, "runs")
+    for run in ("20240101_000000", "20240102_000000", "20240101_000000"):
+        sinks.write_evaluation(df.limit(2), runs, run)
+    assert spark.read.parquet(runs).groupBy("run_id").count().count() == 2
+
+
+def test_span_cost_follows_the_matches(spark):
+    """The offsets of thousands of matches are those of the plain sums."""
+    from claimflow.functions.arrays import exclusive_prefix_sums
+    sizes = [0, 1, 2, 7, 8, 1000, 4097]
+    df = spark.createDataFrame([(n, [k % 11 for k in range(n)]) for n in sizes], "n int, a array<int>")
+    for r in df.select("a", exclusive_prefix_sums(F.col("a")).alias("s")).collect():
+        assert r.s == [sum(r.a[:i]) for i in range(len(r.a))]
+
+
 def test_request_and_response_layouts(spark):
     df = spark.createDataFrame([("amazon.nova-lite-v1:0",), ("openai.gpt-oss-120b-1:0",), ("anthropic.x",)], "m string")
     rows = df.select("m", inference.request_body("m", F.lit("hi")).alias("b"),
@@ -218,11 +304,32 @@ def test_report_lines(spark):
     from claimflow.sources import views
     r = views.model_results(spark, SF_SMALL)
     models = spark.createDataFrame(list(enumerate(views.DEFAULT_MODELS, start=1)), "model_ord int, model_id string")
-    lines = ev.report_lines(r, models, 3)
+    lines = ev.report_lines(r, models)
     summ = [x.line for x in lines.where("section = 'summary'").orderBy("ord").collect()]
-    assert summ[0].startswith("- **Total Tests Run:** ") and summ[3].endswith("%")
-    assert lines.where("section = 'timing'").count() == 3
-    assert lines.where("section = 'claims'").count() == r.count()
+    assert summ[1].startswith("- **Total Tests Run:** ") and summ[4].endswith("%")
+    assert lines.where("section = 'timing' and ord > 10").count() == 3
+    assert lines.where("section = 'claims' and ord between 11 and 999999").count() == r.count()
+    failed = r.limit(1).select(F.lit("lost_claim").alias("claim_name"), F.lit(None).cast("int").alias("model_ord"),
+                               F.lit(None).cast("string").alias("model_id"), F.lit(False).alias("success"),
+                               F.lit(None).cast("double").alias("time_seconds"), F.lit(None).cast("string").alias("summary"),
+                               F.lit("no such file").alias("error"))
+    got = [x.line for x in ev.report_lines(failed, models).where("section = 'claims'").orderBy("ord").collect()]
+    assert got == ["### Lost Claim", "**Error:** no such file"]
+
+
+def test_knn_is_exact_far_from_the_origin(spark):
+    c = spark.createDataFrame([(1, [1e8, 0.0]), (2, [1e8 + 0.3, 0.0]), (3, [1e8 + 0.6, 0.0]), (4, None)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(7, [1e8 + 0.55, 0.0]), (7, [1e8 + 0.55, 0.0])], "qid long, qvec array<double>")
+    got = kb.knn_topk(c, q, k=3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 2, 1] and [r.rank for r in got] == [1, 2, 3]
+    assert abs(got[0].d2 - 0.0025) < 1e-6
+    assert kb.knn_topk(c, q.limit(0), k=3).count() == 0
+
+
+def test_embedding_is_pluggable(spark):
+    c = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, chunk_text string")
+    got = kb.embed_chunks(c, dim=3, embed=lambda texts, dim: np.full((len(texts), dim), 2.0)).orderBy("doc_id").collect()
+    assert [r.vector for r in got] == [[2.0, 2.0, 2.0], None]
 
 
 def test_knn_two_level_merge_on_many_partitions(spark):
@@ -233,7 +340,7 @@ def test_knn_two_level_merge_on_many_partitions(spark):
     ids = np.array([r.vec_id for r in rows])
     Q = X[10:14] * 0.5
     qdf = spark.createDataFrame([(int(i), [float(v) for v in q]) for i, q in enumerate(Q)], "qid long, qvec array<double>")
-    got = kb.knn_topk(e.repartition(16), qdf, k=7).collect()  # 4 id buckets in the first merge level
+    got = kb.knn_topk(e.repartition(16), qdf, k=7).collect()
     for qi in range(len(Q)):
         d = ((X - Q[qi]) ** 2).sum(1)
         order = sorted(range(len(ids)), key=lambda j: (d[j], ids[j]))[:7]
@@ -243,10 +350,13 @@ def test_knn_two_level_merge_on_many_partitions(spark):
 
 def test_build_index_lifecycle(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "index")
-    c = spark.createDataFrame([(1, "a b"), (2, "c d e")], "doc_id int, chunk_text string")
+    c = spark.createDataFrame([(1, 0, "a b"), (2, 0, "c d e")], "doc_id int, chunk_no int, chunk_text string")
     e8 = kb.embed_chunks(c, dim=8)
     assert kb.build_index(e8, path, 8)[0] == "created"
-    assert kb.build_index(e8, path, 8)[0] == "exists"
+    assert kb.build_index(e8, path, 8)[0] == "appended" and spark.read.parquet(path).count() == 2
+    more = spark.createDataFrame([(2, 1, "new chunk"), (1, 0, "a b")], c.schema)
+    assert kb.build_index(kb.embed_chunks(more, dim=8), path, 8)[0] == "appended"
+    assert spark.read.parquet(path).count() == 3
     status, bad = kb.build_index(kb.embed_chunks(c, dim=16), path, 16)
     assert status == "rebuilt" and bad.count() == 0
     assert spark.read.parquet(path).select(F.size("vector")).first()[0] == 16
@@ -258,9 +368,3 @@ def test_spread_only_widens_small_inputs(spark):
     assert spread(small, 4).rdd.getNumPartitions() == 4
     wide = spark.range(100).repartition(6)
     assert spread(wide, 4) is wide  # enough splits: no extra shuffle
-
-
-def test_checkpoint_dir_comes_from_session(spark):
-    from claimflow.session import ensure_checkpoint_dir
-    current = spark.sparkContext.getCheckpointDir()
-    assert current and ensure_checkpoint_dir(spark) == current

@@ -1,5 +1,7 @@
 """Plan regression guards for every registered query."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -26,3 +28,22 @@ def test_document_path_has_no_regex_duplication(spark):
     # masking, classification, policy lookup, extraction, validation: no shuffle
     assert "Exchange hashpartitioning" not in plan
     assert plan.count("regexp_replace(") <= 9
+
+
+@pytest.mark.parametrize("name", ["kb_new_docs", "kb_ingest_stats", "latest_ingestion"])
+def test_no_text_crosses_a_shuffle(spark, name):
+    """With broadcast off, no exchange carries a document's text."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution()
+        plan = spark._jvm.PythonSQLUtils.explainString(run, "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert moved and not any("text#" in columns for columns in moved)
+
+
+def test_quick_mask_runs_each_rule_once(spark):
+    plan = QUERIES["pii_quick_mask"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 8

@@ -4,7 +4,8 @@ import json
 import os
 
 
-from claimflow.operators import inference
+from claimflow.operators import feedback, inference
+from claimflow.sources import sinks
 from claimflow.streaming import jobs
 
 
@@ -36,32 +37,49 @@ def test_process_on_arrival_equals_batch(spark, tmpdir_path):
     expect = inference.process_documents(b, "text", "model_id").collect()[0]
     assert latest["summaries/c2.txt.json"].summary == expect.summary
     assert latest["summaries/c2.txt.json"].extracted_info == expect.extracted_info
+    assert "Claim by B " in expect.summary and "Claim by A2 " in latest["summaries/c1.txt.json"].summary
 
 
-def test_running_feedback(spark, tmpdir_path):
-    root = os.path.join(tmpdir_path, "fb")
-    for i, (t, r) in enumerate([("positive", 5), ("positive", 0), (None, 3)]):
-        body = {"id": str(i), "rating": r}
-        if t:
-            body["feedback_type"] = t
-        _write(root, f"feedback/{i}.json", json.dumps(body, indent=2))
-    q = jobs.running_feedback(spark, root, "fb_stats_test")
-    q.awaitTermination()
-    got = {r.feedback_type: r for r in spark.sql("select * from fb_stats_test").collect()}
-    assert got["positive"].n_feedback == 2 and got["positive"].n_ratings == 1
-    assert got["unknown"].n_feedback == 1
+def test_running_feedback_equals_batch(spark, tmpdir_path):
+    root, out, ck = (os.path.join(tmpdir_path, x) for x in ("fb", "fb_out", "fb_ck"))
+    entries = [{"id": "0", "feedback_type": "positive", "rating": 5, "model_id": "m1", "speed_rating": 2},
+               {"id": "1", "feedback_type": "positive", "rating": 0, "model_id": "m2"}, {"id": "2", "rating": 3},
+               {"id": "3", "feedback_type": None, "rating": 4, "model_id": "m1"}]
+    _write(root, "feedback/bad.json", "bad{")
+    for e in entries[:2]:
+        _write(root, f"feedback/{e['id']}.json", json.dumps(e, indent=2))
+    jobs.running_feedback(spark, root, out, ck).awaitTermination()
+    for e in entries[2:]:
+        _write(root, f"feedback/{e['id']}.json", json.dumps(e, indent=2))
+    jobs.running_feedback(spark, root, out, ck).awaitTermination()
+    good, bad = sinks.read_feedback_json(spark, root)
+    assert bad.count() == 1
+    total = jobs.read_running_feedback(spark, out).first()
+    stats = feedback.feedback_stats(good).first()
+    assert (total.entries, total.n_rating, total.sum_rating, total.average_rating) == (
+        stats.total, stats.n_ratings, stats.rating_sum, stats.average_rating) == (4, 3, 12, 4.0)
+    by_type = {r.feedback_type: r.entries for r in jobs.read_running_feedback(spark, out, ("feedback_type",)).collect()}
+    assert by_type == {r.feedback_type: r.n_feedback for r in feedback.by_type(good).collect()} == {
+        "positive": 2, "unknown": 1, None: 1}
+    by_model = {r.model_id: (r.entries, r.sum_rating) for r in jobs.read_running_feedback(spark, out, ("model_id",)).collect()}
+    assert by_model == {r.model_id: (r["count"], r.rating_sum) for r in feedback.by_model(good).collect()}
+    dims = {r.dimension: r.rating_sum for r in feedback.dimensions(good).collect()}
+    assert total.sum_speed_rating == dims["speed"] == 2
 
 
-def test_kb_sync(spark, tmpdir_path):
-    root = os.path.join(tmpdir_path, "kb")
+def test_kb_sync_appends_new_texts(spark, tmpdir_path):
+    root, index, ck = (os.path.join(tmpdir_path, x) for x in ("kb", "index", "kbck"))
     _write(root, "policies/auto.txt", " ".join(f"w{i}" for i in range(500)))
     _write(root, "other/x.txt", "not a policy")
-    chunks = os.path.join(tmpdir_path, "chunks")
-    q = jobs.kb_sync(spark, root, chunks, os.path.join(tmpdir_path, "kbck"))
-    q.awaitTermination()
-    rows = spark.read.parquet(chunks).orderBy("chunk_no").collect()
+    jobs.kb_sync(spark, root, index, ck, dim=16).awaitTermination()
+    rows = spark.read.parquet(index).orderBy("chunk_no").collect()
     assert [r.input_key for r in rows] == ["policies/auto.txt"] * 2
-    assert rows[1].n_words == 260
+    assert rows[1].n_words == 260 and len(rows[0].vector) == 16
+    _write(root, "policies/copy.txt", " ".join(f"w{i}" for i in range(500)))
+    _write(root, "policies/new.txt", "a new policy")
+    jobs.kb_sync(spark, root, index, ck, dim=16).awaitTermination()
+    got = sorted(r.input_key for r in spark.read.parquet(index).collect())
+    assert got == ["policies/auto.txt", "policies/auto.txt", "policies/new.txt"]
 
 
 class _FailOnBadClient(inference.OfflineClient):
