@@ -4,11 +4,12 @@ without an oracle must at least run."""
 import pytest
 
 import __spark_entry__ as entry
+from claimflow.plans import registry
 from tests.conftest import SF_SMALL
 from tools.check_oracle import compare, duck_connect
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+registry.load_all()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +27,8 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "claim_type" in df.columns
+
+
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -4,11 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from claimflow.plans import registry
 from tests.conftest import SF_SMALL
 from tools.plan_audit import audit
 
-QUERIES = entry.queries()
+registry.load_all()
+QUERIES = registry.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
