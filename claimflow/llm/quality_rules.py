@@ -216,3 +216,27 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 + [pa.array(c, pa.bool_()) for c in columns[-2:]], [id_col, *MEASURES, "base_failed", "kept"])
 
     return docs.select(id_col, text_col).mapInArrow(judge, schema)
+
+
+#: DuckDB SQL for :func:`quality_verdicts` over the given table (ids there are unique).
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] || ' ' || w[p + 5] AS five
+    FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p + k) AS n_repeat_words FROM rep, range(5) AS r(k) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper,
+    coalesce(list_sum(list_transform(w, lambda x: strlen(x))), 0) AS n_bytes,
+    coalesce(list_sum(list_transform(w, lambda x: strlen(regexp_replace(x, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')))), 0) AS n_letters
+    FROM d JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+    OR 2 * n_dup_lines > n_lines OR 2 * n_upper > n_words OR n_letters < 0.5 * n_bytes) AS kept
+FROM b
+"""

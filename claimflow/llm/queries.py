@@ -10,7 +10,7 @@ from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
 from claimflow.llm.html_text import extract_pages
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from claimflow.llm.piece_codec import piece_digest
-from claimflow.llm.quality_rules import quality_verdicts
+from claimflow.llm.quality_rules import QUALITY_SQL, quality_verdicts
 from claimflow.llm.secret_scan import secret_digest
 from claimflow.llm.simhash import simhash_digest
 from claimflow.llm.suffix_dedup import suffix_digest
@@ -76,5 +76,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op4_quality_rules": QUALITY_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
 }

@@ -18,7 +18,7 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op4_quality_rules", "op8_line_dedup"])
 def test_query_equals_sql(spark, name):
     r = compare(spark, duck_connect(SF_SMALL), name, entry.queries()[name], entry.oracle_sql()[name], SF_SMALL)
     assert r["status"] == "ok", r
