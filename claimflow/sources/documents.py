@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import unicodedata
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
+DOCUMENT_SCHEMA = "input_key string, name string, text string, size long, modified timestamp"
 
 
 def _accents() -> tuple[str, str]:
@@ -47,8 +49,13 @@ def read_documents(spark: SparkSession, root: str, glob: str = "*.txt", recursiv
     prefix has no documents. Unreadable files are skipped
     (``ignoreCorruptFiles``); :func:`unreadable_documents` names them."""
     where = f"{root.rstrip('/')}/{prefix.strip('/')}" if prefix else root
-    r = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob)
-         .option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).load(where))
+    try:
+        r = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).load(where))
+    except AnalysisException as e:
+        if prefix and e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], DOCUMENT_SCHEMA)
+        raise
     key = _relative_key(F.col("_metadata.file_path"), root)
     return r.select(
         key.alias("input_key"),

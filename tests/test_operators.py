@@ -185,6 +185,9 @@ def test_document_scans_and_landing(spark, tmpdir_path):
     assert "policies/skip.md" not in docs
     pol = documents.read_documents(spark, root, prefix="policies/").collect()
     assert [r.input_key for r in pol] == ["policies/p1.txt"]
+    assert documents.read_documents(spark, root, prefix="nowhere/").count() == 0
+    lost = documents.unreadable_documents(spark, root, documents.read_documents(spark, root, prefix="policies"))
+    assert sorted(r.key for r in lost.collect()) == ["documents/a.txt", "documents/sub/b.txt"]
     listing = documents.list_objects(spark, root)
     areas = {r.area: r.objects for r in documents.objects_per_area(listing).collect()}
     assert areas == {"documents": 2, "policies": 2}
