@@ -44,9 +44,9 @@ REMOVED = frozenset(
 #: Words in a class, id or role that mark what is not the article.
 REMOVED_WORDS = frozenset(
     "ad adbox ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline captcha "
-    "complementary comment commentlist comments consent contentinfo cookie cookies copyright dialog discussion disqus "
-    "footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
-    "promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup "
+    "complementary comment commentlist comments consent contentinfo cookie cookies copyright cta dialog disclaimer "
+    "discussion disqus footer gdpr legal login menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup "
+    "privacy promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
 #: Words that do so outside the article only, where they name its own title part inside.
 HEADER_WORDS = frozenset("header masthead".split())
