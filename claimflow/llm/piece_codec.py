@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 MAX_CHUNKS = 150_000
 MARK = "▁"
 #: Characters of text that are segmented before the table is looked at again.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 class PieceCodec:

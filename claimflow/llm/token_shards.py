@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,7 +43,9 @@ from pyspark.sql import types as T
 from claimflow.llm.common import shared_dir
 from claimflow.llm.piece_codec import steps
 
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 300_000
+#: Marks that may stand behind a word.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BUCKET_KEYS = 1000
 #: Keys that share a pilot, on average.
 GROUP_KEYS = 4
@@ -53,8 +56,8 @@ class ByteBpe:
 
     A chunk starts at a space or line feed whose left neighbour is no white
     space; the pre-tokenizer always starts a token there, so chunks are
-    encoded independently. Chunks of letters only, which need no further
-    pre-tokenizing, go straight to the library's model.
+    encoded independently. Words whose pre-tokens are plain go straight to the
+    library's model.
     """
 
     def __init__(self, path: str, max_chunks: int = MAX_CHUNKS):
@@ -62,8 +65,10 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.max_chunks = self.tokenizer.model, max_chunks
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.table: dict[str, bytes | None] = {}
+        self.tokens: dict[str, bytes] = {}
         pre = self.tokenizer.pre_tokenizer
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_chunk = (
@@ -74,29 +79,47 @@ class ByteBpe:
         alphabet = {b: b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
         rest = [b for b in range(256) if b not in alphabet]
         self.shown = alphabet | {b: 256 + k for k, b in enumerate(rest)}
+        self.space = chr(self.shown[ord(" ")])
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
-    def _direct(self, chunk: str) -> bytes:
-        """The ids of letters, led by one space or none."""
-        return self._pack([t.id for t in self.model.tokenize(chunk.encode().decode("latin1").translate(self.shown))])
+    def _direct(self, token: str) -> bytes:
+        """The ids of one pre-token: letters led by one space or none, marks, or a line feed."""
+        ids = self.tokens.get(token)
+        if ids is None:
+            plain = token.isascii() and token != "\n"
+            shown = token.replace(" ", self.space) if plain else token.encode().decode("latin1").translate(self.shown)
+            ids = self.tokens[token] = self._pack([t.id for t in self.model.tokenize(shown)])
+        return ids
 
     def learn(self, new: set[str]) -> None:
+        """Encode chunks into the table. A chunk of letters, with a line feed
+        before or ASCII marks behind them, is two or three pre-tokens; each goes
+        to the model once. All others go through the whole tokenizer."""
         slow = []
+        table, direct = self.table, self._direct
         for c in new:
-            body = c[1:] if c[:1] == " " else c
-            if body.isalpha():
-                self.table[c] = self._direct(c)
-            elif body[-1:] in (",", ".") and body[:-1].isalpha():
-                # A mark behind a letter, with white space or nothing behind it, is a token of its own.
-                self.table[c] = (self.table.get(c[:-1]) or self._direct(c[:-1])) + self.mark[body[-1]]
+            body = c[1:]
+            if body.isalpha() and c[0] == " ":
+                table[c] = direct(c)
+                continue
+            first = c[:1]
+            if first != " " and first != "\n":
+                body = c
+            word = body.rstrip(MARKS)
+            if word.isalpha():
+                marks = len(body) - len(word)
+                lead = direct("\n") + direct(word) if first == "\n" else direct(c[:len(c) - marks])
+                table[c] = lead + direct(body[-marks:]) if marks else lead
             elif body[-1:].isspace() or not body:
-                self.table[c] = None  # white space before the next chunk
+                table[c] = None  # white space before the next chunk
             else:
                 slow.append(c)
-        for c, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)):
-            self.table[c] = self._pack(e.ids)
+        for at in range(0, len(slow), 1000):
+            part = slow[at:at + 1000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.table[c] = self._pack(e.ids)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, packed."""
@@ -108,11 +131,9 @@ class ByteBpe:
         distinct = set(chain.from_iterable(split))
         new = distinct - self.table.keys()
         if len(self.table) + len(new) > self.max_chunks:
-            self.table, new = {}, distinct
-        if not self.table:
-            self.mark = {c: self._pack([t.id for t in self.model.tokenize(c)]) for c in ",."}
+            self.table, self.tokens, new = {}, {}, distinct
+        self.learn(new)
         self.table[""] = b""
-        self.learn(new - {""})
         for text, parts in zip(texts, split):
             try:
                 if "\0" in text:
@@ -235,31 +256,41 @@ def perfect_hash(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray
     group = _groups(h1, m)
     order = np.argsort(group, kind="stable")
     sizes = np.bincount(group, minlength=m)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist()
+    first = _places(h1, h2, np.zeros(n, np.uint64), n)
     pilots, slots = np.zeros(m, np.uint32), np.zeros(n, np.int64)
-    free = np.ones(n, bool)
+    free, low = bytearray(b"\x01") * n, 0
     for g in np.argsort(-sizes, kind="stable").tolist():
         if not sizes[g]:
             break
-        rows = order[starts[g]:starts[g] + sizes[g]]
+        rows = order[starts[g]:starts[g] + int(sizes[g])]
+        low = free.index(1, low)
         for rehash in range((1 << 32) // n):
-            base = _places(h1[rows], h2[rows], np.full(len(rows), rehash * n, np.uint64), n)
-            if len(np.unique(base)) < len(rows):
-                continue
-            turns = np.flatnonzero(free)
-            turns = np.unique((turns - base[0]) % n)
-            for b in base[1:].tolist():
-                turns = turns[free[(turns + b) % n]]
-            if len(turns):
-                pilots[g] = rehash * n + turns[0]
-                slots[rows] = (base + turns[0]) % n
-                free[slots[rows]] = False
+            base = (_places(h1[rows], h2[rows], np.full(len(rows), rehash * n, np.uint64), n) if rehash else first[rows]).tolist()
+            turn = _turn(base, free, low) if len(set(base)) == len(base) else None
+            if turn is not None:
+                pilots[g] = rehash * n + turn
+                for row, b in zip(rows.tolist(), base):
+                    slots[row] = (b + turn) % n
+                    free[(b + turn) % n] = 0
                 break
         else:
             raise ValueError("equal keys in a bucket")
     return pilots, slots
 
 
+def _turn(base: list[int], free: bytearray, low: int) -> int | None:
+    """The turn that moves every slot of ``base`` to a free one; no slot below ``low`` is free."""
+    n, rest = len(free), base[1:]
+    at = low
+    while at >= 0:
+        turn = (at - base[0]) % n
+        if all(free[(b + turn) % n] for b in rest):
+            return turn
+        at = free.find(1, at + 1)
+    return None
+
+
 ENTRY = np.dtype([("mark", "<u8"), ("offset", "<i8"), ("shard", "<u4"), ("n", "<u4")])
 
 
