@@ -177,8 +177,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = materialise(mark_free(find_spans(docs, id_col, text_col)), "secret-spans")
     model = materialise(train(labelled_samples(spans)), "secret-model")
     found = random_strings(spans.where("free").select(F.col("match").alias("s")), model, min_ratio)
-    judged = spans.join(found.withColumnRenamed("s", "match").withColumn("random", F.lit(True)), "match", "left")
-    take = F.col("base") | (F.col("free") & F.coalesce("random", F.lit(False)))
+    # Only free tokens are joined; all other rows go round the join.
+    random = spans.where("free").join(found.withColumnRenamed("s", "match"), "match", "left_semi")
+    judged = spans.where("not free").withColumn("random", F.lit(False)).unionByName(random.withColumn("random", F.lit(True)))
+    # A document whose only rows are free tokens that are not random keeps its row.
+    judged = judged.unionByName(spans.where("free").select("row", "id").distinct().withColumn("random", F.lit(False)),
+                                allowMissingColumns=True)
+    take = F.coalesce(F.col("base"), F.lit(False)) | F.col("random")
     return judged.groupBy("row", "id").agg(F.sort_array(F.collect_list(
         F.when(take, F.struct("start", "kind", "end")))).alias("spans")).select(F.col("id").alias(id_col), "spans")
 
