@@ -1,4 +1,4 @@
-"""Summarise the physical plan of every registered query: shuffles,
+"""Summarise the physical plan of every query of the library itself: shuffles,
 broadcasts, forbidden joins, Python stages, and the columns each scan reads.
 
     python tools/plan_audit.py [--sf-dir DIR] > PLANS.md
@@ -21,7 +21,7 @@ def audit(df) -> dict:
         "shuffles": len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)", plan)),
         "broadcasts": plan.count("BroadcastExchange"),
         "nested_loop_or_cartesian": plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct"),
-        "python": sorted(set(re.findall(r"(MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas)", plan))),
+        "python": sorted(set(re.findall(r"(MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas)", plan))),
         "scans": sorted({f"{t}({cols.count(',') + 1 if cols else 0} cols)" for cols, t in scans}),
         "pushed_filters": sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", plan))),
     }
@@ -31,12 +31,13 @@ def main(argv=None):
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     a = ap.parse_args(argv)
-    import __spark_entry__ as entry
+    from claimflow.plans import registry
     from claimflow.session import get_spark
+    registry.load_all()
     spark = get_spark("local[8]", shuffle_partitions=16)
     print("| query | shuffles | broadcasts | NLJ/cartesian | python | scans (columns read) |")
     print("|---|---|---|---|---|---|")
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(registry.QUERIES.items()):
         r = audit(fn(spark, a.sf_dir))
         print(f"| {name} | {r['shuffles']} | {r['broadcasts']} | {r['nested_loop_or_cartesian']} | "
               f"{' '.join(r['python']) or '-'} | {', '.join(r['scans'])} |", flush=True)
