@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from claimflow.llm.common import shared_dir
 from claimflow.llm.piece_codec import steps
 
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 600_000
 #: Marks that may stand behind a word.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BUCKET_KEYS = 1000
