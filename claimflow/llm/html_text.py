@@ -6,9 +6,10 @@ and longer runs of them for removed parts (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments). Lengths are summed over
 a sliding window of lines; a point where the sum surges from nothing opens a
 text region and one where it dives to nothing closes it. The heaviest region
-shows where the article is, and the text of the container that holds it is
-kept whole, so that short paragraphs at its edges and parts behind an advert
-stay.
+shows where the article is. Where the page marks an article or main part, all
+of the outermost marked element is kept; elsewhere the lowest container of all
+text in that branch of the page, so that short paragraphs and lists at its
+edges and parts behind an advert stay.
 
 Scale: one pass over the pages, no shuffle; a page is handled alone.
 """
@@ -26,8 +27,6 @@ from pyspark.sql import types as T
 
 #: Lines summed at each point.
 WINDOW = 3
-#: Share of the heaviest region's text that the kept container holds.
-HELD = 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end the text block before them.
@@ -54,23 +53,25 @@ MAIN = frozenset(("article", "main"))
 
 
 class _Element:
-    __slots__ = ("tag", "removed", "link", "main", "holder")
+    __slots__ = ("tag", "removed", "link", "mark", "holder")
 
-    def __init__(self, tag: str, removed: bool, link: bool, main: bool, holder: int):
-        self.tag, self.removed, self.link, self.main, self.holder = tag, removed, link, main, holder
+    def __init__(self, tag: str, removed: bool, link: bool, mark: int, holder: int):
+        self.tag, self.removed, self.link, self.mark, self.holder = tag, removed, link, mark, holder
 
 
 class PageLines(HTMLParser):
-    """The lines of a page: texts, lengths, whether in an article, and their containers."""
+    """The lines of a page: texts, lengths, their article or main element, and their containers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Element("", False, False, False, 0)]
+        self.stack = [_Element("", False, False, 0, 0)]
         self.parent = [0]  # of each container
+        self.tops = {0}  # containers that are the page itself
+        self.marks = [""]  # "main" or "article" of each outermost marked element; 0 is none
         self.open: Counter[str] = Counter()
         self.menus: list[tuple[int, int]] = []  # lines of each list
         self.lists: list[tuple[int, int]] = []  # depth and first line of the open lists
-        self.lines: list[tuple[str, int, bool, int, int]] = []  # text, length, main, container, blank lines before
+        self.lines: list[tuple[str, int, int, int, int]] = []  # text, length, mark, container, blank lines before
         self.parts: list[str] = []
         self.length, self.blank = 0, 0
 
@@ -78,7 +79,7 @@ class PageLines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1]
-            self.lines.append((text, self.length, top.main, top.holder, self.blank))
+            self.lines.append((text, self.length, top.mark, top.holder, self.blank))
             self.blank = 0
         self.parts, self.length = [], 0
         self.blank = max(self.blank, blank)
@@ -91,19 +92,27 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         up = self.stack[-1]
-        removed = up.removed or self.is_removed(tag, attrs, up.main)
+        removed = up.removed or self.is_removed(tag, attrs, up.mark > 0)
         holder = up.holder
         if tag in CONTAINERS and not removed:
             self.break_line(1)
             self.parent.append(holder)
             holder = len(self.parent) - 1
+            if tag == "body":
+                self.tops.add(holder)
         elif removed and not up.removed:
             self.break_line(WINDOW)
         if tag in ("ul", "ol"):
             self.lists.append((len(self.stack), len(self.lines)))
         self.open[tag] += 1
-        main = up.main or tag in MAIN or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs
-        self.stack.append(_Element(tag, removed, up.link or tag == "a", main and not removed, holder))
+        mark = 0 if removed else up.mark
+        if not mark and not removed:
+            main = tag == "main" or ("role", "main") in attrs
+            if main or tag in MAIN or ("itemprop", "articleBody") in attrs:
+                self.break_line()
+                self.marks.append("main" if main else "article")
+                mark = len(self.marks) - 1
+        self.stack.append(_Element(tag, removed, up.link or tag == "a", mark, holder))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -136,6 +145,8 @@ class PageLines(HTMLParser):
                 self.break_line(1 if element.tag in CONTAINERS and not element.removed else 0)
             if element.removed and not self.stack[at - 1].removed:
                 self.break_line(WINDOW)
+            if element.mark and not self.stack[at - 1].mark:
+                self.break_line()
         while self.lists and self.lists[-1][0] >= at:
             self.menus.append((self.lists.pop()[1], len(self.lines)))
         del self.stack[at:]
@@ -189,12 +200,26 @@ def regions(lengths: list[int], blanks: list[int], window: int = WINDOW) -> list
     return [(a, b) for a, b in out if b > a]
 
 
+def lowest_common(holders: list[int], parent: list[int]) -> int:
+    """The lowest container that holds all of ``holders``."""
+    count = [0] * len(parent)
+    for c in holders:
+        count[c] += 1
+    for c in range(len(parent) - 1, 0, -1):
+        if count[c] == len(holders):
+            return c
+        count[parent[c]] += count[c]
+    return 0
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, joined by line feeds; '' if there is none.
 
     Character references are decoded and white space within a block becomes
     one space. Where the page marks an article or main part, only its lines
-    have a length, so the heaviest region lies in it.
+    have a length, so the heaviest region lies in it. Of several outermost
+    marked elements those of that region's kind (main or article) in its
+    branch of the page are kept.
     """
     if not html:
         return ""
@@ -206,27 +231,29 @@ def main_text(html: str | None) -> str:
     for first, end in page.menus:
         if end - first >= 2 and not any(n for _, n, *_ in lines[first:end]):
             menu.update(range(first, end))  # a list of links alone
-    marked = any(main for _, _, main, _, _ in lines)
-    lengths = [0 if k in menu or marked and not main else n for k, (_, n, main, _, _) in enumerate(lines)]
+    marked = any(mark for _, _, mark, _, _ in lines)
+    lengths = [0 if k in menu or marked and not mark else n for k, (_, n, mark, _, _) in enumerate(lines)]
     found = regions(lengths, [blank for *_, blank in lines])
     if not found:  # links or nothing: what is marked as the article
-        return "\n".join(t for k, (t, _, main, _, _) in enumerate(lines) if main and k not in menu)
+        return "\n".join(t for k, (t, _, mark, _, _) in enumerate(lines) if mark and k not in menu)
     first, end = max(found, key=lambda r: (sum(lengths[r[0]:r[1]]), -r[0]))
-    # A container's number is above its parent's.
-    weight = [0] * len(page.parent)
-    for k in range(first, end):
-        weight[lines[k][3]] += lengths[k]
-    for c in range(len(weight) - 1, 0, -1):
-        weight[page.parent[c]] += weight[c]
-    holder = lines[max(range(first, end), key=lambda k: (lengths[k], -k))][3]
-    while weight[holder] < HELD * weight[0]:
-        holder = page.parent[holder]
-    held = [c == holder for c in range(len(weight))]
-    for c in range(holder + 1, len(weight)):
+    holders = [line[3] for line in lines]
+    holder = lowest_common([holders[k] for k in range(first, end) if lengths[k]], page.parent)
+    if holder not in page.tops:
+        # A container's number is above its parent's.
+        branch = list(range(len(page.parent)))
+        for c in range(1, len(branch)):
+            if page.parent[c] not in page.tops:
+                branch[c] = branch[page.parent[c]]
+        holder = lowest_common([h for h, n in zip(holders, lengths) if n and branch[h] == branch[holder]], page.parent)
+    held = [c == holder for c in range(len(page.parent))]
+    for c in range(holder + 1, len(held)):
         held[c] = held[page.parent[c]]
-
-    return "\n".join(t for k, (t, _, main, _, _) in enumerate(lines)
-                     if k not in menu and held[lines[k][3]] and (main or not marked))
+    if not marked:
+        return "\n".join(t for k, (t, *_) in enumerate(lines) if k not in menu and held[holders[k]])
+    kind = page.marks[lines[max(range(first, end), key=lambda k: (lengths[k], -k))][2]]
+    marks = {line[2] for line, n in zip(lines, lengths) if n and held[line[3]] and page.marks[line[2]] == kind}
+    return "\n".join(t for k, (t, _, mark, _, _) in enumerate(lines) if k not in menu and mark in marks)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

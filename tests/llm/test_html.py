@@ -56,6 +56,24 @@ def test_page_parts_are_removed():
         assert main_text(FULL % tag % BODY) == WANT, tag
 
 
+LONG = "A long paragraph that holds nearly all of the text of this page. " * 12
+
+
+def test_the_whole_article_is_kept():
+    long = LONG.strip()
+    for tag in ("<article>%s</article>", "<main>%s</main>", "<div>%s</div>", "%s"):
+        page = lambda inner: f"<body>{tag % inner}<footer>me</footer></body>"
+        assert main_text(page(f'<h1>Title</h1><div class="body">{long}</div><p>closing</p>')) == f"Title\n{long}\nclosing"
+        for box in ("<ul><li>%s</li></ul>", "<ol><li>%s</ol>", "<table><tr><td>%s</table>", "<dl><dd>%s</dl>", "<section>%s</section>"):
+            assert main_text(page(f"<p>before</p>{box % long}<section><p>short</p></section><p>after</p>")) == (
+                f"before\n{long}\nshort\nafter"), (tag, box)
+        if tag != "%s":
+            assert main_text(page(f"<div>{long}</div><aside>advert</aside><div>part 2</div>")) == f"{long}\npart 2", tag
+    # A marked element is whole whatever divides it; cards beside main are not in it.
+    assert main_text(f"<main><p>a</p><nav>x</nav><div>{long}</div><nav>x</nav><p>b</p></main><article>card</article>") == f"a\n{long}\nb"
+    assert main_text("<div><article>one</article><aside>ad</aside><article>two</article></div>") == "one\ntwo"
+
+
 def test_broken_markup():
     assert main_text("<article><p>one<p>two <b>three</article>") == "one\ntwo three"
     assert main_text("<p>a < b & c &amp; d &#233; &bogus; <!-- no --> e</p>") == "a < b & c & d é &bogus; e"
