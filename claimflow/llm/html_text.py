@@ -3,7 +3,9 @@
 A page is stripped of its markup and becomes lines, one per text block, with
 a length (characters outside links). Blank lines stand for container borders
 and longer runs of them for removed parts (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments). Lengths are summed over
+notices, adverts, forms, scripts, styles, comments). What only a name in a
+class, id or role marks for removal stays if it holds the article element or
+most of the page's text. Lengths are summed over
 a sliding window of lines; a point where the sum surges from nothing opens a
 text region and one where it dives to nothing closes it. The heaviest region
 shows where the article is. Where the page marks an article or main part, all
@@ -40,23 +42,35 @@ CONTAINERS = frozenset("article aside body details div dl fieldset main menu ol
 REMOVED = frozenset(
     "applet aside audio button canvas dialog embed footer form frame frameset head iframe input map math menu nav "
     "noframes noscript object script select style svg template textarea title video".split())
-#: Words in a class, id or role that mark what is not the article.
+#: Names, or heads of names, in a class, id or role that mark what is not the article.
 REMOVED_WORDS = frozenset(
     "ad adbox ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline captcha "
     "complementary comment commentlist comments consent contentinfo cookie cookies copyright cta dialog disclaimer "
     "discussion disqus footer gdpr legal login menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup "
     "privacy promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: Those of them that name what readers write, which may outweigh a short article.
+DISCUSSION = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
 #: Words that do so outside the article only, where they name its own title part inside.
 HEADER_WORDS = frozenset("header masthead".split())
 MAIN = frozenset(("article", "main"))
 
 
 class _Element:
-    __slots__ = ("tag", "removed", "link", "mark", "holder")
+    __slots__ = ("tag", "removed", "link", "mark", "holder", "named", "article")
 
-    def __init__(self, tag: str, removed: bool, link: bool, mark: int, holder: int):
-        self.tag, self.removed, self.link, self.mark, self.holder = tag, removed, link, mark, holder
+    def __init__(self, tag: str, removed: bool, link: bool, mark: int, holder: int, named: int, article: int):
+        self.tag, self.removed, self.link, self.mark = tag, removed, link, mark
+        self.holder, self.named, self.article = holder, named, article
+
+
+class _Named:
+    """An element that a name marks for removal: the one around it, its lines, whether it is a discussion."""
+
+    __slots__ = ("up", "first", "end", "talk")
+
+    def __init__(self, up: int, first: int, end: int, talk: bool):
+        self.up, self.first, self.end, self.talk = up, first, end, talk
 
 
 class PageLines(HTMLParser):
@@ -64,10 +78,14 @@ class PageLines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Element("", False, False, 0, 0)]
+        self.stack = [_Element("", False, False, 0, 0, 0, 0)]
         self.parent = [0]  # of each container
         self.tops = {0}  # containers that are the page itself
         self.marks = [""]  # "main" or "article" of each outermost marked element; 0 is none
+        self.articles = [[0, 0]]  # first line and end of each article that is in no other, also in main; 0 is none
+        self.named = [_Named(0, 0, 0, False)]  # 0 is none
+        self.line_named: list[int] = []  # the innermost named element of each line
+        self.borders: list[tuple[int, int]] = []  # (line after it, named element)
         self.open: Counter[str] = Counter()
         self.menus: list[tuple[int, int]] = []  # lines of each list
         self.lists: list[tuple[int, int]] = []  # depth and first line of the open lists
@@ -80,6 +98,7 @@ class PageLines(HTMLParser):
         if text:
             top = self.stack[-1]
             self.lines.append((text, self.length, top.mark, top.holder, self.blank))
+            self.line_named.append(top.named)
             self.blank = 0
         self.parts, self.length = [], 0
         self.blank = max(self.blank, blank)
@@ -93,6 +112,12 @@ class PageLines(HTMLParser):
             return
         up = self.stack[-1]
         removed = up.removed or self.is_removed(tag, attrs, up.mark > 0)
+        named = up.named
+        if not removed and (words := self.removing_names(tag, attrs, up.mark > 0)):
+            self.break_line()
+            self.named.append(_Named(named, len(self.lines), -1, words <= DISCUSSION))
+            named = len(self.named) - 1
+            self.borders.append((len(self.lines), named))
         holder = up.holder
         if tag in CONTAINERS and not removed:
             self.break_line(1)
@@ -105,14 +130,18 @@ class PageLines(HTMLParser):
         if tag in ("ul", "ol"):
             self.lists.append((len(self.stack), len(self.lines)))
         self.open[tag] += 1
-        mark = 0 if removed else up.mark
-        if not mark and not removed:
+        mark, article = (0, 0) if removed else (up.mark, up.article)
+        if not removed and not article:
             main = tag == "main" or ("role", "main") in attrs
             if main or tag in MAIN or ("itemprop", "articleBody") in attrs:
                 self.break_line()
-                self.marks.append("main" if main else "article")
-                mark = len(self.marks) - 1
-        self.stack.append(_Element(tag, removed, up.link or tag == "a", mark, holder))
+                if not mark:
+                    self.marks.append("main" if main else "article")
+                    mark = len(self.marks) - 1
+                if not main:
+                    self.articles.append([len(self.lines), -1])
+                    article = len(self.articles) - 1
+        self.stack.append(_Element(tag, removed, up.link or tag == "a", mark, holder, named, article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -139,7 +168,8 @@ class PageLines(HTMLParser):
 
     def pop_to(self, at: int) -> None:
         """Close the elements of the stack from ``at`` on."""
-        for element in reversed(self.stack[at:]):
+        for k in range(len(self.stack) - 1, at - 1, -1):
+            element = self.stack[k]
             self.open[element.tag] -= 1
             if element.tag in BLOCKS:
                 self.break_line(1 if element.tag in CONTAINERS and not element.removed else 0)
@@ -147,6 +177,13 @@ class PageLines(HTMLParser):
                 self.break_line(WINDOW)
             if element.mark and not self.stack[at - 1].mark:
                 self.break_line()
+            if element.article and not self.stack[k - 1].article:
+                self.break_line()
+                self.articles[element.article][1] = len(self.lines)
+            if element.named != self.stack[k - 1].named:
+                self.break_line()
+                self.named[element.named].end = len(self.lines)
+                self.borders.append((len(self.lines), element.named))
         while self.lists and self.lists[-1][0] >= at:
             self.menus.append((self.lists.pop()[1], len(self.lines)))
         del self.stack[at:]
@@ -155,17 +192,72 @@ class PageLines(HTMLParser):
     def is_removed(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
         if tag in REMOVED or tag == "header" and not inside:
             return True
-        words: set[str] = set()
         for name, value in attrs:
             if name == "hidden" or (name, value) == ("aria-hidden", "true"):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or ""):
                 return True
+        return False
+
+    @staticmethod
+    def removing_names(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str]:
+        """The removed words that are a name in a class, id or role, or the head of one as in ad-box."""
+        if tag in ("html", "body", "main", "article"):
+            return set()
+        heads: set[str] = set()
+        for name, value in attrs:
             if name in ("class", "id", "role"):
-                words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value or "").lower()))
-        if tag in ("html", "body", "main"):
-            return False
-        return bool(words & REMOVED_WORDS) or not inside and tag != "article" and bool(words & HEADER_WORDS)
+                for token in (value or "").split():
+                    heads.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())[:1])
+        return heads & REMOVED_WORDS or (set() if inside else heads & HEADER_WORDS)
+
+    def gone(self) -> list[bool]:
+        """Whether each named element is removed.
+
+        It stays if it holds the heaviest article or outermost marked element,
+        or if no article stands beside it and it has most of the page's text
+        (of a discussion: all of it).
+        """
+        total = [0]
+        for _, n, *_ in self.lines:
+            total.append(total[-1] + n)
+        where: dict[int, list[int]] = {}  # first line and end of each marked element
+        for k, (_, _, mark, _, _) in enumerate(self.lines):
+            if mark:
+                where.setdefault(mark, [k, k])[1] = k + 1
+        talk = [False] * len(self.named)
+        for k, e in enumerate(self.named[1:], 1):
+            talk[k] = e.talk or talk[e.up]
+        heaviest, ends, firsts = [], len(self.lines) + 1, -1
+        for parts in (list(where.values()), [p for p in self.articles if p[1] > p[0]]):
+            quiet = [p for p in parts if not talk[self.line_named[p[0]]]]
+            heaviest += sorted(quiet or parts, key=lambda p: (total[p[0]] - total[p[1]], p[0]))[:1]
+            for first, end in parts:
+                if not self.line_named[first]:
+                    ends, firsts = min(ends, end), max(firsts, first)
+        out = [False] * len(self.named)
+        for k, e in enumerate(self.named[1:], 1):
+            n = total[e.end] - total[e.first]
+            holds = any(e.first <= first and end <= e.end for first, end in heaviest)
+            beside = ends <= e.first or firsts >= e.end
+            most = n > 0 and (n == total[-1] if e.talk else 2 * n > total[-1])
+            out[k] = out[e.up] or not holds and (beside or not most)
+        return out
+
+    def drop_gone(self) -> None:
+        """Take the removed named elements' lines away and leave blank lines for them."""
+        gone = self.gone()
+        if not any(gone):
+            return
+        gaps = {at for at, e in self.borders if gone[e]}
+        lines, now, blank = [], [0], 0
+        for k, (text, n, mark, holder, before) in enumerate(self.lines):
+            blank = max(blank, before, WINDOW if k in gaps else 0)
+            if not gone[self.line_named[k]]:
+                lines.append((text, n, mark, holder, blank))
+                blank = 0
+            now.append(len(lines))
+        self.lines, self.menus = lines, [(now[a], now[b]) for a, b in self.menus]
 
     def handle_data(self, data: str) -> None:
         top = self.stack[-1]
@@ -178,6 +270,7 @@ class PageLines(HTMLParser):
         self.close()
         self.break_line()
         self.pop_to(1)
+        self.drop_gone()
 
 
 def regions(lengths: list[int], blanks: list[int], window: int = WINDOW) -> list[tuple[int, int]]:

@@ -74,6 +74,27 @@ def test_the_whole_article_is_kept():
     assert main_text("<div><article>one</article><aside>ad</aside><article>two</article></div>") == "one\ntwo"
 
 
+def test_a_word_of_a_class_does_not_remove_the_article():
+    long = LONG.strip()
+    for open_tag in ('<article class="post category-social tag-privacy">', '<div class="content has-sidebar">', '<div id="page-with-ads">',
+                     '<section class="legal">', '<article class="social">', '<div class="widget"><article>', '<div class="ad"><div id="modal">',
+                     '<div class="promo"><section class="x" id="legal">', '<div class="comments">'):
+        page = f'<body>{open_tag}<h1>Title</h1><p>{long}</p><div class="ad-box x"><p>buy</p></div><p>end</p></body>'
+        assert main_text(page) == f"Title\n{long}\nend", open_tag
+    # A short article in a named wrapper, a long discussion beside or in it, cards in a named box.
+    page = '<div class="social"><article><p>short</p></article></div><div class="%s"><article>{}</article></div>'.format(long)
+    assert main_text(page % "comments") == "short"
+    for tag in ("main", "div"):
+        assert main_text(f'<{tag}><p>The article.</p><div class="comments"><p>{long}</p></div></{tag}>') == "The article."
+        assert main_text(f'<{tag}><article><p>The article.</p></article><div class="related"><p>{long}</p></div></{tag}>') == "The article."
+    page = f'<main><p>{long}</p><div class="social"><article><p>short</p></article></div></main>'
+    assert main_text(page) == f"{long}\nshort"
+    assert main_text(f'<article>{long}</article><div class="related"><article>card</article></div>') == long
+    for name in ('class="ad"', 'class="adBox"', 'id="cookie-notice"', 'role="complementary"', 'class="x sidebar"'):
+        assert main_text(f"<div><p>{long}</p><div {name}><p>not this</p></div><p>end</p></div>") == f"{long}\nend", name
+    assert main_text('<div class="ad"><p>x' * 20_000).count("x") == 10_000  # those with most of the text
+
+
 def test_broken_markup():
     assert main_text("<article><p>one<p>two <b>three</article>") == "one\ntwo three"
     assert main_text("<p>a < b & c &amp; d &#233; &bogus; <!-- no --> e</p>") == "a < b & c & d é &bogus; e"
