@@ -3,13 +3,15 @@
 A seed is a window of twelve tokens of which a fixed mask ignores some, so a
 substituted word under an ignored position leaves the hash as it is. The
 hashes of all training windows are joined with those of the benchmark; each
-hit fixes an alignment, and the tokens around it are compared position by
+hit fixes an alignment, at which the whole item is compared position by
 position. Three masks together find nearly every 16-token passage with three
 substitutions. Only DataFrame functions run.
 
 Scale: documents are scanned in one codegen stage (split, explode positions,
-hash, probe a broadcast table) and only hits leave it, with the few aligned
-tokens they need, so no text is shuffled. The broadcast table holds the seeds
+hash, probe a broadcast table) and only hits leave it. Those of items of up to
+``WHOLE`` tokens bring the aligned tokens along, so no text is shuffled; for
+longer items, whose many hits would repeat them, the distinct alignments are
+joined with their documents. The broadcast table holds the seeds
 of a block of at most ``BLOCK_SEEDS`` benchmark windows (its size is counted
 first); a larger benchmark is handled in further blocks, each with a scan of
 its own.
@@ -20,14 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimflow.llm.common import materialise
+
 SPAN = 12
 #: Token positions of a window that each mask keeps; chosen by a search for the
 #: best joint sensitivity on 16 to 30 tokens with 3 to 6 substitutions.
 MASKS = ((0, 2, 5, 6, 9, 11), (0, 1, 3, 8, 9, 11), (0, 1, 4, 5, 7, 11))
 #: Benchmark seeds broadcast at once: about 32 bytes each.
 BLOCK_SEEDS = 1_000_000
-#: Items are verified in tiles of so many tokens, with a margin at both sides.
+#: Tiles of an item and their margin in the SQL.
 TILE, MARGIN = 64, 32
+#: Tokens of the longest item whose hits bring the aligned tokens along.
+WHOLE = 128
 #: Matching tokens that make an overlap.
 MIN_MATCH = 12
 #: What a substituted token takes from the score; runs with fewer than two
@@ -84,26 +90,42 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         .where(F.size("words") >= SPAN).distinct()
         .withColumn("item_key", F.xxhash64("item", "words"))
     )
-    n_seeds = items.agg(F.sum(F.size("words").cast("long") - SPAN + 1)).first()[0] or 0
-    n_blocks = max(1, -(-n_seeds * len(MASKS) // block_seeds))
+    n_seeds, longest = items.agg(F.sum(F.size("words").cast("long") - SPAN + 1), F.max(F.size("words"))).first()
+    n_blocks = max(1, -(-(n_seeds or 0) * len(MASKS) // block_seeds))
     seeds = _windows(items).select("seed", "item_key", F.col("pos").alias("item_pos"), F.size("words").alias("n_item"))
-    train = _windows(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")))
-
-    tile = F.floor(F.col("item_pos") / TILE).cast("int")
-    shift = F.col("pos") - F.col("item_pos")
-    low = F.greatest(F.lit(0), F.col("tile") * TILE - MARGIN, -F.col("shift"))
-    high = F.least(F.col("n_item"), (F.col("tile") + 1) * TILE + MARGIN, F.size("words") - F.col("shift"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    long_items = (longest or 0) > WHOLE
+    train = _windows(texts.select("id", *[version.alias("version")] * long_items, tokens(F.col("text")).alias("words")))
+
+    where = ["id", "item_key", "shift", "low"]
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    high = F.least(F.col("n_item"), F.size("words") - F.col("shift"))
+    # The document's tokens at the item's positions from ``low`` on.
+    part = F.array_join(F.slice("words", F.col("low") + F.col("shift") + 1, high - F.col("low")), " ")
+    short = F.col("n_item") <= WHOLE
     found = None
     for b in range(n_blocks):
         block = seeds.where(F.pmod(F.xxhash64("seed", "item_key", "item_pos"), F.lit(n_blocks)) == b)
         hits = (
             train.join(F.broadcast(block), "seed")
-            .withColumns({"tile": tile, "shift": shift}).withColumns({"low": low, "high": high})
-            .select("id", "item_key", "shift", "low",
-                    F.array_join(F.slice("words", F.col("low") + F.col("shift") + 1, F.col("high") - F.col("low")), " ").alias("part"))
+            .withColumn("shift", F.col("pos") - F.col("item_pos")).withColumn("low", low)
         )
+        if long_items:
+            hits = hits.select(*where, F.when(short, part).alias("part"), "n_item", F.when(~short, F.col("version")).alias("version"))
+        else:
+            hits = hits.select(*where, part.alias("part"))
         found = hits if found is None else found.unionByName(hits)
-    found = found.groupBy("id", "item_key", "shift", "low", "part").agg(F.lit(1).alias("one"))
+    found = found.distinct()
+    if long_items:
+        found = materialise(found, "overlap-alignments")
+        rest = found.where("part is null").select(F.col("id").alias("d"), "version", "item_key", "shift", "low", "n_item")
+        rest = (
+            texts.withColumn("v", version)
+            .join(rest, F.col("id").eqNullSafe(F.col("d")) & (F.col("v") == F.col("version")))
+            .withColumn("words", tokens(F.col("text")))
+        )
+        found = found.where("part is not null").select(*where, "part").unionByName(rest.select(*where, part.alias("part")))
 
     return (
         found.join(items, "item_key")

@@ -116,6 +116,23 @@ def test_long_items_are_found_in_tiles(spark):
     assert got[1] == 30 and got[2] >= 96
 
 
+def test_long_items_are_matched_whole(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    far = [w if not 300 <= k < 440 else "zulu" for k, w in enumerate(words)]  # 140 substitutions after 300 matches
+    broken = [w if not 300 <= k < 455 else "zulu" for k, w in enumerate(words)]  # one run of 300, one of 445
+    rows = [(1, " ".join(words)), (1, "other text under the same id"), (None, "x " * 40 + " ".join(words[100:])), (3, " ".join(far)),
+            (4, " ".join(broken)), (5, " ".join(words[:200])), (6, " ".join(words[50:62])), (7, ITEM), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("version", F.lit("clash"))
+    bench = spark.createDataFrame([(9, " ".join(words)), (10, ITEM), (11, " ".join(words[:110]))], "item_id long, text string")
+    want = {(1, 9, 900, 900), (None, 9, 800, 900), (3, 9, 760, 900), (4, 9, 445, 900), (5, 9, 200, 900), (6, 9, 12, 900), (7, 10, 16, 16),
+            *((i, 11, 110, 110) for i in (1, 3, 4, 5)), (6, 11, 12, 110)}
+    for block in (decontamination.BLOCK_SEEDS, 1000):
+        assert {tuple(r) for r in decontamination.overlaps(docs, bench, block_seeds=block).collect()} == want
+    kept = decontamination.decontaminate(docs, bench, min_match=500)
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 8]
+
+
 def test_native_operators_run_no_python(spark):
     docs, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     for df in (line_dedup.line_dedup_digest(docs), decontamination.overlaps(docs, bench)):
