@@ -11,8 +11,9 @@ starts with one name form a region: a stretch of text of some 575 bytes.
   of that name, into a block whose suffix array (two-stage sorting) puts equal
   strings side by side; adjacent common prefixes of 400 bytes mark repeats.
 * A name with over ``HOT_REGIONS`` different regions (a passage shorter than
-  400 bytes in very many documents) is not sorted in one task: its starts are
-  hashed and counted over the cluster.
+  400 bytes in very many documents) or ``HOT_BYTES`` bytes of them (long runs
+  of one line or character) is not sorted in one task: its starts are hashed,
+  in slices of a region, and counted over the cluster.
 
 The marked stretches are joined back to every occurrence and cut out.
 
@@ -41,6 +42,10 @@ LENGTH, GRAM = 400, 50
 PIECE = 1 << 18
 #: Different regions of one name that a single task sorts, and bytes of a block.
 HOT_REGIONS, BLOCK_BYTES = 3000, 2_000_000
+#: Bytes of the different regions of one name that a single task sorts.
+HOT_BYTES = BLOCK_BYTES
+#: Starts of a hot name's region that are hashed at once.
+SLICE = 2048
 #: Not in UTF-8, so no string of a text holds it.
 SEPARATOR = b"\xff"
 
@@ -188,27 +193,44 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 128-bit hash of the string at each start of a region."""
+    """A row for each different string of a slice: 128-bit hash, number of its starts, and what they cover in the region."""
     for batch in batches:
-        for name, region, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for name, region, at, body in zip(*batch.columns[:4]):
+            at, body = at.as_py(), body.as_py()
             digests = [xxhash.xxh3_128_digest(body[i:i + LENGTH]) for i in range(len(body) - LENGTH + 1)]
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            m = len(digests)
+            order = np.lexsort((halves[:, 1], halves[:, 0]))  # stable: starts of a string ascend
+            halves, starts = halves[order], order + at
+            new = np.concatenate(([True], (halves[1:] != halves[:-1]).any(axis=1)))
+            cut = np.flatnonzero(new | np.concatenate(([True], np.diff(starts) > LENGTH)))
+            first = np.flatnonzero(new)
+            offsets = pa.array(np.append(np.searchsorted(cut, first), len(cut)), pa.int32())
+            ends = starts[np.append(cut[1:], len(starts)) - 1] + LENGTH
+            m = len(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * m, pa.int64()), pa.array([region] * m, pa.int64()), pa.array(range(m), pa.int32()),
-                 pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["name", "region", "start", "w1", "w2"])
+                [pa.array([name.as_py()] * m, pa.int64()), pa.array([region.as_py()] * m, pa.int64()), pa.array([at] * m, pa.int32()),
+                 pa.array(halves[first, 0]), pa.array(halves[first, 1]), pa.array(np.diff(np.append(first, len(starts))), pa.int64()),
+                 pa.ListArray.from_arrays(offsets, pa.array(starts[cut], pa.int32())),
+                 pa.ListArray.from_arrays(offsets, pa.array(ends, pa.int32()))],
+                ["name", "region", "at", "w1", "w2", "times", "begins", "ends"])
 
 
 def _hot_marks(bodies: DataFrame) -> DataFrame:
     """Marks of the regions of hot names, by counting the hashes of all their strings."""
-    starts = bodies.mapInArrow(_window_hashes, "name long, region long, start int, w1 long, w2 long")
-    starts = materialise(starts.dropDuplicates(["name", "region", "start"]), "suffix-hot")
-    twice = starts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    found = starts.join(twice, ["w1", "w2"]).groupBy("name", "region").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    # A repeated row fetches its regions again.
+    slices = bodies.select("name", "region", "at", "body").dropDuplicates(["name", "region", "at"])
+    strings = materialise(slices.mapInArrow(
+        _window_hashes, "name long, region long, at int, w1 long, w2 long, times long, begins array<int>, ends array<int>"), "suffix-hot")
+    twice = strings.groupBy("w1", "w2").agg(F.sum("times").alias("all_times")).where("all_times > 1")
+    found = strings.join(twice, ["w1", "w2"]).groupBy("name", "region", "at").agg(
+        F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, r, *_stretches(np.array(s))) for n, r, s in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            rows = []
+            for name, region, begins, ends in zip(*(batch.column(k) for k in (0, 1, 3, 4))):
+                spans = union_of(list(zip(begins.as_py(), ends.as_py())))
+                rows.append((name.as_py(), region.as_py(), [b for b, _ in spans], [e for _, e in spans]))
             if rows:
                 yield _marks(rows)
 
@@ -216,24 +238,31 @@ def _hot_marks(bodies: DataFrame) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, region, body): the bytes of one occurrence of each wanted region."""
+    """(name, region, at, body, hot): the bytes of one occurrence of each wanted region, from its start ``at`` on.
+
+    Regions of hot names come in slices of ``SLICE`` starts.
+    """
     asked = wanted.groupBy(F.col("key").alias("k"), F.col("version").alias("v")).agg(
-        F.collect_list(F.struct("name", "region", "first", "n")).alias("asked"))
+        F.collect_list(F.struct("name", "region", "first", "n", "hot")).alias("asked"))
     joined = docs.join(asked, docs["key"].eqNullSafe(asked["k"]) & (docs["version"] == asked["v"])).select("body", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, asked in zip(batch.column(0), batch.column(1)):
                 data, rows = body.as_py(), asked.as_py()
+                parts = [(r, at, min(at + SLICE, r["n"]) if r["hot"] else r["n"])
+                         for r in rows for at in (range(0, r["n"], SLICE) if r["hot"] else (0,))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["name"] for r in rows], pa.int64()), pa.array([r["region"] for r in rows], pa.int64()),
-                     pa.array([data[r["first"]:r["first"] + r["n"] + LENGTH - 1] for r in rows], pa.binary())],
-                    ["name", "region", "body"])
+                    [pa.array([r["name"] for r, _, _ in parts], pa.int64()), pa.array([r["region"] for r, _, _ in parts], pa.int64()),
+                     pa.array([at for _, at, _ in parts], pa.int32()),
+                     pa.array([data[r["first"] + at:r["first"] + end + LENGTH - 1] for r, at, end in parts], pa.binary()),
+                     pa.array([r["hot"] for r, _, _ in parts], pa.bool_())],
+                    ["name", "region", "at", "body", "hot"])
 
-    return joined.mapInArrow(cut, "name long, region long, body binary")
+    return joined.mapInArrow(cut, "name long, region long, at int, body binary, hot boolean")
 
 
-def repeated_stretches(docs: DataFrame, hot_regions: int = HOT_REGIONS) -> DataFrame:
+def repeated_stretches(docs: DataFrame, hot_regions: int = HOT_REGIONS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(key, version, spans): for each text (key, version, body) with repeats, what they cover.
 
     ``spans`` are structs (b, e) of byte positions, in any order, overlapping.
@@ -242,20 +271,21 @@ def repeated_stretches(docs: DataFrame, hot_regions: int = HOT_REGIONS) -> DataF
     classes = found.groupBy("name", "region").agg(
         F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.first("n").alias("n"),
         F.first("key").alias("key"), F.first("version").alias("version"), F.first("first").alias("first"))
-    shared = classes.groupBy("name").agg(F.count(F.lit(1)).alias("regions"), F.max("twice").alias("any_twice"))
+    shared = classes.groupBy("name").agg(F.count(F.lit(1)).alias("regions"), F.max("twice").alias("any_twice"),
+                                         F.sum(F.col("n").cast("long") + (LENGTH - 1)).alias("bytes"))
     classes = materialise(
         classes.join(shared, "name").where("times > 1 or regions > 1 or any_twice"), "suffix-classes")
     whole = classes.where("times > 1").select(
         "name", "region", F.array(F.lit(0)).alias("begins"), F.array(F.col("n") + (LENGTH - 1)).alias("ends"))
-    mixed = classes.where("regions > 1 or any_twice")
-    bodies = materialise(_bodies(docs, mixed).join(
-        mixed.select("name", "region", (F.col("regions") > hot_regions).alias("hot")), ["name", "region"]), "suffix-bodies")
+    mixed = classes.where("regions > 1 or any_twice").withColumn(
+        "hot", (F.col("regions") > hot_regions) | (F.col("bytes") > hot_bytes))
+    bodies = materialise(_bodies(docs, mixed), "suffix-bodies")
     sorted_marks = (
         bodies.where("not hot").select("name", "region", "body").repartition("name")
         .sortWithinPartitions("name", "region").mapInArrow(_sort_blocks, _MARKS))
     marks = whole.union(sorted_marks)
     if not bodies.where("hot").isEmpty():
-        marks = marks.union(_hot_marks(bodies.where("hot").select("name", "region", "body")))
+        marks = marks.union(_hot_marks(bodies.where("hot")))
     marks = materialise(marks, "suffix-marks")
     spans = found.join(marks, ["name", "region"]).select(
         "key", "version", "first", F.explode(F.arrays_zip("begins", "ends")).alias("s"))
@@ -274,7 +304,8 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_regions: int = HOT_REGIONS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_regions: int = HOT_REGIONS,
+                 hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, kept (bytes), n_bytes, n_removed and n_spans.
 
     Every byte of a string of 400 bytes that also starts elsewhere, in this or
@@ -286,7 +317,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("key"), F.xxhash64(body).alias("version"), body.cast("binary").alias("body"))
-    spans = repeated_stretches(docs, hot_regions).withColumnsRenamed({"key": "k", "version": "v"})
+    spans = repeated_stretches(docs, hot_regions, hot_bytes).withColumnsRenamed({"key": "k", "version": "v"})
     joined = docs.join(spans, docs["key"].eqNullSafe(spans["k"]) & (docs["version"] == spans["v"]), "left")
     schema = T.StructType([T.StructField(id_col, docs.schema["key"].dataType), T.StructField("kept", T.BinaryType()),
                            *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])

@@ -102,3 +102,21 @@ def test_hard_rows(spark, hot):
     assert Counter(tuple(r) for r in got) == brute(rows)
     if hot == 5:
         assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
+
+
+def test_names_with_many_bytes_are_not_sorted_in_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(120)) + "\n"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(40))
+    # Regions of one name: few, but of 2.3 MB, with different lengths and neighbours.
+    rows = [(k, word() + line * (700 + k) + word()) for k in range(27)] + [(50, word() + "x" * 5000 + word()), (51, "x" * 3000)]
+    rows += [rows[3], (60, line * 3 + word()), (61, word() * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    hot_marks = suffix_dedup._hot_marks
+    monkeypatch.setattr(suffix_dedup, "_hot_marks", lambda bodies: seen.append(
+        bodies.agg(F.count_distinct("name"), F.max(F.octet_length("body"))).first()) or hot_marks(bodies))
+    assert digest(docs) == brute(rows)
+    assert [tuple(r) for r in seen] == [(1, suffix_dedup.SLICE + 399)]
+    got = suffix_dedup.suffix_dedup(docs, hot_bytes=1000).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert Counter(tuple(r) for r in got.collect()) == brute(rows)
