@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimflow.llm.common import materialise, read
 from claimflow.llm.decontamination import decontaminate
 from claimflow.llm.line_dedup import line_dedup
-from claimflow.llm.piece_codec import piece_encode
+from claimflow.llm.piece_codec import piece_decode, piece_encode
 from claimflow.llm.quality_rules import quality_filter
 from claimflow.llm.simhash import simhash_dedup
 
@@ -43,8 +43,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their sentencepiece ids (end id included) and their number."""
-    return piece_encode(docs, PIECES).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """The documents with their sentencepiece ids (end id included), their number and the SHA-256 of the text the ids decode to."""
+    rows = piece_encode(docs, PIECES).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return piece_decode(rows, PIECES, out_col="__decoded").withColumn("decoded_sha256", F.sha2("__decoded", 256)).drop("__decoded")
 
 
 STAGES = [
@@ -52,7 +53,7 @@ STAGES = [
     ("line dedup", line_stage),
     ("simhash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
-    ("sentencepiece encoding", tokenize_stage),
+    ("sentencepiece encoding and decoding", tokenize_stage),
 ]
 
 # Fingerprints and token ids are beyond SQL.

@@ -1,10 +1,12 @@
 """The pipeline against a plain Python version of its five stages."""
 
+import hashlib
 import itertools
 import re
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from claimflow.llm.quality_rules import RULES, Measures
@@ -60,6 +62,18 @@ def test_pipeline_equals_brute_force(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_last_stage_decodes_what_it_encoded(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    hard = ["", "a\nb  c", "\u2581x \U0001f600 \ufb01 e\u0301", " lead"]
+    docs = docs.union(docs.limit(len(hard)).withColumn("text", F.element_at(F.array(*map(F.lit, hard)), F.pmod("doc_id", F.lit(4)).cast("int") + 1)))
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).collect()
+    assert len(got) > 10
+    for r in got:
+        assert r.token_ids == lib.encode(r.text) + [2]
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(r.token_ids).encode()).hexdigest()
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
