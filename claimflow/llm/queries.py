@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimflow.llm.common import read
 from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
+from claimflow.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negative_digest
 from claimflow.llm.html_text import extract_pages
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from claimflow.llm.piece_codec import piece_digest
@@ -16,6 +17,7 @@ from claimflow.llm.simhash import simhash_digest
 from claimflow.llm.suffix_dedup import suffix_digest
 from claimflow.llm.token_counts import corpus_token_totals
 from claimflow.llm.token_shards import token_shard_digest
+from claimflow.llm.vector_codes import VECTOR_CODES_SQL, vector_code_digest
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negative_digest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code_digest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -72,10 +82,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE = {
     "op1_benchmark_decontamination": DECONTAMINATION_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    "op12_vector_codes": VECTOR_CODES_SQL,
 }
