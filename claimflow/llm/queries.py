@@ -9,6 +9,7 @@ from claimflow.llm.common import read
 from claimflow.llm.decontamination import DECONTAMINATION_SQL, overlaps
 from claimflow.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negative_digest
 from claimflow.llm.html_text import extract_pages
+from claimflow.llm.jaccard_join import jaccard_digest
 from claimflow.llm.line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from claimflow.llm.piece_codec import piece_digest
 from claimflow.llm.quality_rules import QUALITY_SQL, quality_verdicts
@@ -71,6 +72,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_code_digest(read(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -84,6 +89,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_vector_codes": op12_vector_codes,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 ORACLE = {
