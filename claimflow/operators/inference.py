@@ -1,7 +1,7 @@
 """Model request/response JSON and pluggable batch inference.
 
 Request and response layouts are chosen by model-id prefix. Inference runs
-in ``mapInPandas`` with a client created once per partition by a factory the
+over Arrow batches with a client created once per partition by a factory the
 caller supplies; a failure is caught per row and reported in
 ``success / error / time_seconds`` columns instead of failing the job.
 """
@@ -9,14 +9,20 @@ caller supplies; a failure is caught per row and reported in
 from __future__ import annotations
 
 import json
+import queue
 import re
+import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimflow.sources.staging import staged
+
 MAX_TOKENS = 1000
 # Request format version string of the default layout.
 ANTHROPIC_VERSION = "bedrock-2023-05-31"
@@ -118,71 +124,146 @@ class OfflineClient:
         return f"Claim by {who} under policy {policy} for {amount}, incident on {date}: {what}"
 
 
+#: The longest wait between two attempts of a call, in seconds.
+MAX_WAIT = 30.0
+
+
+def call_with_retries(invoke: Callable[[], str], retries: int, backoff: float) -> tuple[str | None, str | None, float]:
+    """(reply, error, seconds) of up to ``1 + retries`` attempts; the wait
+    before a further one starts at ``backoff`` seconds and doubles, up to
+    ``MAX_WAIT``. An exception of every attempt is an error, not a failure of
+    the job."""
+    began, error = time.monotonic(), None
+    for attempt in range(retries + 1):
+        if attempt and backoff > 0:
+            time.sleep(min(backoff * 2 ** (attempt - 1), MAX_WAIT))
+        try:
+            return invoke(), None, time.monotonic() - began
+        except Exception as e:  # per-row isolation
+            error = str(e) or type(e).__name__
+    return None, error, time.monotonic() - began
+
+
+def call_concurrently(calls: list[Callable[[], tuple]], concurrency: int, timeout: float | None) -> list[tuple]:
+    """The results of ``calls``, in their order, with up to ``concurrency`` of
+    them running. A call that takes longer than ``timeout`` seconds, its
+    retries included, gets the result ``(None, "timed out ...", timeout)``;
+    its thread is left behind and its place given to the next call."""
+    results: list[tuple | None] = [None] * len(calls)
+    finished: queue.SimpleQueue = queue.SimpleQueue()
+    running: dict[int, float] = {}
+    waiting = iter(range(len(calls)))
+    while True:
+        while len(running) < concurrency and (k := next(waiting, None)) is not None:
+            running[k] = time.monotonic()
+            threading.Thread(target=lambda k=k: finished.put((k, calls[k]())), daemon=True).start()
+        if not running:
+            return results  # type: ignore[return-value]
+        left = None if timeout is None else max(0.0, min(running.values()) + timeout - time.monotonic())
+        try:
+            k, result = finished.get(timeout=left)
+        except queue.Empty:
+            now = time.monotonic()
+            for k in [k for k, began in running.items() if now - began >= timeout]:
+                results[k] = (None, f"timed out after {timeout:g} s", timeout)
+                del running[k]
+            continue
+        if running.pop(k, None) is not None:
+            results[k] = result
+
+
 def run_model(df: DataFrame, model_col: str, prompt_col: str, client_factory: Callable[[], object] = OfflineClient,
-              temperature: float = 0.0, retries: int = 2, out_prefix: str = "") -> DataFrame:
-    """Call a model for every row (Arrow batches, one client per
-    partition, bounded retries). Adds ``text, success, error, time_seconds``.
-    A reply that is no JSON object, or holds no text where its layout has one,
-    is a failure with an error, like an exception of the client.
-
-    The work is spread by Spark's partitions; ``repartition`` the input to set
-    the call concurrency."""
-    reqd = df.withColumn("__req", request_body(model_col, prompt_col, temperature))
-    out_schema = T.StructType(list(reqd.schema.fields) + [
-        T.StructField("__resp", T.StringType()), T.StructField("__ok", T.BooleanType()),
-        T.StructField("__err", T.StringType()), T.StructField("__secs", T.DoubleType())])
-
-    def call(batches):
-        client = client_factory()
-        for pdf in batches:
-            resp, ok, err, secs = [], [], [], []
-            for mid, body in zip(pdf[model_col], pdf["__req"]):
-                t0 = time.time()
-                last = None
-                for _attempt in range(retries + 1):
-                    try:
-                        r = client.invoke(mid, body)
-                        last = None
-                        break
-                    except Exception as e:  # per-row isolation
-                        last, r = e, None
-                resp.append(r)
-                ok.append(last is None)
-                err.append(None if last is None else str(last))
-                secs.append(round(time.time() - t0, 2))
-            yield pdf.assign(__resp=resp, __ok=ok, __err=err, __secs=secs)
-
-    res = reqd.mapInPandas(call, out_schema)
+              temperature: float = 0.0, retries: int = 2, out_prefix: str = "", concurrency: int = 1,
+              timeout: float | None = None, backoff: float = 0.5, once: bool = False) -> DataFrame:
+    """Call a model for every row. Adds ``text, success, error,
+    time_seconds`` (of the call, its waits included). A reply that is no JSON
+    object, or holds no text where its layout has one, is a failure with an
+    error, like an exception of the client; a null model or prompt is one
+    without a call.
+
+    A task has one client and up to ``concurrency`` calls at a time (the
+    client has to allow that); each call is tried ``1 + retries`` times with a
+    growing wait from ``backoff`` seconds on, and gives up after ``timeout``
+    seconds. The work is spread by Spark's partitions.
+
+    ``once``: rows with the same model and request share one call. The
+    distinct requests are aggregated before they are shuffled, so a request of
+    any number of rows is one row from then on; their replies are written to
+    the shared folder, so a lost executor does not repeat calls that are
+    paid for, and joined back. Adds ``request_id``, equal for rows that share
+    a call.
+    """
+    row = df.withColumn("__req", F.when(F.col(prompt_col).isNotNull(), request_body(model_col, prompt_col, temperature)))
+    row = row.withColumn("__model", F.col(model_col))
+    limits = {"retries": retries, "concurrency": concurrency, "timeout": timeout, "backoff": backoff}
+    if once:
+        # Two hashes of which one covers the length of the model's name: equal only for equal requests.
+        row = row.withColumn(out_prefix + "request_id", F.sha2(F.concat(
+            F.coalesce(F.length("__model"), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce("__model", F.lit("")),
+            F.coalesce("__req", F.lit(""))), 256))
+        asked = row.groupBy(F.col(out_prefix + "request_id").alias("__key")).agg(
+            F.any_value("__model").alias("__model"), F.any_value("__req").alias("__req"))
+        replies = staged(_called(asked, client_factory, limits).drop("__model", "__req"), "model-replies")
+        res = row.join(replies, F.col(out_prefix + "request_id") == F.col("__key")).drop("__key")
+    else:
+        res = _called(row, client_factory, limits)
     parsed = F.json_object_keys("__resp").isNotNull()
-    text = F.when(F.col("__ok") & parsed, response_text(model_col, "__resp"))
-    res = res.withColumn("__text", text)
-    error = (F.when(~F.col("__ok"), F.col("__err")).when(~parsed, F.lit("response is not a JSON object"))
+    res = res.withColumn("__text", F.when(parsed, response_text(model_col, "__resp")))
+    error = (F.when(F.col("__resp").isNull(), F.col("__err")).when(~parsed, F.lit("response is not a JSON object"))
               .when(F.col("__text").isNull(), F.lit("response has no text")))
     return (res.withColumn("__err", error).withColumn("__ok", F.col("__text").isNotNull())
                .withColumnsRenamed({"__text": out_prefix + "text", "__ok": out_prefix + "success",
                                     "__err": out_prefix + "error", "__secs": out_prefix + "time_seconds"})
-               .drop("__req", "__resp"))
+               .drop("__req", "__resp", "__model"))
+
+
+def _called(rows: DataFrame, client_factory: Callable[[], object], limits: dict) -> DataFrame:
+    """``rows`` with the reply, error and seconds of each call (``__model``, ``__req``)."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("__resp", T.StringType()),
+                           T.StructField("__err", T.StringType()), T.StructField("__secs", T.DoubleType())])
+    retries, backoff, timeout = limits["retries"], limits["backoff"], limits["timeout"]
+    inline = limits["concurrency"] <= 1 and timeout is None
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = client_factory()
+
+        def one(model, body):
+            if model is None or body is None:
+                return None, "no model or prompt", 0.0
+            return call_with_retries(lambda: client.invoke(model, body), retries, backoff)
+
+        for batch in batches:
+            calls = [lambda m=m, b=b: one(m, b) for m, b in zip(batch.column("__model").to_pylist(), batch.column("__req").to_pylist())]
+            done = [c() for c in calls] if inline else call_concurrently(calls, max(1, limits["concurrency"]), timeout)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([r for r, _, _ in done], pa.string()), pa.array([e for _, e, _ in done], pa.string()),
+                 pa.array([round(s, 2) for _, _, s in done], pa.float64())], schema.names)
+
+    return rows.mapInArrow(call, schema)
 
 
 def process_documents(df: DataFrame, text_col: str, model_col: str,
-                      client_factory: Callable[[], object] = OfflineClient) -> DataFrame:
+                      client_factory: Callable[[], object] = OfflineClient, **limits) -> DataFrame:
     """Extract (temperature 0.0) then summarise the extraction
-    (temperature 0.7), both through ``run_model``."""
+    (temperature 0.7), both through ``run_model`` with its ``limits``."""
     from claimflow.operators.prompts import DEFAULT_TEMPLATES
     s1 = df.withColumn("__p1", DEFAULT_TEMPLATES.render("extract_info", document_text=text_col))
-    s1 = run_model(s1, model_col, "__p1", client_factory, 0.0, out_prefix="extract_")
+    s1 = run_model(s1, model_col, "__p1", client_factory, 0.0, out_prefix="extract_", **limits)
     s2 = s1.withColumn("__p2", DEFAULT_TEMPLATES.render("generate_summary", extracted_info="extract_text"))
-    s2 = run_model(s2, model_col, "__p2", client_factory, 0.7, out_prefix="summary_")
+    s2 = run_model(s2, model_col, "__p2", client_factory, 0.7, out_prefix="summary_", **limits)
     return (s2.withColumnRenamed("extract_text", "extracted_info").withColumnRenamed("summary_text", "summary")
               .drop("__p1", "__p2"))
 
 
-def summary_record(df: DataFrame, key_col: str, model_col: str, processed_at: Column | None = None) -> DataFrame:
+def summary_record(df: DataFrame, key_col: str, model_col: str, processed_at: Column | None = None,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """D3 summary record: ``input_file, processed_at, model_used,
-    extracted_info, summary`` plus the output key ``summaries/{basename}.json``."""
+    extracted_info, summary`` plus the output key ``summaries/{basename}.json``
+    and the columns ``keep``."""
     return df.select(
         F.col(key_col).alias("input_file"),
         (processed_at if processed_at is not None else F.current_timestamp()).alias("processed_at"),
         F.col(model_col).alias("model_used"), "extracted_info", "summary",
         F.concat(F.lit("summaries/"), F.element_at(F.split(key_col, "/"), -1), F.lit(".json")).alias("output_key"),
+        *keep,
     )

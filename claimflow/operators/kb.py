@@ -9,15 +9,16 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from claimflow.functions.arrays import let
+from claimflow.operators.knn import IvfIndex, knn_topk  # noqa: F401
 from claimflow.operators.policy import KB_SOURCE
+from claimflow.sources.commits import CommittedTable, Conflict, Version
+from claimflow.sources.staging import staged
 
 # Token = maximal run of characters that are not whitespace (ASCII
 # whitespace, vertical tab, and the Unicode separator categories).
@@ -103,43 +104,93 @@ def dimension_check(df: DataFrame, vec_col: str, dim: int) -> tuple[DataFrame, D
     return df.where(ok), df.where(~ok)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the index at ``path`` as its newest committed version names them; None before the first."""
+    return CommittedTable(spark, path).read()
+
+
 def build_index(chunks: DataFrame, path: str, dim: int, vec_col: str = "vector",
-                key_cols: tuple[str, ...] = ("doc_id", "chunk_no")) -> tuple[str, DataFrame]:
+                key_cols: tuple[str, ...] = ("doc_id", "chunk_no"), stream: tuple[str, int] | None = None,
+                content_col: str | None = None) -> tuple[str, DataFrame]:
     """V4: the embedded chunk table *is* the index. Absent -> created; present
-    with the same vector dimension -> chunks with new keys are appended; any
-    vector of another dimension -> rebuilt (overwritten) from ``chunks``. Rows
-    of the wrong dimension are returned, not indexed."""
-    from pyspark.errors import AnalysisException
-    spark = chunks.sparkSession
+    with the same vector dimension -> chunks with new keys are appended;
+    another dimension -> rebuilt from ``chunks``. Rows of the wrong dimension
+    are returned, not indexed.
+
+    Each of these is one commit (:class:`CommittedTable`): readers see the
+    index before or after it, a writer that fails leaves it as it was, and of
+    two writers at the same time the second one starts again from what the
+    first one left, so no key is there twice and no chunk is lost. With a
+    ``content_col`` no content is, either. ``stream`` (application, epoch)
+    makes a replayed epoch a no-op.
+    """
+    table = CommittedTable(chunks.sparkSession, path)
     ok, bad = dimension_check(chunks, vec_col, dim)
     ok = ok.dropDuplicates(list(key_cols))
-    try:
-        index = spark.read.parquet(path)
-    except AnalysisException:
-        ok.write.parquet(path)
-        return "created", bad
-    if index.where(~F.coalesce(F.size(vec_col) == dim, F.lit(False))).isEmpty():
-        ok.join(index.select(*key_cols), list(key_cols), "left_anti").select(*index.columns).write.mode("append").parquet(path)
-        return "appended", bad
-    ok.write.mode("overwrite").parquet(path)
-    return "rebuilt", bad
+    while True:
+        seen = table.version()
+        if stream is not None and seen.done.get(stream[0], -1) >= stream[1]:
+            return "done", bad
+        index = table.read(version=seen)
+        if index is None:
+            status, new = "created", ok
+        elif seen.notes.get("dim") == dim:
+            new = ok.join(index.select(*key_cols), list(key_cols), "left_anti")
+            if content_col is not None:
+                new = new.join(index.select(content_col).distinct(), content_col, "left_anti")
+            status, new = "appended", new.select(*index.columns)
+        else:
+            status, new = "rebuilt", ok
+        part = table.write_part(new)
+
+        def change(now: Version) -> Version:
+            if now.number != seen.number:
+                raise Conflict("another writer was first")
+            now.parts = ([] if status == "rebuilt" else now.parts) + [part]
+            now.notes["dim"] = dim
+            return now
+        try:
+            table.commit(change, *(stream or ()))
+            return status, bad
+        except Conflict:
+            continue
+
+
+def compact_index(spark: SparkSession, path: str, key_cols: tuple[str, ...] = ("doc_id", "chunk_no")) -> None:
+    """Put the parts of all commits so far into one, ordered by key; appends meanwhile stay."""
+    table = CommittedTable(spark, path)
+    seen = table.version()
+    if len(seen.parts) > 1:
+        merged = table.write_part(table.read(version=seen).repartitionByRange(*key_cols).sortWithinPartitions(*key_cols))
+        table.replace(seen.names(), [merged])
 
 
 def sync_index(documents: DataFrame, path: str, dim: int = 1024, id_col: str = "doc_id", text_col: str = "text",
-               keep: tuple[str, ...] = (), embed: Callable[[list[str], int], np.ndarray] = hashed_terms) -> tuple[str, DataFrame]:
+               keep: tuple[str, ...] = (), embed: Callable[[list[str], int], np.ndarray] = hashed_terms,
+               stream: tuple[str, int] | None = None) -> tuple[str, DataFrame, DataFrame]:
     """V8: chunk, embed, check and append the documents that the index lacks,
-    by content: one document of each new text."""
-    from pyspark.errors import AnalysisException
+    by content: one document of each new text.
+
+    Returns the status, the rows of a wrong dimension, and the run's
+    ingestion statistics (A13). The documents are hashed in one scan, which
+    leaves a narrow row per content; the statistics are sums over those rows
+    and need no scan of their own.
+    """
+    spark = documents.sparkSession
     hashed = documents.withColumn("content_hash", content_hash(text_col))
-    first = hashed.groupBy("content_hash").agg(F.min(id_col).alias(id_col))
-    try:
-        first = first.join(documents.sparkSession.read.parquet(path).select("content_hash").distinct(),
-                           "content_hash", "left_anti")
-    except AnalysisException:  # no index yet
-        pass
+    per = hashed.groupBy("content_hash").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n"))
+    index = read_index(spark, path)
+    if index is None:
+        per = per.withColumn("in_index", F.lit(False))
+    else:
+        known = index.select("content_hash").distinct().withColumn("in_index", F.lit(True))
+        per = per.join(known, "content_hash", "left").withColumn("in_index", F.coalesce("in_index", F.lit(False)))
+    per = staged(per, "kb-contents")
+    first = per.where(~F.col("in_index")).select("content_hash", id_col)
     new = hashed.join(first, [id_col, "content_hash"], "left_semi")
     chunks = chunk_documents(new, id_col, text_col, keep=("content_hash", *keep))
-    return build_index(embed_chunks(chunks, dim=dim, embed=embed), path, dim, key_cols=(id_col, "chunk_no"))
+    status, bad = build_index(embed_chunks(chunks, dim=dim, embed=embed), path, dim, key_cols=(id_col, "chunk_no"), stream=stream, content_col="content_hash")
+    return status, bad, _ingest_totals(per)
 
 
 def label_centroids(df: DataFrame, label_col: str = "label", vec_col: str = "embedding",
@@ -153,101 +204,6 @@ def label_centroids(df: DataFrame, label_col: str = "label", vec_col: str = "emb
     return agg.select(label_col, vector_to_array("__m").alias(out_col))
 
 
-#: Products of rows, queries and dimensions that are held at once.
-KNN_CELLS = 2_000_000
-
-
-def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str | tuple[str, ...] = "vec_id",
-             vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec",
-             query_blocks: int = 1) -> DataFrame:
-    """V5/K4: exact k nearest corpus rows per query by squared L2 distance;
-    ties go to the smaller id. Returns ``qid, rank``, the id columns, ``d2``.
-
-    Distances are sums of squared differences, so they are exact for vectors
-    far from the origin too. The corpus is dealt to the shuffle's partitions
-    by its id and every partition gets the queries, sorted in front of its
-    rows; it streams the rows against them and keeps its best k per query. A
-    window (limited per query before its shuffle) merges them. No pair of
-    query and row becomes a row, nothing passes through the driver, and no job
-    runs before the result is asked for.
-
-    Each task holds the queries of a block; with ``query_blocks`` above 1 the
-    queries are dealt to that many blocks, each with a copy of the corpus.
-    Rows of one query id with different vectors are queries of their own; rows
-    without a vector are left out.
-    """
-    ids = (id_col,) if isinstance(id_col, str) else tuple(id_col)
-    spark = corpus.sparkSession
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vector = lambda c: F.col(c).cast("array<double>")
-    numbers = F.sequence(F.lit(0), F.lit(groups - 1))
-    asked = (queries.select(F.col(qid_col).alias("qid"), vector(qvec_col).alias("vec")).where("vec is not null").distinct()
-             .withColumn("block", F.pmod(F.xxhash64("qid", "vec"), F.lit(query_blocks)))
-             .withColumn("part", F.explode(numbers)))
-    rows = (corpus.select(*[F.col(c).alias(f"id{n}") for n, c in enumerate(ids)], vector(vec_col).alias("vec"))
-            .where("vec is not null")
-            .withColumn("part", F.pmod(F.xxhash64(*[f"id{n}" for n in range(len(ids))]), F.lit(groups)).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))))
-    both = asked.withColumn("row", F.lit(False)).unionByName(rows.withColumn("row", F.lit(True)), allowMissingColumns=True)
-    types = [both.schema["qid"], *[both.schema[f"id{n}"] for n in range(len(ids))]]
-    schema = T.StructType([*types, T.StructField("uid", T.LongType()), T.StructField("d2", T.DoubleType())])
-    names = [f"id{n}" for n in range(len(ids))]
-
-    def topk(batches):
-        """Groups (block, part) come one after the other, each with its queries first."""
-        group, asked, best, matrix = None, [], None, None
-
-        def result():
-            if best is not None and len(asked):
-                for (qid, uid, _), (d2, at) in zip(asked, best):
-                    yield pd.DataFrame({"qid": [qid] * len(d2), **dict(zip(names, map(list, zip(*at)) if len(at) else [[]] * len(names))),
-                                        "uid": [uid] * len(d2), "d2": d2})
-
-        for pdf in batches:
-            keys = list(zip(pdf["block"], pdf["part"]))
-            starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-            for a, b in zip(starts, starts[1:]):
-                if a == b:
-                    continue
-                if keys[a] != group:
-                    yield from result()
-                    group, asked, best, matrix = keys[a], [], None, None
-                part = pdf.iloc[a:b]
-                new = part[~part["row"].astype(bool)]
-                asked += [(q, u, np.asarray(v)) for q, u, v in zip(new["qid"], new["uid"], new["vec"])]
-                part = part[part["row"].astype(bool)]
-                if not len(part) or not asked:
-                    continue
-                if best is None:
-                    matrix = np.stack([v for *_, v in asked])
-                    best = [([], [])] * len(asked)
-                x = np.stack(part["vec"].to_numpy())
-                at = list(zip(*(part[c] for c in names)))
-                step = max(1, KNN_CELLS // max(1, matrix.size))
-                for lo in range(0, len(x), step):
-                    tile = x[lo:lo + step]
-                    d2 = ((tile[None, :, :] - matrix[:, None, :]) ** 2).sum(axis=2)
-                    for q, (near, who) in enumerate(best):
-                        mine = d2[q]
-                        if len(near) == k:
-                            cand = np.flatnonzero(mine <= near[-1])
-                        elif len(mine) > k:
-                            cand = np.flatnonzero(mine <= np.partition(mine, k - 1)[k - 1])
-                        else:
-                            cand = np.arange(len(mine))
-                        if len(cand):
-                            merged = sorted([*zip(near, who), *((float(mine[c]), at[lo + c]) for c in cand)])[:k]
-                            best[q] = ([d for d, _ in merged], [w for _, w in merged])
-        yield from result()
-
-    found = (both.withColumn("uid", F.xxhash64("vec"))
-             .repartition(groups * query_blocks, "block", "part").sortWithinPartitions("block", "part", "row")
-             .mapInPandas(topk, schema))
-    w = Window.partitionBy("qid", "uid").orderBy("d2", *names)
-    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("qid", "rank", *[F.col(n).alias(c) for n, c in zip(names, ids)], "d2"))
-
-
 def with_score(df: DataFrame, d2_col: str = "d2") -> DataFrame:
     """Similarity score for retrieval results: ``1 / (1 + d2)``."""
     return df.withColumn("score", 1.0 / (1.0 + F.col(d2_col)))
@@ -292,6 +248,11 @@ def ingest_stats(hashed: DataFrame, failures: DataFrame | None = None) -> DataFr
     the reasons of failures (``failures``: a ``reason`` per failed document).
     The status is ``FAILED`` where nothing but failures was seen."""
     per = hashed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.max("in_index").alias("in_index"))
+    return _ingest_totals(per, failures)
+
+
+def _ingest_totals(per: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """A13 from one row per content: ``n`` documents, ``in_index``."""
     agg = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ok"), F.count_if(~F.col("in_index")).alias("new"))
     failed, reasons = F.lit(0), F.array().cast("array<string>")
     if failures is not None:

@@ -41,4 +41,5 @@ def load_all() -> None:
     """Import every query module so their registrations run."""
     from claimflow.plans import (  # noqa: F401
         pii_queries, claim_queries, eval_queries, feedback_queries, kb_queries, source_queries,
+        stream_queries,
     )

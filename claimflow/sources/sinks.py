@@ -6,10 +6,12 @@ an export format only (many small files do not scale).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimflow.sources.commits import MERGE_PARTS, CommittedTable
+
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("timestamp", T.StringType()),
@@ -33,26 +35,41 @@ def latest_per_key(df: DataFrame, key_col: str = "output_key", order_cols=("proc
     return best.select(key_col, "__r.*")
 
 
-#: Folders that summaries are dealt to by their key.
-KEY_BUCKETS = 256
+def write_summaries(df: DataFrame, path: str, stream: tuple[str, int] | None = None) -> None:
+    """Add summaries to the store at ``path``, one commit of a part sorted
+    by key. ``stream`` (application, epoch) makes a replayed epoch a no-op.
+
+    The store is merged as it grows (:func:`compact_summaries`)."""
+    CommittedTable(df.sparkSession, path).append(_by_key(df), *(stream or (None, None)), level=0)
+    compact_summaries(df.sparkSession, path)
+
+
+def _by_key(df: DataFrame) -> DataFrame:
+    """Files of separate key ranges, each sorted, so that a look-up's filter leaves one row group of them."""
+    return df.repartitionByRange("output_key").sortWithinPartitions("output_key")
+
+
+def _newest(df: DataFrame) -> DataFrame:
+    """The record that counts under each key: that of the latest version of
+    the document, where the store knows its time, else the last one written."""
+    order = ("processed_at", "input_file")
+    return latest_per_key(df, order_cols=("modified", *order) if "modified" in df.columns else order)
 
 
-def key_bucket(key) -> Column:
-    """The bucket of an output key; a look-up filters by it and reads one folder."""
-    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+def compact_summaries(spark: SparkSession, path: str, parts: int = MERGE_PARTS) -> int:
+    """Merge parts of one size into one of the next, keeping one record of each key."""
+    return CommittedTable(spark, path).merge_levels(lambda rows: _by_key(_newest(rows)), parts)
 
 
-def write_summaries(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Summary table partitioned by key bucket (S5); a point look-up
-    reads one of them."""
-    out = df.withColumn("key_bucket", key_bucket("output_key"))
-    out.repartition("key_bucket").write.mode(mode).partitionBy("key_bucket").parquet(path)
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The latest summary under each key."""
+    return _newest(CommittedTable(spark, path).read())
 
 
 def read_summary(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The latest summary under one key; only its bucket is read."""
-    rows = spark.read.parquet(path).where((F.col("key_bucket") == key_bucket(F.lit(key))) & (F.col("output_key") == key))
-    return latest_per_key(rows.drop("key_bucket"))
+    """The latest summary under one key. The filter reaches the sorted
+    files of each part, so a part costs one row group."""
+    return _newest(CommittedTable(spark, path).read().where(F.col("output_key") == key))
 
 
 def write_evaluation(results: DataFrame, path: str, run_id: str) -> None:

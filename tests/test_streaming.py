@@ -4,8 +4,9 @@ import json
 import os
 
 
-from claimflow.operators import feedback, inference
+from claimflow.operators import feedback, inference, kb
 from claimflow.sources import sinks
+from claimflow.sources.commits import CommittedTable
 from claimflow.streaming import jobs
 
 
@@ -72,13 +73,13 @@ def test_kb_sync_appends_new_texts(spark, tmpdir_path):
     _write(root, "policies/auto.txt", " ".join(f"w{i}" for i in range(500)))
     _write(root, "other/x.txt", "not a policy")
     jobs.kb_sync(spark, root, index, ck, dim=16).awaitTermination()
-    rows = spark.read.parquet(index).orderBy("chunk_no").collect()
+    rows = kb.read_index(spark, index).orderBy("chunk_no").collect()
     assert [r.input_key for r in rows] == ["policies/auto.txt"] * 2
     assert rows[1].n_words == 260 and len(rows[0].vector) == 16
     _write(root, "policies/copy.txt", " ".join(f"w{i}" for i in range(500)))
     _write(root, "policies/new.txt", "a new policy")
     jobs.kb_sync(spark, root, index, ck, dim=16).awaitTermination()
-    got = sorted(r.input_key for r in spark.read.parquet(index).collect())
+    got = sorted(r.input_key for r in kb.read_index(spark, index).collect())
     assert got == ["policies/auto.txt", "policies/auto.txt", "policies/new.txt"]
 
 
@@ -97,6 +98,6 @@ def test_error_isolation_goes_to_quarantine(spark, tmpdir_path):
     q = jobs.process_on_arrival(spark, inp, out, quar, ck, "anthropic.claude-3-haiku-20240307-v1:0",
                                      client_factory=_FailOnBadClient)
     q.awaitTermination()
-    assert [r.input_file for r in spark.read.parquet(out).collect()] == ["documents/ok.txt"]
-    bad = spark.read.parquet(quar).collect()
+    assert [r.input_file for r in CommittedTable(spark, out).read().collect()] == ["documents/ok.txt"]
+    bad = CommittedTable(spark, quar).read().collect()
     assert [(r.input_key, r.error) for r in bad] == [("documents/bad.txt", "model error")]
