@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The least elements of a block of prefix sums.
+BLOCK = 32
+
+
 def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
@@ -25,12 +29,12 @@ def exclusive_prefix_sums(arr: Column) -> Column:
     """``out[i] = arr[0] + ... + arr[i-1]`` for an integer array.
 
     Spark has no array scan, and summing the slice before every element is
-    O(n^2). Here the array is cut into blocks of n^(1/3) elements: block sums
-    are carried by one ``aggregate`` and each block's own prefixes are short,
-    for O(n^(4/3)) overall at every size.
+    O(n^2). Here the array is cut into blocks of n^(1/3) elements, ``BLOCK`` at
+    least: block sums are carried by one ``aggregate`` and each block's own
+    prefixes are short, for O(n^(4/3)) overall. A short array is one block.
     """
     def blocked(a: Column) -> Column:
-        return let(F.greatest(F.lit(1), F.ceil(F.cbrt(F.size(a))).cast("int")), lambda b: let(F.transform(
+        return let(F.greatest(F.lit(BLOCK), F.ceil(F.cbrt(F.size(a))).cast("int")), lambda b: let(F.transform(
             F.sequence(F.lit(0), F.ceil(F.size(a) / b).cast("int") - 1), lambda j: F.slice(a, j * b + 1, b)), summed))
 
     def summed(blocks: Column) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimflow.sources.staging import staged
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -223,7 +225,10 @@ def report_lines(results: DataFrame, models: DataFrame) -> DataFrame:
     header counts, summary totals, the models with their ids, for each claim
     its heading, a table row per result and the example summary (or the
     claim's error), and the timing table. Sections are projections and small
-    aggregates; nothing is sorted or gathered here."""
+    aggregates over the results, which are written once and read by each;
+    nothing is sorted or gathered here."""
+    results = staged(results.select("claim_name", "model_ord", "model_id", "success", "time_seconds", "summary", "error"), "eval-results")
+
     def lines(df, section, claim, order, line):
         return df.select(F.lit(SECTIONS.index(section)).alias("section_ord"), F.lit(section).alias("section"),
                          claim.cast("string").alias("claim_name"), order.cast("int").alias("ord"), line.alias("line"))

@@ -10,7 +10,7 @@ from claimflow.plans.claim_queries import (
     POLICIES_SQL, TEMPLATES, _classify_sql, _context_sql, _policy_join_sql, _render_sql)
 from claimflow.plans.registry import query
 from claimflow.sources.parallel import spread
-from claimflow.sources.staging import shared_path
+from claimflow.sources.staging import shared_path, staged
 from claimflow.sources.tables import read_table
 
 #: Best score below which a search of the knowledge base counts as empty.
@@ -182,6 +182,8 @@ def _retrieval(spark, sf_dir, k=5):
     rounded = emb.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "vector")
     knn = kb.knn_topk(rounded, qs.select(F.col("item_id").alias("qid"), F.col("vector").alias("qvec")),
                       k=k, id_col=("doc_id", "chunk_no"), vec_col="vector")
+    # Used twice below: written, so that chunks are embedded and searched once.
+    knn = staged(knn, "kb-winners")
     # k rows per query: the text side stays where it is and is filtered.
     won = knn.select("doc_id").distinct()
     full = docs.join(won, "doc_id", "left_semi").withColumn("location", _location())

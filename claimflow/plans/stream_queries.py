@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimflow.operators import inference, kb
 from claimflow.plans.registry import query
 from claimflow.plans.source_queries import _SUMMARY_EVENTS_SQL, _extract_sql, _summary_events, _summary_sql
-from claimflow.sources import sinks, views
+from claimflow.sources import documents, sinks, views
 from claimflow.sources.commits import CommittedTable
 from claimflow.sources.staging import shared_path
 from claimflow.sources.tables import read_table
@@ -189,6 +189,22 @@ def summary_store(spark, sf_dir):
         "output_key", "input_file", F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("processed_at"))
 
 
+# ------------------------------------------------------------- S1-S3 files
+@query("document_scan", """select doc_id, case when doc_id % 50 = 3 then 'not UTF-8 text' end as reason,
+ case when doc_id % 50 <> 3 then length(coalesce(text, '')) + 1 end as n_chars,
+ case when doc_id % 50 <> 3 then md5(coalesce(text, '') || chr(10)) end as text_md5 from documents""")
+def document_scan(spark, sf_dir):
+    """Every document exported to a file of its own, every fiftieth with a byte that is no text, and all scanned again."""
+    root = shared_path(spark, "exported")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    broken = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8")).cast("string")
+    (docs.select("doc_id", F.when(F.col("doc_id") % 50 == 3, broken).otherwise(F.col("text")).alias("value"))
+     .write.partitionBy("doc_id").text(f"{root}/documents"))
+    scan = documents.scan_documents(spark, root, prefix="documents/")
+    return scan.select(F.regexp_extract("input_key", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "reason",
+                       F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 # ------------------------------------------------------------- M11 batch inference
 @query("batch_inference", f"""with p as (select role, text, case when conv_id % 2 = 0 then '{views.DEFAULT_MODELS[0]}' else '{views.DEFAULT_MODELS[1]}' end as model_id
   from conversations)

@@ -66,6 +66,34 @@ def read_documents(spark: SparkSession, root: str, glob: str = "*.txt", recursiv
     )
 
 
+def scan_documents(spark: SparkSession, root: str, glob: str = "*.txt", prefix: str | None = None) -> DataFrame:
+    """S1-S3 in one pass, readable and unreadable files together:
+    ``input_key, name, text, size, modified, reason``.
+
+    Files are listed once and dealt to tasks by their listed sizes, many small
+    ones to a task (``spark.sql.files.maxPartitionBytes``, with
+    ``openCostInBytes`` for each file), so tasks are even however the files
+    differ. A file that is no UTF-8 text has a ``reason`` and no text: rows
+    with a null reason are the documents, the others the quarantine. A missing
+    prefix has no documents, and a file of no bytes is none: Spark does not
+    list it.
+    """
+    where = f"{root.rstrip('/')}/{prefix.strip('/')}" if prefix else root
+    try:
+        r = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(where))
+    except AnalysisException as e:
+        if prefix and e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], DOCUMENT_SCHEMA + ", reason string")
+        raise
+    key = _relative_key(F.col("path"), root)
+    text = F.col("content").cast("string")
+    readable = F.is_valid_utf8(text)
+    return r.select(
+        key.alias("input_key"), F.regexp_replace(F.element_at(F.split(key, "/"), -1), r"\.txt$", "").alias("name"),
+        F.when(readable, text).alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
+        F.when(~readable, F.lit("not UTF-8 text")).alias("reason"))
+
+
 def unreadable_documents(spark: SparkSession, root: str, read: DataFrame, glob: str = "*.txt") -> DataFrame:
     """Quarantine rows (``key, reason``): objects that the listing has and ``read`` has not."""
     listed = list_objects(spark, root, glob).select("key")

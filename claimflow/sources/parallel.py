@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -14,7 +14,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     scan already has far more splits than cores and this is a no-op (no
     shuffle is added).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    return df if _has_splits(spark, df, target) else df.repartition(target)
+
+
+def _has_splits(spark: SparkSession, df: DataFrame, target: int) -> bool:
+    """Whether the scan yields ``target`` splits or more, from its files' number and sizes alone."""
+    files = df.inputFiles()
+    if not files:  # no files below: only the plan knows
+        return df.rdd.getNumPartitions() >= target
+    if len(files) >= target:
+        return True
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    conf = spark._jsc.hadoopConfiguration()
+    return sum(-(-p.getFileSystem(conf).getFileStatus(p).getLen() // split) for p in paths) >= target

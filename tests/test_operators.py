@@ -373,3 +373,34 @@ def test_spread_only_widens_small_inputs(spark):
     assert spread(small, 4).rdd.getNumPartitions() == 4
     wide = spark.range(100).repartition(6)
     assert spread(wide, 4) is wide  # enough splits: no extra shuffle
+
+
+def test_scan_deals_files_by_size_and_keeps_unreadable_ones(spark, tmpdir_path):
+    from claimflow.sources import documents
+    root = os.path.join(tmpdir_path, "landing")
+    os.makedirs(os.path.join(root, "policies/deep"))
+    for k in range(120):
+        with open(os.path.join(root, "policies", f"p{k}.txt"), "w", encoding="utf-8") as f:
+            f.write("é" * (30_000 if k % 40 == 0 else 500))
+    with open(os.path.join(root, "policies/deep/broken.txt"), "wb") as f:
+        f.write(b"abc\xff")
+    open(os.path.join(root, "policies/deep/empty.txt"), "w").close()
+    with open(os.path.join(root, "other.txt"), "w") as f:
+        f.write("not a policy")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 64_000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 100)
+        scan = documents.scan_documents(spark, root, prefix="policies/")
+        tasks = scan.groupBy(F.spark_partition_id()).agg(F.sum("size").alias("size")).collect()
+        rows = {r.input_key: r for r in scan.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 3 <= len(tasks) < 20 and max(r["size"] for r in tasks) <= 64_000
+    assert len(rows) == 121 and "other.txt" not in rows
+    broken = rows["policies/deep/broken.txt"]
+    assert (broken.text, broken.reason, broken.name) == (None, "not UTF-8 text", "broken")
+    assert "policies/deep/empty.txt" not in rows and rows["policies/p1.txt"].text == "é" * 500
+    assert [k for k, r in rows.items() if r.reason] == ["policies/deep/broken.txt"]
+    assert documents.scan_documents(spark, root, prefix="nothing/").collect() == []
