@@ -40,16 +40,24 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article aside body details div dl fieldset main menu ol section table ul".split())
 #: Elements that never hold article text.
 REMOVED = frozenset(
-    "applet aside audio button canvas dialog embed footer form frame frameset head iframe input map math menu nav "
+    "applet aside audio button canvas dialog embed footer form frame frameset head iframe input map menu nav "
     "noframes noscript object script select style svg template textarea title video".split())
-#: Names, or heads of names, in a class, id or role that mark what is not the article.
+#: Elements without text of their own to read: the source of a formula beside its signs.
+UNREAD = frozenset(("annotation", "annotation-xml"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names in a class, id or role that mark what is not the article.
 REMOVED_WORDS = frozenset(
-    "ad adbox ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline captcha "
+    "ad adbox ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs captcha "
     "complementary comment commentlist comments consent contentinfo cookie cookies copyright cta dialog disclaimer "
     "discussion disqus footer gdpr legal login menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup "
     "privacy promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
-#: Those of them that name what readers write, which may outweigh a short article.
+#: Words that may follow one of them in a name: parts and holders of such a box.
+BOX_WORDS = frozenset(
+    "area articles banner bar block body bottom box button buttons card cards container content cta dialog feed footer form header icons "
+    "inline inner item items left link links list main menu message modal nav notice outer overlay panel placeholder popup posts prompt "
+    "right row section signup slot stories thread top unit widget widgets wrap wrapper".split())
+#: Those of the removed words that name what readers write, which may outweigh a short article.
 DISCUSSION = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
 #: Words that do so outside the article only, where they name its own title part inside.
 HEADER_WORDS = frozenset("header masthead".split())
@@ -125,7 +133,7 @@ class PageLines(HTMLParser):
             holder = len(self.parent) - 1
             if tag == "body":
                 self.tops.add(holder)
-        elif removed and not up.removed:
+        elif removed and not up.removed and tag in BLOCKS:
             self.break_line(WINDOW)
         if tag in ("ul", "ol"):
             self.lists.append((len(self.stack), len(self.lines)))
@@ -173,7 +181,7 @@ class PageLines(HTMLParser):
             self.open[element.tag] -= 1
             if element.tag in BLOCKS:
                 self.break_line(1 if element.tag in CONTAINERS and not element.removed else 0)
-            if element.removed and not self.stack[at - 1].removed:
+            if element.removed and not self.stack[at - 1].removed and element.tag in BLOCKS:
                 self.break_line(WINDOW)
             if element.mark and not self.stack[at - 1].mark:
                 self.break_line()
@@ -190,7 +198,7 @@ class PageLines(HTMLParser):
 
     @staticmethod
     def is_removed(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-        if tag in REMOVED or tag == "header" and not inside:
+        if tag in REMOVED or tag in UNREAD or tag == "header" and not inside:
             return True
         for name, value in attrs:
             if name == "hidden" or (name, value) == ("aria-hidden", "true"):
@@ -201,15 +209,21 @@ class PageLines(HTMLParser):
 
     @staticmethod
     def removing_names(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str]:
-        """The removed words that are a name in a class, id or role, or the head of one as in ad-box."""
+        """The removed words that are a name in a class, id or role, alone or with words for a box, as in ad-box.
+
+        An id on a heading, or on a section of the article, is where links
+        lead; it does not say what the text is.
+        """
         if tag in ("html", "body", "main", "article"):
             return set()
-        heads: set[str] = set()
+        found: set[str] = set()
         for name, value in attrs:
-            if name in ("class", "id", "role"):
+            if name in ("class", "role") or name == "id" and not (tag in HEADINGS or inside and tag == "section"):
                 for token in (value or "").split():
-                    heads.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())[:1])
-        return heads & REMOVED_WORDS or (set() if inside else heads & HEADER_WORDS)
+                    head, *rest = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) or [""]
+                    if not set(rest) - BOX_WORDS - REMOVED_WORDS:
+                        found.add(head)
+        return found & REMOVED_WORDS or (set() if inside else found & HEADER_WORDS)
 
     def gone(self) -> list[bool]:
         """Whether each named element is removed.

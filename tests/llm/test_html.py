@@ -1,6 +1,7 @@
 import html
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -120,3 +121,22 @@ def test_hard_rows(spark):
     got = sorted((str(r.page_id), str(r.url), r.n_chars) for r in extract_pages(pages).collect())
     assert got == [("1", "u", 0), ("2", "u", 0), ("3", "None", 4), ("5", "w", 5), ("5", "w", 30_000 * 10 - 1), ("None", "v", 1)]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<article><h2 id="related-work">Related work</h2><p>Long text.</p><h2 id="search-algorithms">Search</h2><p>More text.</p></article>',
+     "Related work\nLong text.\nSearch\nMore text."),
+    ('<main><p>Opening of the text.</p><section id="social-impact"><p>Impact.</p></section><section id="privacy"><p>Law.</p></section></main>',
+     "Opening of the text.\nImpact.\nLaw."),
+    ('<article><div class="legal-framework"><p>The framework.</p></div><p>And the rest of the long article.</p></article>',
+     "The framework.\nAnd the rest of the long article."),
+    ('<article><p class="byline">By A. Writer</p><p>The text of the article.</p></article>', "By A. Writer\nThe text of the article."),
+    ('<article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2</annotation>'
+     '</semantics></math> be.</p></article>', "Let x=2 be."),
+    ('<article><p>Press <button>OK</button>and <svg><text>icon</text></svg>go on.</p></article>', "Press and go on."),
+    ('<body><ul><li><a href="a">Home</a></li><li><a href="b">News</a></li></ul><article><p>The article itself.</p></article></body>', "The article itself."),
+    ('<article><p>The text of the article.</p><div class="ad-slot-3">Buy</div><div class="shareButtons">Share</div>'
+     '<div id="related-articles">More</div><p>Its end.</p></article>', "The text of the article.\nIts end."),
+])
+def test_names_remove_boxes_and_nothing_else(html, want):
+    assert main_text(html) == want
