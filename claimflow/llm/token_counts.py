@@ -10,7 +10,8 @@ and of two commits at the same time the totals take the first by name.
 
 Scale: deltas have one row per key, summed on the map side, so a hot source
 costs no more than another; totals read the deltas only, and ``compact``
-folds them into one. Texts are read once, to count their tokens.
+folds them into one; folds at the same time count once. Texts are read once,
+to count their tokens.
 """
 
 from __future__ import annotations
@@ -85,9 +86,7 @@ class TokenRollup:
 
     def _deltas(self, commits: DataFrame) -> DataFrame:
         # One row per batch, so the list is as short as the list of batches.
-        rows = commits.collect()
-        covered = {b for r in rows for b in r.covers}
-        paths = [r.path for r in rows if r.batch_id not in covered]
+        paths = counted_paths([(r.batch_id, r.path, frozenset(r.covers)) for r in commits.collect()])
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -97,6 +96,30 @@ class TokenRollup:
         self.spark.createDataFrame([(batch_id, path, covers)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
 
+def counted_paths(commits: list[tuple[str, str, frozenset[str]]]) -> list[str]:
+    """The deltas that together count every batch once, of rows (batch id, path, ids that it covers).
+
+    A compaction stands for the ids that it covers, other compactions among
+    them. Two that ran at the same time may cover common ids without covering
+    each other: the first by path counts, and what only the other covers
+    counts by itself.
+    """
+    folds = {b: (path, covers) for b, path, covers in commits if covers}
+    taken: dict[str, tuple[str, frozenset[str]]] = {}
+    while folds:
+        # Those that no other compaction stands for, in the order of their paths.
+        inner = {b for _, covers in folds.values() for b in covers}
+        outer = sorted((path, b) for b, (path, _) in folds.items() if b not in inner)
+        for path, b in outer:
+            covers = folds.pop(b)[1]
+            if not any(covers & other for _, other in taken.values()):
+                taken[b] = path, covers
+        stood_for = {b for _, covers in taken.values() for b in covers}
+        folds = {b: f for b, f in folds.items() if b not in stood_for}
+    stood_for = {b for _, covers in taken.values() for b in covers}
+    return [path for path, _ in taken.values()] + [path for b, path, covers in commits if not covers and b not in stood_for]
+
+
 def token_counts(docs: DataFrame, tokenizers: dict[str, tuple[str, str]], id_col: str = "doc_id",
                  text_col: str = "text", keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(``id_col``, ``keep``, tokenizer, n_bytes, n_tokens) of every document under every tokenizer.
@@ -134,7 +157,9 @@ def corpus_token_totals(docs: DataFrame, labels: DataFrame, tokenizers: dict[str
     language and tokenizer with documents: n_docs and n_tokens.
 
     A document is a row; rows with one id are removed together, rows with a
-    null id never; a null source or language is a key of its own.
+    null id never; a null source or language is a key of its own; a null text
+    is a document without tokens; no documents give no rows, no labels remove
+    none; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     counted = materialise(token_counts(docs, tokenizers), "token-counts").withColumn(

@@ -79,3 +79,36 @@ def test_hard_rows(spark):
     got = {tuple(r) for r in token_counts.corpus_token_totals(docs, labels, tok).collect()}
     assert got == {("s", "en", "v", 2, 0), (None, "en", "v", 1, 1)}
     assert token_counts.corpus_token_totals(docs.limit(0), labels, tok).count() == 0
+
+
+def test_compactions_at_the_same_time_count_once(spark, tmpdir_path):
+    rollup, other = (token_counts.TokenRollup(spark, f"{tmpdir_path}/same-time") for _ in range(2))
+    change = lambda n: spark.createDataFrame([("s", "en", "t", "insert", n, None)], token_counts.CHANGES)
+    rollup.commit("a", change(20))
+    rollup.commit("b", change(5))
+    seen = spark.createDataFrame(rollup.commits().collect(), rollup.commits().schema)
+    rollup.commit("c", change(7))
+    rollup.compact()
+    other.commits = lambda: seen  # it had read the commits before the other's compaction
+    other.compact()
+    want = [("s", "en", "t", 3, 32)]
+    assert [tuple(r) for r in rollup.totals().collect()] == want
+    rollup.commit("d", change(1))
+    rollup.compact()
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "t", 4, 33)]
+    assert not rollup.commit("c", change(7))
+
+
+def test_which_deltas_count():
+    f = lambda *covers: frozenset(covers)
+    batches = [("a", "pa", f()), ("b", "pb", f()), ("c", "pc", f())]
+    assert sorted(token_counts.counted_paths(batches)) == ["pa", "pb", "pc"]
+    one, two = ("x", "p1", f("a", "b")), ("y", "p2", f("b", "c"))
+    assert sorted(token_counts.counted_paths([*batches, one, two])) == ["p1", "pc"]
+    both = ("z", "p0", f("a", "b", "c", "x", "y"))
+    assert token_counts.counted_paths([*batches, one, two, both]) == ["p0"]
+    # The outer fold loses to another; the fold inside it still stands for its own.
+    inner, outer, rival = ("x", "p3", f("a")), ("y", "p2", f("x", "a", "b")), ("w", "p1", f("b", "c"))
+    assert sorted(token_counts.counted_paths([*batches, inner, outer, rival])) == ["p1", "p3"]
+    assert token_counts.counted_paths([]) == []
