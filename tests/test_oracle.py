@@ -32,3 +32,16 @@ def test_entry_smoke(spark):
 def test_entry_lists_every_query():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_works_without_the_training_data_operators(tmpdir_path):
+    """Also where only a module that they need is missing."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for module in ("public_tokenizers", "claimflow.llm", "corpus_pipeline"):
+        code = (f"import sys; sys.modules[{module!r}] = None; sys.path.insert(0, {root!r}); import __spark_entry__ as e; "
+                "q = e.queries(); print(len(q), len(e.oracle_sql()), any(n.startswith('op') and n[2].isdigit() for n in q))")
+        out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, cwd=tmpdir_path, timeout=120)
+        assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE)), "False"], out.stderr
