@@ -3,16 +3,17 @@
 Three patterns find the usual secrets. Beyond them every long token of the
 corpus is judged by two first-order character models, of random strings and
 of ordinary identifiers: the log-likelihood ratio of its transitions tells
-which of the two made it. Both models are trained from labelled strings:
-random ones from the patterns' own matches and from hash digests, ordinary
-ones from the corpus's long tokens without digits. Only DataFrame functions
-run.
+which of the two made it. Both models are trained from a fixed labelled
+sample that Spark derives from numbers: random strings over the usual
+alphabets from digests, and identifiers in the usual styles (with digits,
+paths, dates and versions) from common words. So the verdict on a token
+depends on the token alone, not on its corpus. Only DataFrame functions run.
 
 Scale: one pass over the texts turns them into narrow rows, one per match
 (and one per document); everything after works on those. Prefix sums of the
 gaps between matches give positions, one window per document, so cost is
-linear in the matches. The models are counts of at most 66 x 66 transitions,
-summed on the map side, and are the only table that is broadcast.
+linear in the matches. The ratios are 66 x 66 numbers that every task gets
+with its plan, so judging a token takes no join.
 """
 
 from __future__ import annotations
@@ -35,10 +36,21 @@ KINDS = tuple(kind for kind, *_ in BASE) + TOKEN[:1]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Mean log-likelihood ratio of a transition, in thousandths of a nat, that makes a token random.
 MIN_RATIO = 200
-#: Transitions that a model's single-character probabilities count for.
-BACKOFF = 10
-#: Digests in the labelled sample.
-SAMPLE_DIGESTS = 2000
+#: The share of a model's single-character probabilities in those of its transitions.
+BACKOFF = 0.1
+#: Digests in the labelled sample, each written in several alphabets, and identifiers, each in several styles.
+SAMPLE_DIGESTS, SAMPLE_NAMES = 2000, 4000
+# Common words of identifiers and of four languages that the labelled identifiers are made of.
+WORDS = (
+    "get set is has max min user account name file path read write open close start stop list index count size buffer "
+    "default config option value key string number error handler request response server client host port connection time "
+    "date update create delete remove test data model view page image report item order customer address message event "
+    "cache session thread process service manager factory builder parser format version build release source target local "
+    "share lib python java script style common internal public static install package module class function method "
+    "the and with from that this which would there their international information government development "
+    "die der und nicht eine schaft keit lich heit ung ver sich wissenschaft versicherung arbeit gesellschaft "
+    "les des une est pour dans que avec tion ment eau eux aux entreprise maintenant toujours "
+    "los las una del para por con cion mente ado ido empresa siempre entonces trabajo")
 
 
 def _matches(text: Column, no: int, pattern: str, group: int) -> Column:
@@ -102,25 +114,42 @@ def mark_free(spans: DataFrame) -> DataFrame:
     )
 
 
-def labelled_samples(spans: DataFrame) -> DataFrame:
-    """(s, random): distinct strings with their labels.
+def labelled_samples(frame: DataFrame) -> DataFrame:
+    """(s, random): the labelled strings, the same in every corpus; ``frame`` names the session only.
 
-    Random: what the patterns found (the value of an assignment), and digests
-    in base 64, in hex of both cases and in base 36. Ordinary: free tokens
-    without a digit, as they stand, in capitals and in small letters.
+    Random: digests in base 64 of both kinds, base 62, hex of both cases, base
+    36 and letters alone. Ordinary: two to four of ``WORDS`` as snake, kebab
+    and camel case, as constants, paths and words run together, some with
+    numbers, versions and dates, and dates alone.
     """
+    spark = frame.sparkSession
     number = F.col("id").cast("string")
     digest = F.sha2(F.concat(F.lit("sample "), number), 256)
-    sample = spans.sparkSession.range(SAMPLE_DIGESTS).select(F.explode(F.array(
-        F.base64(F.unhex(digest)), digest, F.upper(digest),
-        F.conv(F.substring(digest, 1, 15), 16, 36))).alias("s"))
-    found = spans.where("base").select(F.col("part").alias("s"))
-    plain = spans.where("free").where(~F.col("match").rlike("[0-9]"))
-    plain = plain.select(F.explode(F.array("match", F.upper("match"), F.lower("match"))).alias("s"))
-    return (
-        sample.union(found).distinct().withColumn("random", F.lit(True))
-        .union(plain.distinct().withColumn("random", F.lit(False)))
-    )
+    based = F.base64(F.unhex(digest))
+    letters = F.translate(based, "0123456789+/=", "qRsTuVwXyZkM")
+    random = spark.range(SAMPLE_DIGESTS).select(F.explode(F.array(
+        F.translate(based, "=", ""), F.translate(based, "+/=", "-_"), F.translate(based, "+/=", "Xy"), letters, digest,
+        F.upper(digest), F.conv(F.substring(digest, 1, 15), 16, 36), F.lower(F.conv(F.substring(digest, 1, 15), 16, 36)))).alias("s"))
+
+    words = F.split(F.lit(WORDS), " ")
+
+    def draw(k: int, below) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(k)), below)
+
+    parts = F.array(*[F.element_at(words, (draw(k, F.size(words)) + 1).cast("int")) for k in range(4)])
+    parts = F.slice(parts, 1, (draw(9, F.lit(3)) + 2).cast("int"))
+    n, year = draw(10, F.lit(100)).cast("string"), (draw(11, F.lit(60)) + 1970).cast("string")
+    month, day = (F.lpad((draw(k, F.lit(top)) + 1).cast("string"), 2, "0") for k, top in ((12, 12), (13, 28)))
+    join = lambda sep: F.array_join("parts", sep)
+    camel = F.array_join(F.transform("parts", lambda w, k: F.when(k == 0, w).otherwise(F.initcap(w))), "")
+    text = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    ordinary = spark.range(SAMPLE_NAMES).withColumn("parts", parts).select(F.explode(F.array(
+        join("_"), join("-"), camel, F.initcap(camel), F.upper(join("_")), join("/"), join(""), F.initcap(join("")),
+        text("/", join("/"), n), text(join("_"), "_", n), text(join("-"), "-", n, "-", year), text(camel, n),
+        text(join("/"), "/", year, "/", month, "/", join("-")), text(year, "-", month, "-", day, "/", year, "-12-31"),
+        text(year, "/", month, "/", day, "/", join("_")), text(year, month, day, "_", join("_")), text(join("-"), "-v", n),
+        text(F.upper(join("-")), "-", n), text("/", join("/"), "/", n, "/", year))).alias("s"))
+    return random.distinct().withColumn("random", F.lit(True)).union(ordinary.distinct().withColumn("random", F.lit(False)))
 
 
 def _transitions(strings: DataFrame) -> DataFrame:
@@ -136,9 +165,9 @@ def _transitions(strings: DataFrame) -> DataFrame:
 def train(samples: DataFrame) -> DataFrame:
     """(a, b, ratio) for all pairs of the alphabet: log of P(b after a | random) / P(b after a | ordinary), in thousandths.
 
-    A pair's probability leans on that of its second character by the weight
-    ``BACKOFF``, and that on the uniform one, so unseen pairs of a model tell
-    as much as its characters do. Without samples every ratio is 0.
+    A pair's probability has a share ``BACKOFF`` of that of its second
+    character, so unseen pairs of a model tell as much as its characters do.
+    Without samples every ratio is 0.
     """
     letters = F.array(*[F.lit(c) for c in ALPHABET])
     grid = samples.sparkSession.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b"))
@@ -149,16 +178,34 @@ def train(samples: DataFrame) -> DataFrame:
 
     def chance(c: str) -> Column:
         single = (F.sum(c).over(after) + 0.5) / (F.sum(c).over(every) + 0.5 * len(ALPHABET))
-        return (F.col(c) + BACKOFF * single) / (F.sum(c).over(before) + BACKOFF)
+        pair = F.col(c) / F.greatest(F.sum(c).over(before), F.lit(1))
+        return (1 - BACKOFF) * pair + BACKOFF * single
 
     return full.select("a", "b", F.round(1000 * F.log(chance("r") / chance("o"))).cast("long").alias("ratio"))
 
 
+def is_random(token: Column, model: DataFrame, min_ratio: int = MIN_RATIO) -> Column:
+    """Whether the mean log-likelihood ratio of a string's transitions reaches ``min_ratio``.
+
+    The model's 66 x 66 numbers become part of the plan. Characters beyond the
+    alphabet, and strings without two neighbours in it, say nothing.
+    """
+    size = len(ALPHABET)
+    ratios = [0] * (size * size)
+    for r in model.collect():  # always size * size rows
+        ratios[ALPHABET.index(r.a) * size + ALPHABET.index(r.b)] = r.ratio
+    table = F.split(F.lit(" ".join(map(str, ratios))), " ").cast("array<long>")
+    # Places in the alphabet, from 1; 0 is none.
+    places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = F.filter(F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places)),
+                                lambda a, b: F.when((a > 0) & (b > 0), (a - 1) * size + b)), lambda p: p.isNotNull())
+    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, p: acc + F.element_at(table, p))
+    return F.coalesce((F.size(pairs) > 0) & (total >= min_ratio * F.size(pairs)), F.lit(False))
+
+
 def random_strings(strings: DataFrame, model: DataFrame, min_ratio: int = MIN_RATIO) -> DataFrame:
-    """The distinct strings (column s) whose mean log-likelihood ratio reaches ``min_ratio``."""
-    scored = _transitions(strings.distinct()).join(F.broadcast(model), ["a", "b"])  # 66 x 66 rows at most
-    return scored.groupBy("s").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n")).where(
-        F.col("total") >= min_ratio * F.col("n")).select("s")
+    """The distinct strings (column s) that are random by :func:`is_random`."""
+    return strings.distinct().where(is_random(F.col("s"), model, min_ratio))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: int = MIN_RATIO) -> DataFrame:
@@ -175,14 +222,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ignored, whatever their names.
     """
     spans = materialise(mark_free(find_spans(docs, id_col, text_col)), "secret-spans")
-    model = materialise(train(labelled_samples(spans)), "secret-model")
-    found = random_strings(spans.where("free").select(F.col("match").alias("s")), model, min_ratio)
-    # Only free tokens are joined; all other rows go round the join.
-    random = spans.where("free").join(found.withColumnRenamed("s", "match"), "match", "left_semi")
-    judged = spans.where("not free").withColumn("random", F.lit(False)).unionByName(random.withColumn("random", F.lit(True)))
-    # A document whose only rows are free tokens that are not random keeps its row.
-    judged = judged.unionByName(spans.where("free").select("row", "id").distinct().withColumn("random", F.lit(False)),
-                                allowMissingColumns=True)
+    model = train(labelled_samples(docs))
+    judged = spans.withColumn("random", F.when(F.col("free"), is_random(F.col("match"), model, min_ratio)).otherwise(F.lit(False)))
     take = F.coalesce(F.col("base"), F.lit(False)) | F.col("random")
     return judged.groupBy("row", "id").agg(F.sort_array(F.collect_list(
         F.when(take, F.struct("start", "kind", "end")))).alias("spans")).select(F.col("id").alias(id_col), "spans")
