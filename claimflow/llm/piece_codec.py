@@ -97,7 +97,7 @@ class PieceCodec:
             return list(map(len, self.model.encode(texts, num_threads=1)))
         split = [self.chunks(t) for t in texts]
         distinct = set(chain.from_iterable(split))
-        new = distinct - self.lengths.keys()
+        new = distinct.difference(self.lengths)
         if len(self.lengths) + len(new) > self.max_chunks:
             self.lengths, new = {}, distinct
         listed = list(new)
@@ -113,7 +113,7 @@ class PieceCodec:
             return
         split = [self.chunks(t) for t in texts]
         distinct = set(chain.from_iterable(split))
-        new = distinct - self.ids.keys()
+        new = distinct.difference(self.ids)
         if len(self.ids) + len(new) > self.max_chunks:
             self.ids, self.decimal, new = {}, {}, distinct
         self.learn(list(new))
