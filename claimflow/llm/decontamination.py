@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimflow.llm.common import materialise
+from claimflow.llm.common import free_name, materialise
 
 SPAN = 12
 #: Token positions of a window that each mask keeps; chosen by a search for the
@@ -140,8 +140,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id has no overlap with the benchmark, with all their columns."""
-    bad = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    name = free_name(docs, "__bad")
+    bad = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def _sql() -> str:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimflow.llm.common import ASCII_SPACE, ascii_lower, materialise
+from claimflow.llm.common import ASCII_SPACE, ascii_lower, free_name, materialise
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -54,23 +54,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Written, so that its size is known: it is broadcast where it is small, and
     # else both sides of the join are shuffled for it and a hot hash is split.
     frequent = materialise(frequent, "line-dedup-frequent")
+    body = docs.drop(out_col)
+    whose, version, gone = (free_name(body, c) for c in ("__id", "__version", "__dropped"))
     dropped = (
         keys.join(frequent, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("id").alias("__id"), F.col("version").alias("__version"))
-        .agg(F.collect_set("pos").alias("__dropped"))
+        .groupBy(F.col("id").alias(whose), F.col("version").alias(version))
+        .agg(F.collect_set("pos").alias(gone))
     )
-    body = docs.drop(out_col)
     joined = body.join(
-        dropped, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left")
+        dropped, F.col(id_col).eqNullSafe(F.col(whose)) & (F.xxhash64(text) == F.col(version)), "left")
     parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
-    kept = F.when(F.col("__dropped").isNull(), text).otherwise(
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(
         F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n"))
-    n_dropped = F.coalesce(F.size("__dropped"), F.lit(0))
+    n_dropped = F.coalesce(F.size(gone), F.lit(0))
     return joined.select(
         *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in body.columns],
         F.struct(F.size(parts).cast("long").alias("n_lines"),
-                 F.when(F.col("__dropped").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"),
+                 F.when(F.col(gone).isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"),
                  ).alias(out_col),
     )
 

@@ -144,7 +144,8 @@ def piece_digest(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     """``id_col``, n_tokens, ids_sha256 and decoded_sha256 of every row (contract of op7).
 
     A null text is encoded as the empty one, whose only id is the end id; rows
-    with one id or null ids each get a row; other columns are ignored.
+    with one id or null ids each get a row; an empty table gives an empty one;
+    other columns, of any name, are ignored.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -188,7 +189,11 @@ def piece_encode(docs: DataFrame, model_file: str, text_col: str = "text", out_c
 
 
 def piece_decode(rows: DataFrame, model_file: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of ``ids_col`` in ``out_col``; null ids give null."""
+    """``rows`` with the text of ``ids_col`` in ``out_col``; null ids give null, no ids ''.
+
+    An input column named ``out_col`` is replaced; all others pass through; an
+    empty table gives an empty one.
+    """
     body = rows.drop(out_col)
     schema = T.StructType([*body.schema.fields, T.StructField(out_col, T.StringType())])
 

@@ -170,7 +170,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules: list[Rule] |
     """The rows of ``docs`` that no rule rejects, with all their columns.
 
     A null text is judged as an empty one, which ``few_words`` rejects.
-    Repeated rows are judged alike; an empty table stays empty.
+    Repeated rows are judged alike; an empty table stays empty; nothing is
+    read or named but the text, so other columns may have any name.
     """
     rules = RULES if rules is None else rules
 
@@ -193,7 +194,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Lines count as equal when all their code points are; a null text is an
     empty one (all counts zero, rejected for its few words); a null id stays
-    null; repeated rows each get a row.
+    null; repeated rows each get a row; an empty table gives an empty one;
+    other columns, of any name, are ignored.
     """
     rules = RULES if rules is None else rules
     kind = docs.schema[id_col].dataType

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimflow.llm.common import LOWER, UPPER, materialise
+from claimflow.llm.common import LOWER, UPPER, free_name, materialise
 from claimflow.llm.components import components
 
 #: Words of a shingle and the most differing bits of a link (contract).
@@ -251,8 +251,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id.
     """
     found = simhash_components(docs, id_col, text_col, shingle, max_bits)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

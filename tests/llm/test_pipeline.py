@@ -79,3 +79,32 @@ def test_stages_return_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF_SMALL).columns == docs.columns, name
         assert stage(spark, docs.limit(0), SF_SMALL).count() == 0, name
+
+
+CLASHES = ("token_ids", "n_tokens", "decoded_sha256", "id", "version", "fp", "words", "pos", "item", "__id", "__version",
+           "__dropped", "__gone", "__bad", "__decoded", "__line_dedup", "component_id", "line", "key", "seed")
+
+
+def test_hard_rows_and_clashing_columns(spark, tmpdir_path):
+    """Null and empty texts, null and repeated ids, repeated rows, nulls in every column, and columns with the stages' own names."""
+    base = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    clean = corpus_pipeline.run(spark, SF_SMALL).select("doc_id").limit(12)
+    good = base.join(clean, "doc_id", "left_semi").select(base.columns)
+    none = base.limit(3).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"),
+                                *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns[2:]])
+    empty = base.limit(1).withColumn("doc_id", F.lit(-2).cast("long")).withColumn("text", F.lit(""))
+    lost = good.limit(2).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = good.unionByName(good.limit(4)).unionByName(none).unionByName(empty).unionByName(lost)
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    for part, path in ((docs, "documents"), (spark.read.parquet(f"{SF_SMALL}/benchmark.parquet"), "benchmark")):
+        part.write.parquet(f"{tmpdir_path}/{path}.parquet")
+    out = corpus_pipeline.run(spark, tmpdir_path)
+    rows = out.collect()
+    assert {-1, -2}.isdisjoint({r.doc_id for r in rows})  # without words the quality rules reject them
+    kept = [r.doc_id for r in rows if r.doc_id is not None]
+    assert set(kept) <= {r.doc_id for r in good.collect()} and len(kept) >= len(set(kept)) > 4
+    assert all(isinstance(r.token_ids, list) and r.n_tokens == len(r.token_ids) and len(r.decoded_sha256) == 64 for r in rows)
+    own = [c for c in CLASHES if c not in ("token_ids", "n_tokens", "decoded_sha256")]
+    assert all(r[c] == f"own {c}" for r in rows for c in own)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmpdir_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, tmpdir_path).count() == 0
