@@ -9,7 +9,8 @@ Format (all integers little-endian), below one folder:
     One row per document: its key (id, occurrence: 0 for the first row of an
     id), its hashes, shard, offset (in ids) and n_tokens.
 ``shards/*.parquet``
-    One row per shard: its file and ``first``, the ids in all shards before it.
+    One row per shard: its file, the ``width`` of an id in bytes, and ``first``,
+    the ids in all shards before it.
 ``index/part-*.bin`` and ``buckets/*.parquet``
     A minimal perfect hash for each bucket of about ``BUCKET_KEYS`` keys, and
     the file and position of each bucket. A bucket is ``n`` and ``m`` (32 bit),
@@ -28,6 +29,8 @@ lost executor leaves at most an unnamed file.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -43,7 +46,7 @@ from pyspark.sql import types as T
 from claimflow.llm.common import shared_dir
 from claimflow.llm.piece_codec import steps
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 1_000_000
 #: Marks that may stand behind a word.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BUCKET_KEYS = 1000
@@ -129,7 +132,7 @@ class ByteBpe:
             return
         split = [t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for t in texts]
         distinct = set(chain.from_iterable(split))
-        new = distinct - self.table.keys()
+        new = distinct.difference(self.table)  # asks the table for each chunk; a view of its keys would be gone through whole
         if len(self.table) + len(new) > self.max_chunks:
             self.table, self.tokens, new = {}, {}, distinct
         self.learn(new)
@@ -148,6 +151,17 @@ class ByteBpe:
         return [len(ids) // self.dtype.itemsize for ids in self.encode(texts)]
 
 
+def worker_table(path: str) -> ByteBpe:
+    """The table of this Python worker. Spark reuses workers, so what one task
+    has encoded serves the next ones; the table is bounded, and starts anew for
+    another tokenizer. It stands in a module of its own because this one comes
+    with each task."""
+    state = sys.modules.setdefault("_claimflow_worker", types.ModuleType("_claimflow_worker")).__dict__
+    if state.get("byte_bpe_path") != path:
+        state["byte_bpe"], state["byte_bpe_path"] = ByteBpe(path), path
+    return state["byte_bpe"]
+
+
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -184,7 +198,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
     ranged = ranged.sortWithinPartitions("key", F.xxhash64("text"))
     schema = T.StructType([T.StructField("key", kind), T.StructField("occurrence", T.IntegerType()),
                            T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()),
-                           T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.IntegerType())])
+                           T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
+                           T.StructField("width", T.IntegerType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -195,7 +210,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
             at = 0
             for texts in steps(batch.column(1).to_pylist()):
                 if out is None:
-                    bpe = ByteBpe(tokenizer_file)
+                    bpe = worker_table(tokenizer_file)
                     end = np.array([end_id], bpe.dtype).tobytes()
                     system, where = _open(file)
                     system.create_dir(where.rpartition("/")[0])
@@ -214,7 +229,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
                 m = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(order, pa.int32()), pa.array([shard] * m, pa.int32()), pa.array([file] * m),
-                     pa.array(offsets, pa.int64()), pa.array(counts, pa.int32())], schema.names)
+                     pa.array(offsets, pa.int64()), pa.array(counts, pa.int32()), pa.array([bpe.dtype.itemsize] * m, pa.int32())],
+                    schema.names)
         if out is not None:
             out.close()
 
@@ -223,8 +239,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, id_col: str =
     keys = spark.read.parquet(f"{path}/keys")
     # One row per shard, so one small window.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = keys.groupBy("shard", "file").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
-    totals.select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).write.parquet(f"{path}/shards")
+    totals = keys.groupBy("shard", "file", "width").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
+    totals.select("shard", "file", "width", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).write.parquet(f"{path}/shards")
     _write_index(keys, path)
 
 
@@ -383,31 +399,28 @@ def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(look, schema)
 
 
-def read_documents(spark: SparkSession, path: str, keys: DataFrame, wide: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """(key, occurrence, start, n_tokens, ids_crc32) of ``keys``, by keyed access to the shards.
 
     ``start`` counts the ids of all documents before; the checksum is taken
     over the ids read back, as unsigned 32-bit little-endian integers.
-    ``wide``: the shards hold 32-bit ids.
     """
     shards = spark.read.parquet(f"{path}/shards")
     found = locate(spark, path, keys).join(shards, "shard")
     schema = T.StructType([*[found.schema[c] for c in ("key", "occurrence")], T.StructField("start", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    kind = "<u4" if wide else "<u2"
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, size = {}, np.dtype(kind).itemsize
+        opened = {}
         for batch in batches:
             sums = []
-            for file, offset, n in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "n_tokens"))):
+            for file, offset, n, size in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "n_tokens", "width"))):
                 if file not in opened:
                     for f in opened.values():
                         f.close()
                     opened.clear()
                     system, where = _open(file)
                     opened[file] = system.open_input_file(where)
-                ids = np.frombuffer(opened[file].read_at(n * size, offset * size), kind)
+                ids = np.frombuffer(opened[file].read_at(n * size, offset * size), f"<u{size}")
                 sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
             start = np.array(batch.column("first")) + np.array(batch.column("offset"))
             yield pa.RecordBatch.from_arrays(

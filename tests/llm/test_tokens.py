@@ -106,3 +106,32 @@ def test_perfect_hash_is_a_bijection(n):
     pilots, slots = token_shards.perfect_hash(h1, h2)
     assert sorted(slots.tolist()) == list(range(n))
     assert (token_shards._places(h1, h2, pilots[token_shards._groups(h1, len(pilots))], n) == slots).all()
+
+
+def test_wide_ids_are_written_and_read_as_such(spark, tmpdir_path):
+    """A vocabulary above 65,536: the shards say how wide their ids are."""
+    import json
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]["vocab"]
+    words = sorted(model, key=model.get)[-200:]
+    free = 70_000
+    for k in range(free - len(model)):
+        model[f"Āunused{k}"] = len(model)
+    # The words in use get the highest ids, the others the rest in their order.
+    others = sorted(set(model) - set(words), key=model.get)
+    model.update({w: k for k, w in enumerate([*others, *words])})
+    path = f"{tmpdir_path}/wide.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    lib = Tokenizer.from_file(path)
+    assert lib.get_vocab_size() > 1 << 16
+    texts = [(k, w.replace("Ġ", " ")) for k, w in enumerate(words) if w.replace("Ġ", " ").isascii()] + [(900, "plain words and more"), (901, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in token_shards.token_shard_digest(docs, path).collect()}
+    want, wide = {}, 0
+    for i, t in texts:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        wide += max(ids) > 0xFFFF
+        want[i] = zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert got == want and wide > 10
