@@ -198,29 +198,27 @@ def context_snippet(text: Column, start: Column, end: Column, chars: int = CONTE
 
 def detect_document(df: DataFrame, text_col: str = "text", types=None,
                     registry: PiiRegistry = DEFAULT_REGISTRY, with_spans: bool = True,
-                    prefix: str = "") -> DataFrame:
+                    prefix: str = "", with_context: bool = True) -> DataFrame:
     """Detect-only audit (``detect_only``): each rule on the original text.
 
     Adds ``{prefix}detections`` (``array<struct<type, description, found,
-    start, end, context>>``), ``{prefix}n_<type>``, ``{prefix}total_detections``,
+    start, end, context>>``; null contexts without ``with_context``), ``{prefix}n_<type>``, ``{prefix}total_detections``,
     ``{prefix}by_type`` and ``{prefix}has_sensitive_data``.
     """
     rules = registry.select(types)
     text = F.col(text_col)
     cur = df
-    counts, det_parts, tmp = [], [], []
+    counts, tmp = [], []
     for s, rule in enumerate(rules):
         pcol = f"__dparts{s}"
         cur = cur.withColumn(pcol, match_parts(text, rule))
         tmp.append(pcol)
         counts.append(_n_matches(F.col(pcol)))
-        if with_spans:
-            det_parts.append(_audit_detections(text, F.col(pcol), rule))
     total = sum(counts[1:], counts[0]) if counts else F.lit(0)
     out = cur
     if with_spans:
-        out = out.withColumn(prefix + "detections",
-                             F.concat(*det_parts) if det_parts else F.array().cast(_DET_AUDIT_TYPE))
+        out = out.withColumn(prefix + "detections", _audit_detections(text, [F.col(c) for c in tmp], rules, with_context)
+                             if rules else F.array().cast(_DET_AUDIT_TYPE))
     seen = set()
     for rule, c in zip(rules, counts):
         name = prefix + "n_" + rule.name
@@ -232,20 +230,26 @@ def detect_document(df: DataFrame, text_col: str = "text", types=None,
     return out.drop(*tmp)
 
 
-def _audit_detections(text: Column, parts: Column, rule: PiiRule) -> Column:
-    # The text length is bound once per document (see kb.let), not per detection.
-    def build(matches_and_len):
-        n = matches_and_len["n"]
-        return F.transform(matches_and_len["ms"], lambda z: F.struct(
-            F.lit(rule.name).alias("type"),
-            F.lit(rule.description).alias("description"),
-            z["m"].alias("found"),
-            z["start"].alias("start"),
-            (z["start"] + F.length(z["m"])).alias("end"),
-            context_snippet(text, z["start"], z["start"] + F.length(z["m"]), text_length=n).alias("context"),
-        ))
-    ms = _matches_with_starts(parts)
-    return F.transform(F.array(F.struct(ms.alias("ms"), F.length(text).alias("n"))), build)[0]
+def _audit_detections(text: Column, parts: Sequence[Column], rules: Sequence[PiiRule], with_context: bool) -> Column:
+    """The detections of all rules, in their order.
+
+    The rules' parts become one array, so the plan holds the expression for
+    spans once and not for each rule; that is most of what planning costs.
+    """
+    found = F.array(*[F.struct(F.lit(r.name).alias("type"), F.lit(r.description).alias("description"), p.alias("parts"))
+                      for r, p in zip(rules, parts)])
+
+    def listed(n: Column) -> Column:
+        def detection(rule: Column, z: Column) -> Column:
+            end = z["start"] + F.length(z["m"])
+            context = context_snippet(text, z["start"], end, text_length=n) if with_context else F.lit(None).cast("string")
+            return F.struct(rule["type"].alias("type"), rule["description"].alias("description"), z["m"].alias("found"),
+                            z["start"].alias("start"), end.alias("end"), context.alias("context"))
+        return F.flatten(F.transform(found, lambda rule: F.transform(
+            _matches_with_starts(rule["parts"]), lambda z: detection(rule, z))))
+
+    # The text's length is bound once per document, not per detection.
+    return let(F.length(text), listed) if with_context else listed(F.lit(0))
 
 
 # ------------------------------------------------------------ corpus level
