@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimflow.functions.arrays import let
+
 # Keyword groups tested in this order on the lower-cased text
 # (substring tests, first group with a hit wins), and the default type.
 CLAIM_TYPE_KEYWORDS = (
@@ -49,12 +51,13 @@ KB_SOURCE = "bedrock_kb"
 
 def classify_claim(text) -> Column:
     """Claim type from lower-cased substring keyword tests."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    expr = None
-    for ctype, words in CLAIM_TYPE_KEYWORDS:
-        cond = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-        expr = F.when(cond, F.lit(ctype)) if expr is None else expr.when(cond, F.lit(ctype))
-    return expr.otherwise(F.lit(DEFAULT_CLAIM_TYPE))
+    def typed(low):
+        expr = F
+        for ctype, words in CLAIM_TYPE_KEYWORDS:
+            expr = expr.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), F.lit(ctype))
+        return expr.otherwise(F.lit(DEFAULT_CLAIM_TYPE))
+
+    return let(F.lower(F.col(text) if isinstance(text, str) else text), typed)
 
 
 def policy_table(spark: SparkSession) -> DataFrame:
@@ -116,25 +119,25 @@ def validate_completeness(df: DataFrame, extracted_col: str, required_col: str =
     whitespace-separated keywords is a substring of the lower-cased extracted
     text. Lists keep policy order; score = present / required (1.0 when none
     are required); complete = nothing missing."""
-    low_col = "__low_extracted"
-    cur = df.withColumn(low_col, F.lower(F.col(extracted_col)))
-    low = F.col(low_col)
     req = F.col(required_col)
 
-    def hit(f):
-        return F.exists(_keywords(f), lambda k: low.contains(k))
+    def where_hit(wanted: bool) -> Column:
+        def fields(low):
+            def hit(f):
+                return F.exists(_keywords(f), lambda k: low.contains(k))
+            return F.filter(req, hit if wanted else lambda f: ~hit(f))
+        return let(F.lower(F.col(extracted_col)), fields)
 
-    present = F.filter(req, hit)
-    missing = F.filter(req, lambda f: ~hit(f))
+    cur = df.withColumns({"__present": where_hit(True), "__missing": where_hit(False)})
     n_req = F.size(req)
-    score = F.when(n_req == 0, F.lit(1.0)).otherwise(F.size(present) / n_req)
+    score = F.when(n_req == 0, F.lit(1.0)).otherwise(F.size("__present") / n_req)
     return cur.withColumn(out_col, F.struct(
-        (F.size(missing) == 0).alias("is_complete"),
-        present.alias("present_fields"),
-        missing.alias("missing_fields"),
+        (F.size("__missing") == 0).alias("is_complete"),
+        F.col("__present").alias("present_fields"),
+        F.col("__missing").alias("missing_fields"),
         score.cast("double").alias("completeness_score"),
         F.lit("fallback").alias("source"),
-    )).drop(low_col)
+    )).drop("__present", "__missing")
 
 
 def kb_validation(df: DataFrame, results_col: str = "kb_results", out_col: str = "validation") -> DataFrame:

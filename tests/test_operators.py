@@ -404,3 +404,15 @@ def test_scan_deals_files_by_size_and_keeps_unreadable_ones(spark, tmpdir_path):
     assert "policies/deep/empty.txt" not in rows and rows["policies/p1.txt"].text == "é" * 500
     assert [k for k, r in rows.items() if r.reason] == ["policies/deep/broken.txt"]
     assert documents.scan_documents(spark, root, prefix="nothing/").collect() == []
+
+
+def test_completeness_of_null_and_complete_claims(spark):
+    df = spark.createDataFrame([(1, "Police WITNESS other", ["Police report", "Witness"]), (2, None, ["Police report"]),
+                                (3, "police", []), (4, "x", None), (5, "report", ["Police report", "Witness"])],
+                               "k int, e string, policy_required_info array<string>")
+    got = {r.k: r.validation for r in policy.validate_completeness(df, "e").collect()}
+    assert (got[1].present_fields, got[1].missing_fields, got[1].is_complete) == (["Police report", "Witness"], [], True)
+    assert (got[2].present_fields, got[2].missing_fields, got[2].completeness_score) == ([], [], 0.0)
+    assert (got[3].is_complete, got[3].completeness_score) == (True, 1.0)
+    assert got[4].present_fields is None and got[4].missing_fields is None
+    assert (got[5].present_fields, got[5].missing_fields, got[5].completeness_score) == (["Police report"], ["Witness"], 0.5)

@@ -48,3 +48,10 @@ def test_no_text_crosses_a_shuffle(spark, name):
 def test_quick_mask_runs_each_rule_once(spark):
     plan = QUERIES["pii_quick_mask"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 8
+
+
+def test_missing_fields_are_extracted_once(spark):
+    """No filter below the generator repeats the extraction, and a claim's text is made lower case once for all words."""
+    plan = QUERIES["missing_field_counts"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 5
+    assert plan.count("lower(claim_text") == 1
