@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import queue
-import re
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -21,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimflow.operators.extract import CLAIM_FIELDS
+from claimflow.operators.prompts import BUILTIN_TEMPLATES, DEFAULT_TEMPLATES
 from claimflow.sources.staging import staged
 
 MAX_TOKENS = 1000
@@ -62,11 +63,12 @@ def response_text(model_id, body) -> Column:
     get = lambda path: F.get_json_object(b, path)
     nova, openai, default = "$.output.message.content[0]", "$.choices[0]", "$.content[0]"
     other = F.coalesce(get("$.completion"), F.lit(""))
+    # The message itself is looked for only where it gives no text.
     return (F.when(m.startswith("amazon.nova"),
-                   F.when(get(nova).isNotNull(), F.coalesce(get(nova + ".text"), F.lit(""))).otherwise(other))
+                   F.coalesce(get(nova + ".text"), F.when(get(nova).isNotNull(), F.lit("")).otherwise(other)))
              .when(m.startswith("openai.gpt-oss"),
-                   F.when(get(openai).isNotNull(), F.coalesce(get(openai + ".message.content"), F.lit(""))).otherwise(other))
-             .otherwise(F.when(get(default).isNotNull(), get(default + ".text")).otherwise(other)))
+                   F.coalesce(get(openai + ".message.content"), F.when(get(openai).isNotNull(), F.lit("")).otherwise(other)))
+             .otherwise(F.coalesce(get(default + ".text"), F.when(get(default).isNull(), other))))
 
 
 def response_body(model_id, text) -> Column:
@@ -82,6 +84,21 @@ def response_body(model_id, text) -> Column:
              .otherwise(default))
 
 
+#: What stands before and after the document or the fields in the prompts of the chain.
+_AROUND = tuple((name, *dict(BUILTIN_TEMPLATES)[name].split(slot))
+                for name, slot in (("extract_info", "{document_text}"), ("generate_summary", "{extracted_info}")))
+
+
+def _labelled(text: str, label: str) -> str:
+    """Rest of the line after the first ``label: ``; empty without one."""
+    at = text.find(label + ": ")
+    if at < 0:
+        return ""
+    at += len(label) + 2
+    end = text.find("\n", at)
+    return text[at:] if end < 0 else text[at:end]
+
+
 class OfflineClient:
     """Deterministic stand-in for a hosted model, so jobs run without a network.
 
@@ -93,21 +110,16 @@ class OfflineClient:
 
     def invoke(self, model_id: str, body: str) -> str:
         content = json.loads(body)["messages"][0]["content"]
-        text = self.answer(content if isinstance(content, str) else content[0]["text"])
+        text = json.dumps(self.answer(content if isinstance(content, str) else content[0]["text"]))
         if model_id.startswith("amazon.nova"):
-            reply = {"output": {"message": {"content": [{"text": text}]}}}
-        elif model_id.startswith("openai.gpt-oss"):
-            reply = {"choices": [{"message": {"content": text}}]}
-        else:
-            reply = {"content": [{"type": "text", "text": text}]}
-        return json.dumps(reply)
+            return '{"output": {"message": {"content": [{"text": ' + text + "}]}}}"
+        if model_id.startswith("openai.gpt-oss"):
+            return '{"choices": [{"message": {"content": ' + text + "}}]}"
+        return '{"content": [{"type": "text", "text": ' + text + "}]}"
 
     @staticmethod
     def answer(prompt: str) -> str:
-        from claimflow.operators.extract import CLAIM_FIELDS
-        from claimflow.operators.prompts import DEFAULT_TEMPLATES
-        for name, slot in (("extract_info", "{document_text}"), ("generate_summary", "{extracted_info}")):
-            before, after = DEFAULT_TEMPLATES.get(name).split(slot)
+        for name, before, after in _AROUND:
             # Context may stand before the prompt.
             if before in prompt and prompt.endswith(after):
                 value = prompt[prompt.index(before) + len(before):len(prompt) - len(after)]
@@ -115,15 +127,18 @@ class OfflineClient:
         else:
             return prompt
         if name == "extract_info":
-            found = {f: re.search(f"{f}: ([^\n]*)", value) for f in CLAIM_FIELDS}
-            return json.dumps({f: m[1] if m else "" for f, m in found.items()}, ensure_ascii=False, separators=(",", ":"))
+            quoted = json.encoder.encode_basestring
+            return "{" + ",".join([f'"{f}":{quoted(_labelled(value, f))}' for f in CLAIM_FIELDS]) + "}"
         try:
-            who, policy, date, amount, what = (json.loads(value)[f] for f in CLAIM_FIELDS)
+            fields = json.loads(value)
+            who, policy, date, amount, what = [fields[f] for f in CLAIM_FIELDS]
         except (ValueError, KeyError, TypeError):
             return value
         return f"Claim by {who} under policy {policy} for {amount}, incident on {date}: {what}"
 
 
+#: Rows whose requests and replies a task holds at a time.
+STEP_ROWS = 512
 #: The longest wait between two attempts of a call, in seconds.
 MAX_WAIT = 30.0
 
@@ -172,14 +187,14 @@ def call_concurrently(calls: list[Callable[[], tuple]], concurrency: int, timeou
             results[k] = result
 
 
-def run_model(df: DataFrame, model_col: str, prompt_col: str, client_factory: Callable[[], object] = OfflineClient,
+def run_model(df: DataFrame, model_col: str, prompt_col: str | Column, client_factory: Callable[[], object] = OfflineClient,
               temperature: float = 0.0, retries: int = 2, out_prefix: str = "", concurrency: int = 1,
               timeout: float | None = None, backoff: float = 0.5, once: bool = False) -> DataFrame:
     """Call a model for every row. Adds ``text, success, error,
     time_seconds`` (of the call, its waits included). A reply that is no JSON
     object, or holds no text where its layout has one, is a failure with an
     error, like an exception of the client; a null model or prompt is one
-    without a call.
+    without a call. A prompt given as an expression is sent and not kept.
 
     A task has one client and up to ``concurrency`` calls at a time (the
     client has to allow that); each call is tried ``1 + retries`` times with a
@@ -193,8 +208,9 @@ def run_model(df: DataFrame, model_col: str, prompt_col: str, client_factory: Ca
     paid for, and joined back. Adds ``request_id``, equal for rows that share
     a call.
     """
-    row = df.withColumn("__req", F.when(F.col(prompt_col).isNotNull(), request_body(model_col, prompt_col, temperature)))
-    row = row.withColumn("__model", F.col(model_col))
+    row = df.withColumn("__prompt", _c(prompt_col))
+    row = row.withColumn("__req", F.when(F.col("__prompt").isNotNull(), request_body(model_col, "__prompt", temperature)))
+    row = row.withColumn("__model", F.col(model_col)).drop("__prompt")
     limits = {"retries": retries, "concurrency": concurrency, "timeout": timeout, "backoff": backoff}
     if once:
         # Two hashes of which one covers the length of the model's name: equal only for equal requests.
@@ -203,26 +219,28 @@ def run_model(df: DataFrame, model_col: str, prompt_col: str, client_factory: Ca
             F.coalesce("__req", F.lit(""))), 256))
         asked = row.groupBy(F.col(out_prefix + "request_id").alias("__key")).agg(
             F.any_value("__model").alias("__model"), F.any_value("__req").alias("__req"))
-        replies = staged(_called(asked, client_factory, limits).drop("__model", "__req"), "model-replies")
-        res = row.join(replies, F.col(out_prefix + "request_id") == F.col("__key")).drop("__key")
+        replies = staged(_called(asked, client_factory, limits), "model-replies")
+        res = row.drop("__model", "__req").join(replies, F.col(out_prefix + "request_id") == F.col("__key")).drop("__key")
     else:
         res = _called(row, client_factory, limits)
-    parsed = F.json_object_keys("__resp").isNotNull()
-    res = res.withColumn("__text", F.when(parsed, response_text(model_col, "__resp")))
-    error = (F.when(F.col("__resp").isNull(), F.col("__err")).when(~parsed, F.lit("response is not a JSON object"))
+    res = res.withColumn("__parsed", F.json_object_keys("__resp").isNotNull())
+    res = res.withColumn("__text", F.when(F.col("__parsed"), response_text(model_col, "__resp")))
+    error = (F.when(F.col("__resp").isNull(), F.col("__err")).when(~F.col("__parsed"), F.lit("response is not a JSON object"))
               .when(F.col("__text").isNull(), F.lit("response has no text")))
     return (res.withColumn("__err", error).withColumn("__ok", F.col("__text").isNotNull())
                .withColumnsRenamed({"__text": out_prefix + "text", "__ok": out_prefix + "success",
                                     "__err": out_prefix + "error", "__secs": out_prefix + "time_seconds"})
-               .drop("__req", "__resp", "__model"))
+               .drop("__resp", "__parsed"))
 
 
 def _called(rows: DataFrame, client_factory: Callable[[], object], limits: dict) -> DataFrame:
-    """``rows`` with the reply, error and seconds of each call (``__model``, ``__req``)."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("__resp", T.StringType()),
+    """``rows`` with the reply, error and seconds of each call in the place of its ``__model`` and ``__req``."""
+    kept = [k for k, c in enumerate(rows.columns) if c not in ("__model", "__req")]
+    schema = T.StructType([*(rows.schema.fields[k] for k in kept), T.StructField("__resp", T.StringType()),
                            T.StructField("__err", T.StringType()), T.StructField("__secs", T.DoubleType())])
     retries, backoff, timeout = limits["retries"], limits["backoff"], limits["timeout"]
     inline = limits["concurrency"] <= 1 and timeout is None
+    step = max(STEP_ROWS, 32 * limits["concurrency"])
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
@@ -232,11 +250,15 @@ def _called(rows: DataFrame, client_factory: Callable[[], object], limits: dict)
                 return None, "no model or prompt", 0.0
             return call_with_retries(lambda: client.invoke(model, body), retries, backoff)
 
-        for batch in batches:
-            calls = [lambda m=m, b=b: one(m, b) for m, b in zip(batch.column("__model").to_pylist(), batch.column("__req").to_pylist())]
-            done = [c() for c in calls] if inline else call_concurrently(calls, max(1, limits["concurrency"]), timeout)
+        # A batch has up to 10,000 rows; only a step of them is held as Python objects and replies.
+        for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
+            asked = zip(part.column("__model").to_pylist(), part.column("__req").to_pylist())
+            if inline:
+                done = [one(m, b) for m, b in asked]
+            else:
+                done = call_concurrently([lambda m=m, b=b: one(m, b) for m, b in asked], max(1, limits["concurrency"]), timeout)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([r for r, _, _ in done], pa.string()), pa.array([e for _, e, _ in done], pa.string()),
+                [*(part.column(k) for k in kept), pa.array([r for r, _, _ in done], pa.string()), pa.array([e for _, e, _ in done], pa.string()),
                  pa.array([round(s, 2) for _, _, s in done], pa.float64())], schema.names)
 
     return rows.mapInArrow(call, schema)
@@ -246,13 +268,11 @@ def process_documents(df: DataFrame, text_col: str, model_col: str,
                       client_factory: Callable[[], object] = OfflineClient, **limits) -> DataFrame:
     """Extract (temperature 0.0) then summarise the extraction
     (temperature 0.7), both through ``run_model`` with its ``limits``."""
-    from claimflow.operators.prompts import DEFAULT_TEMPLATES
-    s1 = df.withColumn("__p1", DEFAULT_TEMPLATES.render("extract_info", document_text=text_col))
-    s1 = run_model(s1, model_col, "__p1", client_factory, 0.0, out_prefix="extract_", **limits)
-    s2 = s1.withColumn("__p2", DEFAULT_TEMPLATES.render("generate_summary", extracted_info="extract_text"))
-    s2 = run_model(s2, model_col, "__p2", client_factory, 0.7, out_prefix="summary_", **limits)
-    return (s2.withColumnRenamed("extract_text", "extracted_info").withColumnRenamed("summary_text", "summary")
-              .drop("__p1", "__p2"))
+    s1 = run_model(df, model_col, DEFAULT_TEMPLATES.render("extract_info", document_text=text_col), client_factory, 0.0,
+                   out_prefix="extract_", **limits)
+    s2 = run_model(s1, model_col, DEFAULT_TEMPLATES.render("generate_summary", extracted_info="extract_text"), client_factory, 0.7,
+                   out_prefix="summary_", **limits)
+    return s2.withColumnRenamed("extract_text", "extracted_info").withColumnRenamed("summary_text", "summary")
 
 
 def summary_record(df: DataFrame, key_col: str, model_col: str, processed_at: Column | None = None,

@@ -55,3 +55,13 @@ def test_missing_fields_are_extracted_once(spark):
     plan = QUERIES["missing_field_counts"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") == 5
     assert plan.count("lower(claim_text") == 1
+
+
+def test_requests_and_prompts_stay_with_the_call(spark):
+    """A call's rows come back without its request, no prompt is carried on, and a reply is checked once."""
+    plan = QUERIES["model_chain"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    calls = re.findall(r"MapInArrow call\(([^)]*)\)#\d+, \[([^\]]*)\]", plan)
+    assert len(calls) == 2
+    for sent, back in calls:
+        assert "__req" in sent and "__req" not in back and "__p" not in sent
+    assert plan.count("jsonObjectKeys(") == 2

@@ -225,3 +225,26 @@ def test_concurrent_calls_keep_their_order():
     calls = [lambda k=k: (str(k), None, time.sleep(0.01 * (k % 3)) or 0.0) for k in range(50)]
     assert [r for r, _, _ in inference.call_concurrently(calls, 7, None)] == [str(k) for k in range(50)]
     assert inference.call_concurrently([], 7, 1.0) == []
+
+
+@pytest.mark.parametrize("limits", [{}, {"concurrency": 2, "timeout": 30.0}, {"once": True}])
+def test_calls_in_steps_keep_every_row(spark, monkeypatch, limits):
+    monkeypatch.setattr(inference, "STEP_ROWS", 1)  # so steps are 32 calls a caller
+    rows = [(k, MODEL if k % 3 else None, f"prompt {k % 100}") for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, m string, p string").coalesce(1)
+    out = inference.run_model(df, "m", F.concat("p", F.lit("!")), **limits)
+    assert {"__req", "__model", "__prompt"}.isdisjoint(out.columns)
+    got = {r.k: (r.p, r.text, r.error) for r in out.collect()}
+    assert got == {k: (p, f"{p}!" if m else None, None if m else "no model or prompt") for k, m, p in rows}
+
+
+def test_offline_client_reads_labels_and_quotes():
+    from claimflow.operators.prompts import DEFAULT_TEMPLATES
+    text = 'x Claimant Name: A "B" \\ é\nPolicy Number: \nClaimant Name: later\nClaim Amount: $5\tok'
+    info = inference.OfflineClient.answer("context\n" + DEFAULT_TEMPLATES.get("extract_info").replace("{document_text}", text))
+    assert info == ('{"Claimant Name":"A \\"B\\" \\\\ é","Policy Number":"","Incident Date":"","Claim Amount":"$5\\tok",'
+                    '"Incident Description":""}')
+    summary = DEFAULT_TEMPLATES.get("generate_summary")
+    assert inference.OfflineClient.answer(summary.replace("{extracted_info}", info)) == (
+        'Claim by A "B" \\ é under policy  for $5\tok, incident on : ')
+    assert inference.OfflineClient.answer(summary.replace("{extracted_info}", "[1]")) == "[1]"
