@@ -197,9 +197,10 @@ def document_scan(spark, sf_dir):
     """Every document exported to a file of its own, every fiftieth with a byte that is no text, and all scanned again."""
     root = shared_path(spark, "exported")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    broken = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8")).cast("string")
-    (docs.select("doc_id", F.when(F.col("doc_id") % 50 == 3, broken).otherwise(F.col("text")).alias("value"))
-     .write.partitionBy("doc_id").text(f"{root}/documents"))
+    body = F.encode("text", "UTF-8")
+    broken = F.concat(F.unhex(F.lit("FF")), body)
+    documents.export_documents(docs.select("doc_id", F.when(F.col("doc_id") % 50 == 3, broken).otherwise(body).alias("body")),
+                               f"{root}/documents", "doc_id", "body")
     scan = documents.scan_documents(spark, root, prefix="documents/")
     return scan.select(F.regexp_extract("input_key", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "reason",
                        F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))

@@ -7,13 +7,19 @@ so listing a landing area never opens the files' content.
 
 from __future__ import annotations
 
+import os
 import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
+#: Shares of small files that a task of a scan gets at most.
+SHARES = 8
 DOCUMENT_SCHEMA = "input_key string, name string, text string, size long, modified timestamp"
 
 
@@ -66,6 +72,56 @@ def read_documents(spark: SparkSession, root: str, glob: str = "*.txt", recursiv
     )
 
 
+def export_documents(docs: DataFrame, root: str, id_col: str, body_col: str) -> None:
+    """Write each document's bytes (binary ``body_col``) and a line feed to a
+    file of its own below ``root``, named ``{id_col}={id}``.
+
+    In a local (or mounted) folder the tasks write the files themselves, a
+    folder for each task: Hadoop's local file system starts a process for
+    every file to set its mode, and a partitioned write moves a folder for each
+    document besides. Elsewhere it is a partitioned write that each task
+    commits. Rows of one id in a task share a file; a repeated task writes the
+    same files again.
+    """
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        (docs.select(id_col, F.col(body_col).cast("string").alias("value")).write.partitionBy(id_col)
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root))
+        return
+    local = where.toUri().getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, last, out = f"{local}/part={TaskContext.get().partitionId():06d}", None, None
+        for batch in batches:
+            if batch.num_rows:
+                os.makedirs(folder, exist_ok=True)
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                name = f"{folder}/{id_col}={name}.txt"
+                if name != last:
+                    if out:
+                        out.close()
+                    out, last = open(name, "wb"), name
+                out.write((body.as_py() or b"") + b"\n")
+        if out:
+            out.close()
+        yield from ()
+
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(body_col).alias("body")).sortWithinPartitions("id")
+    rows.mapInArrow(write, "id string").write.format("noop").mode("overwrite").save()
+
+
+def _fewer_tasks(files: DataFrame) -> DataFrame:
+    """``files`` in so many fewer partitions as small files leave room in ``spark.sql.files.maxPartitionBytes``."""
+    run = files._jdf.queryExecution()
+    n, spark = run.toRdd().getNumPartitions(), files.sparkSession
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(run.optimizedPlan().stats().sizeInBytes()))
+    wanted = max(-(-n // SHARES), -(-size // most), 4 * spark.sparkContext.defaultParallelism)
+    return files.coalesce(wanted) if wanted < n else files
+
+
 def scan_documents(spark: SparkSession, root: str, glob: str = "*.txt", prefix: str | None = None) -> DataFrame:
     """S1-S3 in one pass, readable and unreadable files together:
     ``input_key, name, text, size, modified, reason``.
@@ -73,7 +129,8 @@ def scan_documents(spark: SparkSession, root: str, glob: str = "*.txt", prefix:
     Files are listed once and dealt to tasks by their listed sizes, many small
     ones to a task (``spark.sql.files.maxPartitionBytes``, with
     ``openCostInBytes`` for each file), so tasks are even however the files
-    differ. A file that is no UTF-8 text has a ``reason`` and no text: rows
+    differ; where files are so small that a task would have little to read, it
+    gets up to ``SHARES`` such shares. A file that is no UTF-8 text has a ``reason`` and no text: rows
     with a null reason are the documents, the others the quarantine. A missing
     prefix has no documents, and a file of no bytes is none: Spark does not
     list it.
@@ -85,6 +142,7 @@ def scan_documents(spark: SparkSession, root: str, glob: str = "*.txt", prefix:
         if prefix and e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], DOCUMENT_SCHEMA + ", reason string")
         raise
+    r = _fewer_tasks(r)
     key = _relative_key(F.col("path"), root)
     text = F.col("content").cast("string")
     readable = F.is_valid_utf8(text)

@@ -248,3 +248,25 @@ def test_offline_client_reads_labels_and_quotes():
     assert inference.OfflineClient.answer(summary.replace("{extracted_info}", info)) == (
         'Claim by A "B" \\ é under policy  for $5\tok, incident on : ')
     assert inference.OfflineClient.answer(summary.replace("{extracted_info}", "[1]")) == "[1]"
+
+
+def test_export_gives_each_document_a_file(spark, tmpdir_path):
+    """Repeated ids of a task share a file, as in a partitioned write; no document has a folder or a checksum file."""
+    import os
+    rows = [(k, f"text {k}\n" if k % 4 else None) for k in range(200)] + [(7, "again"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    from claimflow.sources import documents
+    documents.export_documents(docs, f"file://{tmpdir_path}/documents", "doc_id", "body")
+    names = [n for _, _, files in os.walk(tmpdir_path) for n in files]
+    assert sorted(names) == sorted([f"doc_id={k}.txt" for k in [*range(200), None]])
+    got = {r.name: r.text for r in documents.scan_documents(spark, f"file://{tmpdir_path}", prefix="documents/").collect()}
+    assert len(got) == 201 and got["doc_id=8"] == "\n" and got["doc_id=9"] == "text 9\n\n" and got["doc_id=None"] == "no id\n"
+    assert sorted(got["doc_id=7"].splitlines()) == ["", "again", "text 7"]
+
+
+def test_a_scan_of_small_files_has_few_tasks(spark, tmpdir_path):
+    from claimflow.sources import documents
+    docs = spark.range(0, 3000, 1, 3).select("id", F.lit(b"x").alias("body"))
+    documents.export_documents(docs, f"{tmpdir_path}/documents", "id", "body")
+    scan = documents.scan_documents(spark, tmpdir_path, prefix="documents/")
+    assert scan.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and scan.count() == 3000
