@@ -89,7 +89,9 @@ def process_deliveries(deliveries: DataFrame, output_path: str, quarantine_path:
             b = transform(b)
         out = inference.process_documents(b, "text", "model_id", client_factory, **limits)
         ok = F.col("extract_success") & F.col("summary_success")
-        out = out.withColumn("__ok", ok).withColumn("processed_at", F.current_timestamp())
+        # What the sinks take; a document's text stays behind.
+        out = out.withColumn("__ok", ok).withColumn("processed_at", F.current_timestamp()).select(
+            "input_key", "modified", "model_id", "extracted_info", "summary", "extract_error", "summary_error", "__ok", "processed_at")
         # Written once: both sinks read the same rows, and an epoch that failed between them does not call the model again.
         staging = CommittedTable(batch.sparkSession, f"{checkpoint.rstrip('/')}/_staging")
         if staging.version().done.get(stream[0], -1) >= stream[1]:
