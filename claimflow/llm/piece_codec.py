@@ -11,8 +11,10 @@ texts.
 
 Scale: one pass without a shuffle. A table over the whole corpus would have
 to be joined back to every word of it, a shuffle of several times the text;
-here a task keeps a table of at most ``MAX_CHUNKS`` chunks and starts a new
-one when it is full, so memory is bounded whatever the vocabulary.
+here a task keeps a table of at most ``MAX_CHUNKS`` chunks in two halves. When
+the newer half is full it becomes the older one, from which chunks that are met
+again move on, so memory is bounded whatever the vocabulary and frequent chunks
+stay.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ class PieceCodec:
         self.ids: dict[str, tuple[int, ...]] = {}
         self.decimal: dict[str, str] = {}
         self.lengths: dict[str, int] = {}
+        #: The older halves of the three.
+        self.old_ids: dict[str, tuple[int, ...]] = {}
+        self.old_decimal: dict[str, str] = {}
+        self.old_lengths: dict[str, int] = {}
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not self.model.is_byte(i) and not self.model.is_control(i)]
         probe = " a  b\tc\r\n ééﬁ\x85 　z "
@@ -98,9 +104,11 @@ class PieceCodec:
         split = [self.chunks(t) for t in texts]
         distinct = set(chain.from_iterable(split))
         new = distinct.difference(self.lengths)
-        if len(self.lengths) + len(new) > self.max_chunks:
-            self.lengths, new = {}, distinct
-        listed = list(new)
+        if len(self.lengths) + len(new) > self.max_chunks // 2:
+            self.old_lengths, self.lengths, new = self.lengths, {}, distinct
+        again = new.intersection(self.old_lengths)
+        self.lengths.update(zip(again, map(self.old_lengths.__getitem__, again)))
+        listed = list(new - again)
         self.lengths.update(zip(listed, map(len, self.segment(listed))))
         return [sum(map(self.lengths.__getitem__, parts)) for parts in split]
 
@@ -114,9 +122,13 @@ class PieceCodec:
         split = [self.chunks(t) for t in texts]
         distinct = set(chain.from_iterable(split))
         new = distinct.difference(self.ids)
-        if len(self.ids) + len(new) > self.max_chunks:
+        if len(self.ids) + len(new) > self.max_chunks // 2:
+            self.old_ids, self.old_decimal = self.ids, self.decimal
             self.ids, self.decimal, new = {}, {}, distinct
-        self.learn(list(new))
+        again = new.intersection(self.old_ids)
+        self.ids.update(zip(again, map(self.old_ids.__getitem__, again)))
+        self.decimal.update(zip(again, map(self.old_decimal.__getitem__, again)))
+        self.learn(list(new - again))
         end = str(self.end)
         for parts in split:
             ids = list(chain.from_iterable(map(self.ids.__getitem__, parts)))

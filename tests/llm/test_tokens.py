@@ -135,3 +135,17 @@ def test_wide_ids_are_written_and_read_as_such(spark, tmpdir_path):
         wide += max(ids) > 0xFFFF
         want[i] = zlib.crc32(np.array(ids, "<u4").tobytes())
     assert got == want and wide > 10
+
+
+def test_frequent_pieces_are_segmented_once():
+    """A full table keeps what is met again, in ids and in counts."""
+    codec, lib = piece_codec.PieceCodec(PIECES, max_chunks=60), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    asked, real = [], codec.segment
+    codec.segment = lambda new: asked.extend(new) or real(new)
+    texts = [" ".join(["often", "seen", *(f"w{k}x{i}" for i in range(15))]) for k in range(40)]
+    for t in texts:
+        assert [ids for ids, _ in codec.encode([t])] == [[*lib.encode(t), codec.end]]
+    assert asked.count("often") == asked.count("seen") == 1 and len(codec.ids) + len(codec.old_ids) <= 60
+    asked.clear()
+    assert [codec.count([t]) for t in texts] == [[len(lib.encode(t))] for t in texts]
+    assert asked.count("often") == 1 and len(codec.lengths) + len(codec.old_lengths) <= 60
