@@ -149,3 +149,27 @@ def test_frequent_pieces_are_segmented_once():
     asked.clear()
     assert [codec.count([t]) for t in texts] == [[len(lib.encode(t))] for t in texts]
     assert asked.count("often") == 1 and len(codec.lengths) + len(codec.old_lengths) <= 60
+
+
+class Counted:
+    """A model that notes the texts it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.texts = model, []
+
+    def encode(self, texts, **options):
+        self.texts += texts
+        return self.model.encode(texts, **options)
+
+
+def test_new_chunks_share_texts_and_the_table_holds_a_tasks_words():
+    """A text for each chunk cost three times as much, and a small table segmented words of a task again."""
+    codec, lib = piece_codec.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    codec.model = Counted(codec.model)
+    words = [f"w{k}x\n{k}" for k in range(50_000)]
+    texts = [" ".join(words[at:at + 5000]) for at in range(0, len(words), 5000)]
+    for text in texts + texts[:1]:
+        flat, bounds = codec.encode_flat([text, "", text])
+        want = [*lib.encode(text), codec.end]
+        assert piece_codec.lists(flat, bounds) == [want, [codec.end], want]
+    assert len(codec.model.texts) <= 2 * len(words) // 32
