@@ -173,3 +173,13 @@ def test_new_chunks_share_texts_and_the_table_holds_a_tasks_words():
         want = [*lib.encode(text), codec.end]
         assert piece_codec.lists(flat, bounds) == [want, [codec.end], want]
     assert len(codec.model.texts) <= 2 * len(words) // 32
+
+
+def test_counts_share_texts_too():
+    codec, lib = piece_codec.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    codec.model = Counted(codec.model)
+    words = [f"w{k}x\n{k}" for k in range(50_000)]
+    texts = [" ".join(words[at:at + 5000]) for at in range(0, len(words), 5000)]
+    for text in texts + texts[:1]:
+        assert codec.count([text, "", "\n"]) == [len(lib.encode(text)), 0, len(lib.encode("\n"))]
+    assert len(codec.model.texts) <= 2 * len(words) // 32
