@@ -16,6 +16,8 @@ from claimflow.sources.tables import read_table
 
 LAYOUT_MODELS = views.DEFAULT_MODELS + ("amazon.nova-lite-v1:0",)
 _EPOCH_2024 = 1704067200
+#: Of the orders' files: some 50,000 to 120,000 claims, each of which calls every model twice.
+CHAIN_TASK_BYTES = 1 << 20
 
 # The model catalog (family, id, name, description, cost tier).
 MODEL_CATALOG = (
@@ -223,8 +225,8 @@ def process_claims(spark, sf_dir):
     """Extract-then-summarise chain through the pluggable batch
     inference (offline client), default model, every claim."""
     c = views.claims(spark, sf_dir).withColumn("model_id", F.lit(views.DEFAULT_MODELS[0]))
-    out = inference.process_documents(c, "claim_text", "model_id")
-    return out.select("claim_id", "extract_success", "summary_success", "extracted_info", "summary")
+    return inference.process_documents(c, "claim_text", "model_id", columns=(
+        "claim_id", "extract_success", "summary_success", "extracted_info", "summary"))
 
 
 @query("model_chain", views.with_views(
@@ -232,6 +234,6 @@ def process_claims(spark, sf_dir):
 select claim_id, m.model_id, {_summary_sql('claim_text')} as summary from claims cross join m""", "claims"))
 def model_chain(spark, sf_dir):
     """The chain under every provider's request and response layout."""
-    c = views.claims(spark, sf_dir).select("claim_id", "claim_text", F.explode(F.array(
+    c = views.claims(spark, sf_dir, CHAIN_TASK_BYTES).select("claim_id", "claim_text", F.explode(F.array(
         *[F.lit(m) for m in LAYOUT_MODELS])).alias("model_id"))
-    return inference.process_documents(c, "claim_text", "model_id").select("claim_id", "model_id", "summary")
+    return inference.process_documents(c, "claim_text", "model_id", columns=("claim_id", "model_id", "summary"))

@@ -65,3 +65,15 @@ def test_requests_and_prompts_stay_with_the_call(spark):
     for sent, back in calls:
         assert "__req" in sent and "__req" not in back and "__p" not in sent
     assert plan.count("jsonObjectKeys(") == 2
+
+
+def test_the_chain_carries_what_is_asked_for(spark, monkeypatch):
+    """Texts, and the first call's columns that nobody wants, pass through no call; the claims are dealt by the size of their table."""
+    from claimflow.plans import source_queries
+    monkeypatch.setattr(source_queries, "CHAIN_TASK_BYTES", 1000)
+    plan = QUERIES["model_chain"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    calls = re.findall(r"MapInArrow call\(([^)]*)\)#\d+, \[([^\]]*)\]", plan)
+    assert [re.sub(r"#\d+L?", "", sent) for sent, _ in calls] == ["claim_id, model_id, __req, __model"] * 2
+    deals = [int(n) for n in re.findall(r"Repartition (\d+), true", plan)]
+    assert len(deals) == 1 and deals[0] > spark.sparkContext.defaultParallelism
+    assert plan.index("claim_text") < plan.index("Repartition") < plan.index("Join Inner")  # the plan is printed from its end

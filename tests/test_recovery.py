@@ -1,5 +1,6 @@
 """Streams, stores and model calls that fail on the way end with the result of an undisturbed run."""
 
+import json
 import threading
 import time
 
@@ -238,6 +239,75 @@ def test_calls_in_steps_keep_every_row(spark, monkeypatch, limits):
     assert got == {k: (p, f"{p}!" if m else None, None if m else "no model or prompt") for k, m, p in rows}
 
 
+#: Replies of every layout and kind: plain, spaced otherwise, escaped, cut, doubled, nested, of other types, no JSON.
+REPLIES = [before + text + after for before, after in [
+    ('{"content": [{"type": "text", "text": ', '}]}'), ('{"content":[{"text":', '}],"usage":{"n":[1,-2e3,null,true]}}'),
+    ('{"choices": [{"message": {"content": ', '}}]}'), ('{"choices":[{"message":{"role":"a","content":', '}}],"id":"x"}'),
+    ('{"output": {"message": {"content": [{"text": ', '}]}}}'), ('{"text":"no","content":[{"text":', '}]}'),
+    ('{"content":[{"text":"first","text":', '}]}'), ('{"content":[{"text":', ',"text":"last"}]}'),
+    ('{"content":[{"text":', '}],"content":[]}'), ('{"content":[{"text":', '}],"x":NaN}'), ('{"content":[{"text":', '}]} x'),
+    ('{"content":[{"text":', '}]'), ('{"content":[{"text":', ']}'), ('[{"content":[{"text":', '}]}]'), (' {"content":[{"text":', '}]}\n'),
+    ('{"content":[{"x":1},{"text":', '}]}'), ('{"content":{"text":', '}}'), ('{"a":"\\"text\\":\\"","content":[{"text":', '}]}'),
+    ('{"completion":"c","text":', '}'), ('', ''), ('{"cont\\u0065nt":[{"text":', '}]}'), ('{"content":[{"text":', '}],"x":"a\nb"}')]
+    for text in ['"plain"', '""', '"a \\"b\\" \\\\ \\n \\u00e9 \\/"', '"é 漢 😀 \\ud83d\\ude00"', '"half \\ud800 é"', '"bad \\x"', '"tab\t"',
+                 '"\\u0000"', '5', 'null', '{"k": 1.50}', '["a", "b"]', '"open']]
+
+
+def test_plain_replies_are_read_as_all_others(spark, monkeypatch):
+    """What the task reads itself is what Spark's parser gives for the whole reply."""
+    class Fixed:
+        def invoke(self, model_id, body):
+            return REPLIES[int(json.loads(body)["messages"][0]["content"][0]["text"] if "nova" in model_id
+                               else json.loads(body)["messages"][0]["content"])]
+
+    # Twice, as a frame is known when it comes again.
+    rows = [(m, str(k % len(REPLIES))) for m in (MODEL, "openai.gpt-oss-x", "amazon.nova-x") for k in range(2 * len(REPLIES))]
+    df = spark.createDataFrame(rows, "m string, p string").coalesce(1)
+    seen = lambda: [(r.m, r.p, r.text, r.success, r.error) for r in inference.run_model(df, "m", "p", Fixed).collect()]
+    quick = seen()
+    plain = inference._reply_texts()
+    assert {m for m, p, *_ in quick if plain(m, REPLIES[int(p)]) is not None} == {m for m, _ in rows}
+    monkeypatch.setattr(inference, "MAX_PLAIN_REPLY", -1)
+    assert quick == seen()
+
+
+def test_a_frame_is_proved_before_it_is_used():
+    found = inference.TextIn(lambda r: r["a"], '"a":"')
+    assert found('{"a":"x","b":1}') == "x" and found('{"a":"y \\"","b":1}') == 'y "' and len(found.known) == 1
+    for other in ('{"b":{"a":"x"}}', '{"a":"x","a":"y"}', '{"a":"x"', '{"b":"\\"a":"x"}', '{"a":"x"}}', '{"a":1}', "", '{"a":"x","b":Infinity}',
+                  '{"a":"x","b":' + "1" * 2000 + "}"):
+        assert found(other) is None and found(other) is None
+    assert len(found.known) == 1
+    assert [found(f'{{"a":"x","n":{k}}}') for k in range(63)] == ["x"] * 63 and len(found.known) == 64
+    assert found('{"a":"x","n":99}') is None and found('{"a":"z","n":5}') == "z"
+    # A request in another layout than Spark writes is parsed.
+    assert inference.OfflineClient().invoke("x", '{"messages": [{"content": "hi", "role": "user"}]}') == '{"content": [{"type": "text", "text": "hi"}]}'
+
+
+@pytest.mark.parametrize("limits", [{}, {"once": True}])
+def test_chain_returns_the_named_columns(spark, limits):
+    rows = [(k % 50, m, None if k % 7 == 0 else f"Claimant Name: {k % 9}\nClaim Amount: $1") for k in range(200) for m in (MODEL, "amazon.nova-x", None)]
+    df = spark.createDataFrame(rows, "k int, m string, t string")
+    whole = inference.process_documents(df, "t", "m", **limits)
+    for columns in (["k", "m", "summary"], ["summary_error", "k", "extracted_info", "extract_success"]):
+        some = inference.process_documents(df, "t", "m", columns=columns, **limits)
+        assert some.columns == columns
+        assert sorted(map(str, some.collect())) == sorted(map(str, whole.select(*columns).collect()))
+
+
+def test_claims_are_dealt_evenly_behind_the_join(spark, tmpdir_path):
+    """One customer with most orders, repeated and null keys: the same claims, no task with many more than another."""
+    orders = [(None if k % 50 == 0 else k // 2, None if k % 41 == 0 else 7 if k % 3 else k % 20, float(k)) for k in range(3000)]
+    (spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double")
+     .withColumn("o_orderdate", F.timestamp_seconds(F.col("o_orderkey") * 86400)).coalesce(1).write.parquet(f"{tmpdir_path}/orders.parquet"))
+    (spark.createDataFrame([(None if k == 19 else k % 18, f"C{k}") for k in range(20)], "c_custkey long, c_name string")
+     .coalesce(1).write.parquet(f"{tmpdir_path}/customer.parquet"))
+    plain, dealt = views.claims(spark, tmpdir_path), views.claims(spark, tmpdir_path, 2000)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    each = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) > 8 and max(each) - min(each) <= 8
+
+
 def test_offline_client_reads_labels_and_quotes():
     from claimflow.operators.prompts import DEFAULT_TEMPLATES
     text = 'x Claimant Name: A "B" \\ é\nPolicy Number: \nClaimant Name: later\nClaim Amount: $5\tok'
